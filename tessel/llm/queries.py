@@ -7,10 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import leakage, repetition, tokens
+from tessel.llm import leakage, neighbours, repetition, splitting, tokens
 from tessel.session import table
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of live rows of which one is among the 5 most similar of the other."""
+    return neighbours.similar_pairs(table(spark, sf, "vector_store"))
+
+
+def p2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 most similar rows of every live row, with their similarity."""
+    return neighbours.similar_rows(table(spark, sf, "vector_store"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that had to be split."""
+    return p4_pieces(spark, sf).where("piece = 1").select("id").distinct()
+
+
+def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """The pieces of oversized rows."""
+    return splitting.split_items(table(spark, sf, "vector_store"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_corpus(table(spark, sf, "documents"))
@@ -39,9 +59,9 @@ def p10_fertility(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p8_ids, p9_found, p9_matches, p10_found, p10_fertility)
+        for f in (p2_found, p2_neighbours, p4_found, p4_pieces, p8_ids, p9_found, p9_matches, p10_found, p10_fertility)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": "SELECT id FROM vector_store WHERE length(content) > 1500 GROUP BY id"}
