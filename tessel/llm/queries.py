@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import leakage, neighbours, repetition, splitting, tokens
+from tessel.llm import credentials, leakage, neighbours, repetition, splitting, syntax, tokens
 from tessel.session import table
 
 
@@ -31,6 +31,36 @@ def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_items(table(spark, sf, "vector_store"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that do not parse in the language of their name."""
+    return p5_faults(spark, sf).select("file_path").distinct()
+
+
+def p5_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Faulty files with the cost, kind and place of their least repair."""
+    return syntax.unparsable_files(table(spark, sf, "source_files"))
+
+
+def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of files that do not parse, per repository and language."""
+    return syntax.fault_rates(table(spark, sf, "source_files"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines on which a credential's value starts."""
+    return p7_places(spark, sf).select("id", "line_no").distinct()
+
+
+def p7_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Every credential with its kind and place."""
+    return credentials.find_credentials(table(spark, sf, "vector_store"))
+
+
+def p7_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts that hold credentials, with the values replaced."""
+    return credentials.redact_credentials(table(spark, sf, "vector_store"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_corpus(table(spark, sf, "documents"))
@@ -59,7 +89,7 @@ def p10_fertility(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p2_found, p2_neighbours, p4_found, p4_pieces, p8_ids, p9_found, p9_matches, p10_found, p10_fertility)
+        for f in (p2_found, p2_neighbours, p4_found, p4_pieces, p5_found, p5_faults, p5_rates, p7_found, p7_places, p7_redacted, p8_ids, p9_found, p9_matches, p10_found, p10_fertility)
     }
 
 
