@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import credentials, leakage, neighbours, repetition, splitting, syntax, tokens
+from tessel.llm import credentials, docs, handwritten, leakage, neighbours, repetition, splitting, syntax, tokens
 from tessel.session import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths of generated, minified, vendored and data files."""
+    return p1_kinds(spark, sf).where("kind IS NOT NULL").select("file_path").distinct()
+
+
+def p1_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Every source file with its kind and measures."""
+    return handwritten.classify_files(table(spark, sf, "source_files"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of live rows of which one is among the 5 most similar of the other."""
     return neighbours.similar_pairs(table(spark, sf, "vector_store"))
@@ -21,6 +31,21 @@ def p2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.similar_rows(table(spark, sf, "vector_store"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Functions whose documentation is not trivial."""
+    return p3_pairs(spark, sf).select("file_path", "ord")
+
+
+def p3_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Functions with their documentation; trivial and missing documentation left out."""
+    return docs.documented_functions(table(spark, sf, "function_info"), table(spark, sf, "source_files"))
+
+
+def p3_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Functions found in the sources by lexing, with their lines and attached comments."""
+    return docs.function_spans(table(spark, sf, "source_files"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Rows that had to be split."""
     return p4_pieces(spark, sf).where("piece = 1").select("id").distinct()
@@ -89,7 +114,7 @@ def p10_fertility(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p2_found, p2_neighbours, p4_found, p4_pieces, p5_found, p5_faults, p5_rates, p7_found, p7_places, p7_redacted, p8_ids, p9_found, p9_matches, p10_found, p10_fertility)
+        for f in (p1_found, p1_kinds, p2_found, p2_neighbours, p3_found, p3_pairs, p3_spans, p4_found, p4_pieces, p5_found, p5_faults, p5_rates, p7_found, p7_places, p7_redacted, p8_ids, p9_found, p9_matches, p10_found, p10_fertility)
     }
 
 
