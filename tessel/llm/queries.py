@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import credentials, docs, handwritten, leakage, neighbours, repetition, splitting, syntax, tokens
+from tessel.llm import credentials, docs, handwritten, hidden_text, leakage, neighbours, repetition, splitting, syntax, tokens
 from tessel.session import table
 
 
@@ -71,6 +71,27 @@ def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
     return syntax.fault_rates(table(spark, sf, "source_files"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Languages other than English that a row's comments and strings hold a sentence of."""
+    return p6_texts(spark, sf).select("id", "nl_lang").distinct()
+
+
+def p6_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentences themselves."""
+    return hidden_text.hidden_texts(table(spark, sf, "vector_store"))
+
+
+def p6_docstrings(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences in docstrings of functions."""
+    functions = table(spark, sf, "function_info").select(F.struct("file_path", "ord").alias("key"), "docstring")
+    return hidden_text.hidden_texts(functions, "key", "docstring").select("id.*", "nl_lang", "text").distinct()
+
+
+def p6_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of each file that is text in another language."""
+    return hidden_text.language_shares(table(spark, sf, "vector_store"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """Lines on which a credential's value starts."""
     return p7_places(spark, sf).select("id", "line_no").distinct()
@@ -114,7 +135,7 @@ def p10_fertility(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_kinds, p2_found, p2_neighbours, p3_found, p3_pairs, p3_spans, p4_found, p4_pieces, p5_found, p5_faults, p5_rates, p7_found, p7_places, p7_redacted, p8_ids, p9_found, p9_matches, p10_found, p10_fertility)
+        for f in (p1_found, p1_kinds, p2_found, p2_neighbours, p3_found, p3_pairs, p3_spans, p4_found, p4_pieces, p5_found, p5_faults, p5_rates, p6_found, p6_texts, p6_docstrings, p6_shares, p7_found, p7_places, p7_redacted, p8_ids, p9_found, p9_matches, p10_found, p10_fertility)
     }
 
 
