@@ -1 +1 @@
-
+"""Relational operators over files, symbols, chunks and vectors."""
