@@ -1 +1 @@
-
+"""Whole plans put together from the operators."""

@@ -1 +1 @@
-
+"""Connectors: trees of files, archives, and remote archives."""

@@ -1 +1 @@
-
+"""Streaming: files and job events as they arrive."""
