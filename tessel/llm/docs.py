@@ -151,33 +151,35 @@ def lexed_rows(files: DataFrame) -> DataFrame:
     return one.mapInArrow(run, ROW)
 
 
-def _islands(rows: DataFrame, kind: str) -> DataFrame:
-    """``(path, first, last, doc)``: runs of consecutive lines of one kind."""
+def _islands(rows: DataFrame, *extra) -> DataFrame:
+    """``(path, first, last, kind, doc, head, head_at)``: runs of consecutive lines of one kind.
+
+    Gaps and islands: a running count of the changes of kind numbers the runs. ``head`` and ``head_at`` are
+    those of the run's last line. One shuffle by path serves this and every later window.
+    """
     order = Window.partitionBy("path").orderBy("ln")
-    runs = rows.where(F.col("kind") == kind).withColumn("island", F.col("ln") - F.row_number().over(order))
-    grouped = runs.groupBy("path", "island").agg(
-        F.min("ln").alias("first"), F.max("ln").alias("last"),
-        F.array_sort(F.collect_list(F.struct("ln", "note"))).alias("notes"),
+    change = F.when(F.col("kind") == F.lag("kind").over(order), 0).otherwise(1)
+    numbered = rows.withColumn("change", change).withColumn("island", F.sum("change").over(order))
+    noted = F.col("kind").isin("c", "s")
+    return numbered.groupBy("path", "island").agg(
+        F.min("ln").alias("first"), F.max("ln").alias("last"), F.first("kind").alias("kind"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(noted, F.struct("ln", "note")))), lambda x: x["note"]), "\n").alias("doc"),
+        F.max_by("head_at", "ln").alias("head_at"), *extra,
     )
-    return grouped.select("path", "first", "last", F.array_join(F.transform("notes", lambda x: x["note"]), "\n").alias("doc"))
 
 
 def attached_comments(rows: DataFrame) -> DataFrame:
-    """``(path, line, doc)``: the text attached to the line (from 0) a function's head begins on.
+    """``(path, line, doc, inner)``: the text attached to the line (from 0) a function's head begins on.
 
-    Comment islands belong to the line right below them; string islands of Python to the head whose body
-    they open.
+    Comment islands belong to the line right below them; string islands of Python (``inner``) to the head
+    that the last code before them ends with, whose body they open.
     """
-    below = _islands(rows, "c").select("path", (F.col("last") + 1).alias("line"), "doc", F.lit(False).alias("inner"))
-    order = Window.partitionBy("path").orderBy("ln")
-    openers = (
-        rows.where("kind IN ('x', 's')")
-        .withColumn("before", F.lag("head_at").over(order))
-        .where("kind = 's' AND before IS NOT NULL")
-        .select("path", F.col("ln").alias("first"), F.col("before").alias("line"))
-    )
-    inside = _islands(rows, "s").join(openers, ["path", "first"]).select("path", "line", "doc", F.lit(True).alias("inner"))
-    return below.unionByName(inside)
+    before = Window.partitionBy("path").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    code = F.when(F.col("kind").isin("x", "s"), F.struct("kind", "head_at"))
+    runs = _islands(rows).withColumn("prior", F.last(code, ignorenulls=True).over(before))
+    inner = F.col("kind") == "s"
+    line = F.when(inner, F.when(F.col("prior.kind") == "x", F.col("prior.head_at"))).otherwise(F.col("last") + 1)
+    return runs.where("kind IN ('c', 's')").select("path", line.alias("line"), "doc", inner.alias("inner")).where("line IS NOT NULL")
 
 
 def function_spans(files: DataFrame) -> DataFrame:
