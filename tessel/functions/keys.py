@@ -21,8 +21,8 @@ def chunk_id(path: Column, chunk_type: Column, *names: Column, line: Column) ->
 
 
 def iso_utc(time: Column) -> Column:
-    """A time as ISO 8601 with microseconds and ``Z``; the session's time zone must be UTC."""
-    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    """A time as ISO 8601 with microseconds and ``Z``, in any session time zone."""
+    return F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
 def random_id() -> Column:

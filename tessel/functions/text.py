@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"^\s+|\s+\z", "")
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, r"\s+$", "")
+    return F.regexp_replace(text, r"\s+\z", "")
 
 
 def collapse(text: Column) -> Column:

@@ -1,19 +1,21 @@
 """Embedders: texts to vectors.
 
 ``Embedder`` is the interface; anything with ``dim`` and ``encode(list[str]) -> ndarray`` fits and is run in Arrow
-batches, one instance per Python worker. ``HashingEmbedder`` needs no model: tokens are hashed to buckets with
-built-in functions only, so it stays inside the JVM and is the default.
+batches, one instance per Python worker. ``HashingEmbedder`` needs no model and is the default.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+_TOKEN = re.compile("[a-z0-9]+")
 
 LOCAL_LIMIT = 99_999  # more chunks than this go to the remote embedder
 LOCAL_BATCH, REMOTE_BATCH = 16, 128
@@ -50,48 +52,35 @@ def reordered(results: list[dict], key: str = "index", value: str = "embedding")
 
 
 class HashingEmbedder:
-    """Bag of hashed tokens: bucket = first 32 bits of the token's md5 modulo ``dim``; unit length."""
-
-    def __init__(self, dim: int = 64):
-        self.dim = dim
-
-    def tokens(self, text: Column) -> Column:
-        return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+    """Bag of hashed tokens: bucket = first 32 bits of the token's md5 modulo ``dim``; unit length.
 
-    def counts(self, text: Column) -> Column:
-        """Tokens per bucket, as an array of ``dim`` doubles; a null text is an empty one."""
-        bucket = lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % self.dim).cast("int")
-        buckets = F.transform(self.tokens(F.coalesce(text, F.lit(""))), bucket)
-        sized = F.array_sort(buckets)
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda k: F.size(F.filter(sized, lambda b: b == k)).cast("double")
-        )
-
-    def column(self, text: Column) -> Column:
-        from tessel.functions.vectors import unit
+    Buckets of tokens are remembered per worker and emptied at a limit, so md5 runs once per different token.
+    """
 
-        return F.transform(unit(self.counts(text)), lambda x: x.cast("float"))
+    def __init__(self, dim: int = 64, limit: int = 500_000):
+        self.dim, self.limit = dim, limit
+        self._known: dict[str, int] = {}
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        """The same vectors on the driver, for queries."""
-        import hashlib
-        import re
-
+        """Unit vectors; texts without tokens give zeros."""
+        known = self._known
+        if len(known) > self.limit:
+            known.clear()
         out = np.zeros((len(texts), self.dim))
         for i, text in enumerate(texts):
-            for token in re.split("[^a-z0-9]+", text.lower()):
-                if token:
-                    out[i, int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dim] += 1
+            found = _TOKEN.findall(text.lower())
+            for token in set(found).difference(known):
+                known[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dim
+            if found:
+                out[i] = np.bincount(np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found)), minlength=self.dim)
         return normalized(out)
 
 
 def embed(rows: DataFrame, embedder, text_col: str = "content", out_col: str = "embedding", batch: int = LOCAL_BATCH) -> DataFrame:
-    """``rows`` with a vector column; built-in functions for the hashing embedder, Arrow batches otherwise.
+    """``rows`` with a vector column, made in Arrow batches; a null text counts as an empty one.
 
     A worker that gets a wrong shape or a failing service raises: vectors are never replaced by random ones.
     """
-    if isinstance(embedder, HashingEmbedder):
-        return rows.withColumn(out_col, embedder.column(F.col(text_col)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != out_col)
     kept = [f.name for f in rows.schema.fields if f.name != out_col]
 
