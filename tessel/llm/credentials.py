@@ -33,7 +33,7 @@ ISSUERS = {
     "other_issuer": r"(?<![A-Za-z0-9_-])(AIza[A-Za-z0-9_-]{35}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|npm_[A-Za-z0-9]{36}|hf_[A-Za-z]{30,}|sk-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9_-])",
     "signed_token": r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,})",
     "private_key": r"(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)",
-    "connection_string": r"([A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'`<>]*:([^\s@\"'`/]+)@)",
+    "connection_string": r"(?<![A-Za-z0-9+.-])([A-Za-z][A-Za-z0-9+.-]{0,40}://[^\s:/@\"'`<>]*:([^\s@\"'`/]+)@)",
     "account_key": r"(?i:AccountKey|SharedAccessKey|SharedSecret)=([A-Za-z0-9+/]{20,}={0,2})",
     "basic_auth": r"\b[Bb]asic\s+([A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])",
     "user_option": r"(?:^|\s)(?:-u|--user)[ =]*[\"']?[^\s:\"'$<{]+:([^\s\"']{4,})",
@@ -59,13 +59,13 @@ KEYWORDS = {
     "signing_key": "named", "credential": "named",
 }
 _SECRET_NAME = re.compile(
-    r"(?<![A-Za-z0-9])([A-Za-z0-9_.\-]*?"
-    r"(?:passw(?:or)?[dt]|passphrase|(?<![A-Za-z])pass(?![A-Za-z])|(?<=[a-z])Pass(?![a-z])|pwd|senha|contrase(?:n|ñ)a|clave"
+    r"((?:passw(?:or)?[dt]|passphrase|(?<![A-Za-z])pass(?![A-Za-z])|(?<=[a-z])Pass(?![a-z])|pwd|senha|contrase(?:n|ñ)a|clave"
     r"|mot_?de_?passe|kennwort|geheimnis|secret|api[_-]?key|access[_-]?key|auth[_-]?key|signing[_-]?key|token|credentials?)"
-    r"([A-Za-z0-9_\-]*))[\"'\]]*[ \t]*(?::[ \t]*&?(?:'static )?(?:str|String|string)[ \t]*=|=>|:=|:|=|,)[ \t]*\(?[ \t]*"
+    r"([A-Za-z0-9_\-]{0,80}))[\"'\]]*[ \t]*(?::[ \t]*&?(?:'static )?(?:str|String|string)[ \t]*=|=>|:=|:|=|,)[ \t]*\(?[ \t]*"
     r"(?:\"([^\"\n]*)\"|'([^'\n]*)'|`([^`\n]*)`|([^\s\"'`,;)]+))",
     re.IGNORECASE,
 )
+_BEFORE = re.compile(r"[A-Za-z0-9_.\-]*\Z")
 _NO_SECRET_SUFFIX = re.compile(
     r"(?:^|[_-]|(?<=[a-z])(?=[A-Z]))(?:label|name|url|uri|hint|policy|path|file|field|prompt|len|length|ttl|type|header|param|"
     r"count|limit|placeholder|id|ref|expiry|expires|endpoint|env|var|manager|store|provider|hash|digest)(?![a-z])",
@@ -167,7 +167,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
     for kind in sorted(detectors):
         if kind == "named":
             for m in _SECRET_NAME.finditer(joined):
-                name, rest = m.group(1), m.group(2)
+                name, rest = _BEFORE.search(joined, max(0, m.start() - 64), m.start()).group() + m.group(1), m.group(2)
                 k = next((i for i in (3, 4, 5, 6) if m.group(i) is not None), 0)
                 if k and "public" not in name.lower() and not _NO_SECRET_SUFFIX.search(rest) and plausible(m.group(k), k != 6):
                     found.append((*m.span(k), "named_secret"))
@@ -196,7 +196,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 close = _BLOCK_END.search(joined, end)
                 end = close.end() if close else end
             found.append((start, end, kind))
-    found.sort(key=lambda f: (f[0], -f[1]))
+    found.sort(key=lambda f: (f[0], f[2] == "named_secret", -f[1]))
     out: list[tuple[int, int, str]] = []
     for s, e, kind in found:
         if out and s < out[-1][1]:

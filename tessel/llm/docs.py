@@ -41,7 +41,7 @@ _HEADS = {
         r"[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:async[ \t]+)?function\*?[ \t]*(\w+)|[ \t]*(?:export[ \t]+)?(?:const|let|var)[ \t]+(\w+)[ \t]*=[ \t]*(?:async[ \t]*)?(?:function\b|\([^)]*\)[ \t]*=>|\w+[ \t]*=>)"
         r"|[ \t]+(?:(?:static|async|get|set|public|private|protected)[ \t]+)*(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b)(\w+)[ \t]*\([^;]*\)[^;=]*\{[ \t]*$"
     ),
-    "c": re.compile(r"(?![ \t]*(?:return|else|if|for|while|switch|case|throw|new|delete|using|typedef)\b)[ \t]*(?:[\w:<>,~*&\[\]]+[ \t*&]+)+([\w:~]+)[ \t]*\([^;]*\)?[^;]*$"),
+    "c": re.compile(r"(?![ \t]*(?:return|else|if|for|while|switch|case|throw|new|delete|using|typedef)\b)[ \t]*(?:[\w:<>,~\[\]]+[ \t*&]+)+([\w:~]+)[ \t]*\([^;]*\)?[^;]*$"),
     "sh": re.compile(r"[ \t]*(?:function[ \t]+([\w-]+)|([\w-]+)[ \t]*\([ \t]*\))"),
 }
 _HEADS["ts"] = _HEADS["jsx"] = _HEADS["js"]
@@ -197,12 +197,13 @@ def function_spans(files: DataFrame) -> DataFrame:
     level = Window.partitionBy("path", "depth").orderBy("ln")
     total = Window.partitionBy("path")
     spans = (
-        deep.withColumn("next", F.lead("ln").over(level))
+        deep.withColumn("prior", F.lag("ln").over(order))
+        .withColumn("until", F.lead("prior").over(level))  # the last line before the next one as deep
         .withColumn("end", F.max("ln").over(total))
         .where("head IS NOT NULL")
         .select(
             "path", "head", F.col("head_at").alias("first"),
-            F.when(F.col("next").isNull(), F.col("end")).otherwise(F.greatest(F.col("next") - 1, F.col("ln"))).alias("last"),
+            F.when(F.col("until").isNull(), F.col("end")).otherwise(F.greatest("until", "ln")).alias("last"),
         )
     )
     notes = attached_comments(rows).where(F.col("inner") == F.lower("path").rlike(r"\.py[wi]?$"))
@@ -233,7 +234,7 @@ _BLANKS = re.compile(r"\b(?:TODO|FIXME|XXX|HACK|TBD|TBC|WIP|N/A|NA|lorem ipsum|p
 _MARKUP = re.compile(r"</?[A-Za-z][^<>\n]*>|&\w+;|https?://\S+|```\w*|[`*_#=~|]{2,}")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 _WORD = re.compile(r"[^\W_]+")
-_DENSE = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿฀-๿]")
+_DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u0e00-\u0e7f]")
 _PARENS = re.compile(r"\(([^()]*(?:\([^()]*\)[^()]*)*)\)")
 
 

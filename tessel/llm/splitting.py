@@ -69,7 +69,7 @@ def _place(n: int, count: int, limit: int, overlap: int, text: str, starts: np.n
         target = round(n * k / count)
         high = min(start + limit, n - 1)
         # the rest must still fit into the pieces that are left
-        low = max(reach, start, n - (count - k) * (limit - overlap // 2))
+        low = max(reach, start, n - (count - k) * (limit - overlap // 2) - 1)
         if low >= high:
             return None
         half = max(1, n // count // 2)

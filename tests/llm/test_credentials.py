@@ -1,0 +1,65 @@
+"""Problem 7: credentials."""
+
+import base64
+
+import pytest
+
+from tessel.llm import credentials as C
+
+# Values are put together here so that no scanner takes this file for a leak.
+ACCESS = "AKIA" + "Q3EXKLMNOPW7RSTU"
+REPO = "ghp_" + "aB3dE5gH7jK9mN1pQ3sT5vW7yZ9bC1dE3fG5"
+PAY = "sk_live_" + "4eC39HqLyjWDarjtT1zdp7dc"
+CHAT = "xoxb-" + "123456789012-abcDEFghiJKLmnoPQRstu"
+JWT = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=") + ".eyJzdWIiOiJhIn0abc.S5f6-_xYz1234567890abc"
+BASIC = base64.b64encode(b"alice:w0nderland!7").decode()
+KEY = "-----BEGIN RSA " + "PRIVATE KEY-----\nMIIabc+/123\nXYZ9\n-----END RSA PRIVATE KEY-----"
+
+YES = [
+    (f'const a = "{ACCESS}";', 1), (f"token: {REPO}", 1), (f"x = '{PAY}'", 1), (f"# old: bot={CHAT}", 1), (f'h = "Bearer {JWT}"', 1),
+    (f'auth = "Basic {BASIC}"', 1), (f"line\nKEY = '''\n{KEY}\n'''", 3), ("\n\nurl = 'postgres://svc:Xa8kPq2z@db.host/x'", 3),
+    ('DB_PASSWORD = "Tr0ub4dor&3x"', 1), ("passwort: Hallo!welt99", 1), ('String clientSecret = "9f86d081884c7d659a2feaa0c55ad015";', 1),
+    ('const API_KEY: &str = "0a1b2c3d4e5f60718293a4b5c6d7e8f9";', 1), ('req.Header.Set("X-Api-Key", "0a1b2c3d4e5f60718293a4b5c6d7e8f9")', 1),
+    ("curl -s -u svc:9f86d081884c7d65 https://host", 1), (f'k = ("{PAY[:16]}"\n     "{PAY[16:]}")', 1),
+]
+NO = [
+    'password = "changeme"', 'api_key = "<api-key>"', 'apiKey = "${API_KEY}"', 'secret_name = "prod/db/password"', 'token_url = "https://login.host/oauth/token"',
+    'password_label = "Forgot password?"', 'api_key = os.environ["API_KEY"]', 'api_key = "vault:kv/app#key"', 'db_password = "********"', 'DB_PASSWORD=""',
+    'url = "postgres://user:password@localhost/db"', 'url = "mysql://$USER:$PASS@host/db"', 'sha256 = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08"',
+    'request_id = "61943da8-b287-4ceb-a6e1-5a9dd98cb1ce"', "-----BEGIN PUBLIC KEY-----\nMIIB\n-----END PUBLIC KEY-----", 'cache["cache_key"] = 215',
+    "password = get_password(user)", "API_KEY = YOUR_API_KEY_HERE", 'integrity = "sha512-abc123DEF456abc123DEF456abc123DEF456=="', "", "no secrets here",
+]
+
+
+@pytest.mark.parametrize("text,line", YES)
+def test_found(text, line):
+    places = C.find(text)
+    assert [text.count("\n", 0, s) + 1 for s, _, _ in places] == [line]
+
+
+@pytest.mark.parametrize("text", NO)
+def test_no_case(text):
+    assert C.find(text) == []
+
+
+@pytest.mark.parametrize("text,line", YES)
+def test_redaction_keeps_everything_else(text, line):
+    places = C.find(text)
+    out = C.redact(text, places)
+    assert len(out) == len(text) and out.count("\n") == text.count("\n") and out != text
+    s, e, kind = places[0]
+    assert out[:s] == text[:s] and out[e:] == text[e:]
+    for a, b in zip(text[s:e], out[s:e]):
+        assert a.isdigit() == b.isdigit() and a.isupper() == b.isupper() and a.islower() == b.islower() and (a == b or a.isalnum())
+    value = text[s:e].split("://")[-1].rsplit(":", 1)[-1].strip("@")
+    assert kind == "private_key" or value not in out
+
+
+def test_table(spark):
+    rows = [(1, f"a\n{YES[0][0]}\n{YES[8][0]}"), (2, None), (3, ""), (4, NO[0]), (1, "x"), (5, "y" * 2_000_000 + f"\npwd = '{PAY}'")]
+    df = spark.createDataFrame([(i, t, "c") for i, t in rows], "id bigint, content string, kind string")
+    got = sorted((r.id, r.line_no, r.kind) for r in C.find_credentials(df).collect())
+    assert got == [(1, 2, "cloud_access_id"), (1, 3, "named_secret"), (5, 2, "payment_key")]
+    red = {r.id: r.content for r in C.redact_credentials(df).collect()}
+    assert set(red) == {1, 5} and ACCESS not in red[1] and "DB_PASSWORD" in red[1]
+    assert C.find_credentials(df.limit(0)).count() == 0
