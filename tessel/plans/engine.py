@@ -16,7 +16,7 @@ from tessel.operators import registry, routing, symbols
 from tessel.operators import vector_index as I
 from tessel.operators.embedding import HashingEmbedder, embed
 from tessel.schemas import INDEX_META, VECTORS
-from tessel.session import ensure_checkpoint_dir
+from tessel.session import ensure_checkpoint_dir, ship
 from tessel.sources.tree import read_tree
 
 
@@ -47,6 +47,7 @@ class Engine:
     """Indexes and searches in a folder of tables; every method is a few Spark jobs on the caller's session."""
 
     def __init__(self, spark: SparkSession, home: str, embedder=None):
+        ship(spark)
         self.spark, self.home = spark, home
         self.embedder = embedder or HashingEmbedder()
         self.vectors = I.VectorIndex(spark, f"{home}/vectors", VECTORS)

@@ -4,12 +4,36 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per context.
+
+    Functions that run on executors are pickled by reference. The driver serves a zip of the package, so
+    executors need neither an installation nor a path to the driver's files.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_tessel_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tessel-"), "tessel.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, dirs, names in os.walk(root):
+            dirs[:] = sorted(d for d in dirs if d != "__pycache__")
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("tessel", os.path.relpath(path, root)))
+    context.addPyFile(target)
+    context._tessel_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of the data folder ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
