@@ -140,3 +140,10 @@ def shell_imports(texts: DataFrame, text_col: str, *keys: str) -> DataFrame:
     rows = exploded(texts, text_col, *keys)
     got = F.regexp_extract("line", r"^(?:source|\.)\s+(['\"]?)(.*?)\1\s*$", 2)
     return rows.select(*keys, F.col("ln").alias("line"), T.strip(got).alias("import")).where(F.col("import") != "")
+
+
+def config_imports(texts: DataFrame, text_col: str, *keys: str) -> DataFrame:
+    """``(keys, line, import)`` of include and source lines of configuration texts, quotes removed."""
+    rows = exploded(texts, text_col, *keys)
+    got = F.regexp_extract("line", r"(?i)^(?:include(?:path|optional)?\s+|source\s+|\.\s+)(\S+)", 1)
+    return rows.select(*keys, F.col("ln").alias("line"), T.unquote(got).alias("import")).where(F.col("import") != "")

@@ -17,6 +17,7 @@ from tessel.operators import vector_index as I
 from tessel.operators.embedding import HashingEmbedder, embed
 from tessel.schemas import INDEX_META, VECTORS
 from tessel.session import ensure_checkpoint_dir, ship
+from tessel.sources.archives import extract
 from tessel.sources.tree import read_tree
 
 
@@ -53,8 +54,11 @@ class Engine:
         self.vectors = I.VectorIndex(spark, f"{home}/vectors", VECTORS)
         self.meta_path = f"{home}/index_meta"
 
-    def analyse(self, files: DataFrame) -> DataFrame:
-        """Chunks of ``files(path, rel_path, content)`` with both graphs."""
+    def analyse(self, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Chunks of ``files(path, content)`` with both graphs, and the edges of the import and call graph.
+
+        What is read more than once is checkpointed, so files are parsed once whatever the plan branches into.
+        """
         ensure_checkpoint_dir(self.spark)
         routed = routing.routed(files).withColumn("dialect", routing.config_dialect(F.col("path")))
         parsed = symbols.extract_symbols(routed).checkpoint()
@@ -66,7 +70,8 @@ class Engine:
         plain = L.key_values(left.where("language = 'config'"), "text", "path").withColumn("kind", F.when(F.col("kind") == "section", "type").otherwise("function"))
         plain = plain.withColumn("ord", F.row_number().over(L.Window.partitionBy("path", "kind").orderBy("line")) - 1)
         plain = plain.withColumn("type_kind", F.when(F.col("kind") == "type", "section"))
-        sourced = L.shell_imports(left.where("language = 'shell'"), "text", "path").select("path", F.lit("import").alias("kind"), order("line").alias("ord"), F.col("import").alias("name"), "line")
+        sourced = L.shell_imports(left.where("language = 'shell'"), "text", "path").unionByName(L.config_imports(left.where("language = 'config'"), "text", "path"))
+        sourced = sourced.select("path", F.lit("import").alias("kind"), order("line").alias("ord"), F.col("import").alias("name"), "line")
         all_symbols = parsed.where("kind <> 'unread'")
         for more in (shell, plain, sourced):
             all_symbols = all_symbols.unionByName(more.withColumnRenamed("path", "file_path"), allowMissingColumns=True)
@@ -77,13 +82,13 @@ class Engine:
         names = base.select(*repo, "file_path", "language")
         listed = all_symbols.where("kind = 'import'").join(base.select("file_path", "language"), "file_path")
         imports = listed.select(*repo, "file_path", "language", "ord", F.col("name").alias("import"))
-        import_nodes = G.adjacency(G.import_edges(G.resolve_imports(imports, names)))
+        import_edges = G.import_edges(G.resolve_imports(imports, names)).checkpoint()
         functions = all_symbols.where("kind = 'function'").select(*repo, "file_path", "ord", "name", "calls")
         raw = functions.select(*repo, "file_path", "name", F.explode("calls").alias("call"))
-        resolved = G.resolve_calls(raw, functions)
-        parts = C.chunks(base, all_symbols)
-        parts = C.with_import_graph(parts, import_nodes)
-        return C.with_call_graph(parts, G.adjacency(G.call_edges(resolved)), G.external_calls(resolved))
+        resolved = G.resolve_calls(raw, functions).checkpoint()
+        call_edges = G.call_edges(resolved)
+        parts = C.with_import_graph(C.chunks(base, all_symbols), G.adjacency(import_edges))
+        return C.with_call_graph(parts, G.adjacency(call_edges), G.external_calls(resolved)), import_edges, call_edges
 
     def index(self, root: str, namespace: str | None = None, project_id: str | None = None, include_dotfiles: bool = False) -> int:
         """Index a folder in place of the tenant's earlier index; the number of vectors."""
@@ -92,15 +97,24 @@ class Engine:
         name = os.path.basename(os.path.normpath(root))
         return self.index_files(read_tree(self.spark, root, include_dotfiles=include_dotfiles), namespace or name, project_id or name)
 
+    def index_archive(self, archive: str, namespace: str, project_id: str, staging: str | None = None) -> int:
+        """As ``index``, for a zip archive, extracted into a fresh folder that all executors see."""
+        return self.index(extract(archive, staging), namespace, project_id)
+
     def index_files(self, files: DataFrame, namespace: str, project_id: str) -> int:
         """As ``index``, for files that are rows already."""
-        parts = embed(self.analyse(files), self.embedder)
+        parts, import_edges, call_edges = self.analyse(files)
+        parts = embed(parts, self.embedder)
         known = [c for c in parts.columns if c not in ("embedding", "content", "chunk_id")]
         rows = parts.select(
             F.lit(namespace).alias("namespace"), F.lit(project_id).alias("project_id"), "chunk_id", "file_path", "chunk_type", "symbol_name",
             "line_number", "content", F.to_json(F.struct(*known)).alias("metadata"), "embedding", F.current_timestamp().alias("created_at"),
         )
         self.vectors.add(rows, replace=True)
+        tenant = [F.lit(namespace).alias("namespace"), F.lit(project_id).alias("project_id")]
+        for name, edges in (("import_edges", import_edges), ("call_edges", call_edges)):
+            out = edges.select(*tenant, "src", "dst").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            out.partitionBy(*I.TENANT).parquet(f"{self.home}/{name}")
         total = self.vectors.count(namespace, project_id)
         if not total:
             self.vectors.delete(namespace, project_id)

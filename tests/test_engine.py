@@ -91,8 +91,16 @@ def test_whole_engine(spark, tmp_path):
     assert [r["rank"] for r in hits] == [1, 2, 3] and hits[0].symbol_name == "helper"
     info = engine.info("repo", "repo")
     assert info["total_vectors"] == total and info["index_meta"]["embedding_dim"] == 64
+    edges = spark.read.parquet(f"{engine.home}/import_edges").collect()
+    assert [(r.src, r.dst, r.project_id) for r in edges] == [(path, f"{repo}/util.py", "repo")]
     (repo / "a.py").unlink()
-    assert engine.index(str(repo)) == total - 5 - 0
+    assert engine.index(str(repo)) == total - 5
+
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("top/x.py", "def only(a):\n    return a\n")
+    assert engine.index_archive(str(tmp_path / "z.zip"), "z", "z", str(tmp_path)) == 2 and engine.vectors.count("repo", "repo") == total - 5
     engine.delete("repo", "repo")
     assert engine.info("repo", "repo") == {"total_vectors": 0, "index_meta": {}}
     for bad in (lambda: engine.search_text("a", "b", ""), lambda: engine.embed(""), lambda: engine.search_vector("a", "b", [1.0]), lambda: engine.index("/nowhere")):

@@ -35,6 +35,11 @@ def test_shell(spark):
     assert [r["import"] for r in L.shell_imports(df, "content", "id").collect()] == ["./lib.sh"]
 
 
+def test_config_imports(spark):
+    df = frame_of(spark, [(1, "Include 'a.conf'\ninclude\nx = 1\n. b.sh\nincludePath c\n", "x"), (2, None, "x")])
+    assert [(r.line, r["import"]) for r in L.config_imports(df, "content", "id").orderBy("line").collect()] == [(0, "a.conf"), (3, "b.sh"), (4, "c")]
+
+
 def indent_end(lines, start, reach=200):
     base = len(lines[start]) - len(lines[start].lstrip())
     for i in range(start + 1, min(len(lines), start + reach)):

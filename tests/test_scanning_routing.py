@@ -79,3 +79,17 @@ def test_dialects(spark):
     pairs = [("a.YML", "yaml"), ("a.toml", "toml"), ("a.json", "json"), ("a.cfg", "ini"), ("Makefile", "ini"), ("prod.env", "env"), ("config", "config"), ("a.jsonc", "jsonc")]
     df = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(pairs)], "i int, path string")
     assert [r[0] for r in df.orderBy("i").select(routing.config_dialect(F.col("path"))).collect()] == [d for _, d in pairs]
+
+
+def test_webhook():
+    from tessel.sources.webhook import notice, notify
+
+    sent = []
+    job = {"job_id": "1", "webhook_url": "https://h/x"}
+    assert notify(job, lambda *a: sent.append(a), "s") and sent[0][0] == "https://h/x" and sent[0][2]["X-Signature"].startswith("sha256=")
+    assert not notify({"job_id": "1"}, lambda *a: sent.append(a)) and "X-Signature" not in notice(job)[1]
+
+    def fails(*_):
+        raise OSError
+
+    assert not notify(job, fails)
