@@ -53,13 +53,13 @@ KEYWORDS = {
     " -u ": "user_option", "--user ": "user_option", "--user=": "user_option",
     "basic ": "basic_auth", "bearer ": "bearer_auth",
     "passw": "named", "passphrase": "named", "pwd": "named", "_pass": "named", "smtppass": "named", "dbpass": "named",
-    "pass_": "named", "senha": "named", "contrase": "named", "clave": "named", "motdepasse": "named", "mot_de_passe": "named",
+    "pass_": "named", "-pass": "named", 'pass"': "named", "pass'": "named", "pass=": "named", "pass:": "named", "pass =": "named", "senha": "named", "contrase": "named", "clave": "named", "motdepasse": "named", "mot_de_passe": "named",
     "kennwort": "named", "geheim": "named", "secret": "named", "api_key": "named", "apikey": "named", "api-key": "named",
     "token": "named", "accesskey": "named", "access_key": "named", "access-key": "named", "auth_key": "named",
     "signing_key": "named", "credential": "named",
 }
 _SECRET_NAME = re.compile(
-    r"((?:passw(?:or)?[dt]|passphrase|(?<![A-Za-z])pass(?![A-Za-z])|(?<=[a-z])Pass(?![a-z])|pwd|senha|contrase(?:n|ñ)a|clave"
+    r"((?:passw(?:or)?[dt]|passphrase|(?<![A-Za-z])pass(?![A-Za-z])|(?-i:(?<=[a-z])Pass(?![a-z]))|pwd|senha|contrase(?:n|ñ)a|clave"
     r"|mot_?de_?passe|kennwort|geheimnis|secret|api[_-]?key|access[_-]?key|auth[_-]?key|signing[_-]?key|token|credentials?)"
     r"([A-Za-z0-9_\-]{0,80}))[\"'\]]*[ \t]*(?::[ \t]*&?(?:'static )?(?:str|String|string)[ \t]*=|=>|:=|:|=|,)[ \t]*\(?[ \t]*"
     r"(?:\"([^\"\n]*)\"|'([^'\n]*)'|`([^`\n]*)`|([^\s\"'`,;)]+))",

@@ -20,7 +20,7 @@ YES = [
     (f'auth = "Basic {BASIC}"', 1), (f"line\nKEY = '''\n{KEY}\n'''", 3), ("\n\nurl = 'postgres://svc:Xa8kPq2z@db.host/x'", 3),
     ('DB_PASSWORD = "Tr0ub4dor&3x"', 1), ("passwort: Hallo!welt99", 1), ('String clientSecret = "9f86d081884c7d659a2feaa0c55ad015";', 1),
     ('const API_KEY: &str = "0a1b2c3d4e5f60718293a4b5c6d7e8f9";', 1), ('req.Header.Set("X-Api-Key", "0a1b2c3d4e5f60718293a4b5c6d7e8f9")', 1),
-    ("curl -s -u svc:9f86d081884c7d65 https://host", 1), (f'k = ("{PAY[:16]}"\n     "{PAY[16:]}")', 1),
+    ('req.Header.Set("X-Smtp-Pass", "Rus?quimir31x")', 1), ("smtpPass: 'Rus?quimir31x'", 1), ("curl -s -u svc:9f86d081884c7d65 https://host", 1), (f'k = ("{PAY[:16]}"\n     "{PAY[16:]}")', 1),
 ]
 NO = [
     'password = "changeme"', 'api_key = "<api-key>"', 'apiKey = "${API_KEY}"', 'secret_name = "prod/db/password"', 'token_url = "https://login.host/oauth/token"',
