@@ -18,10 +18,10 @@ from tessel.functions.keys import chunk_id, iso_utc
 from tessel.operators import chunks as C
 from tessel.operators import graphs as G
 from tessel.operators import lines as L
-from tessel.operators import metadata, registry, routing, scanning
+from tessel.operators import metadata, registry, routing, scanning, symbols
 from tessel.operators import vector_index as I
 from tessel.operators.embedding import LOCAL_LIMIT, HashingEmbedder, embed
-from tessel.session import table
+from tessel.session import ensure_checkpoint_dir, table
 
 CUT = "2025-07-01"  # earlier rows of the vector table are taken as stored, later ones as coming in
 SEARCH_TEXT = "the worker skips the stale snapshot while the queue reloads the cursor"
@@ -198,6 +198,47 @@ def file_summaries(spark: SparkSession, sf: str) -> DataFrame:
     return files.join(held, "file_path").select("file_path", text.alias("content"))
 
 
+def python_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """Functions that parsing finds in the Python files; the given table of functions is the reference."""
+    return _symbols(spark, sf).where("kind = 'function' AND lower(file_path) LIKE '%.py'").select("file_path", "ord", "name", "line", "signature")
+
+
+def _symbols(spark: SparkSession, sf: str) -> DataFrame:
+    files = table(spark, sf, "source_files").select("path", "content")
+    routed = routing.routed(files).withColumn("dialect", routing.config_dialect(F.col("path")))
+    return symbols.extract_symbols(routed).distinct()
+
+
+def source_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """All symbols of all source files."""
+    return _symbols(spark, sf).where("kind <> 'unread'")
+
+
+def source_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of all parsed source files, with their ids and the md5 of their text."""
+    files = table(spark, sf, "source_files").select("path", "content")
+    routed = routing.routed(files).withColumn("dialect", routing.config_dialect(F.col("path")))
+    texts = symbols.decoded(routed, "path", "language").groupBy("path").agg(F.max("language").alias("language"), F.max("text").alias("text"))
+    base = texts.select(F.col("path").alias("file_path"), "language", P.stem(F.col("path")).alias("package"), "text")
+    # five kinds of chunks read both, so both are made once
+    ensure_checkpoint_dir(spark)
+    parts = C.chunks(base.checkpoint(), source_symbols(spark, sf).checkpoint())
+    return parts.select("file_path", "chunk_type", "symbol_name", "line_number", "chunk_id", F.md5("content").alias("content"))
+
+
+def indent_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the block that the first line of each Python row opens ends."""
+    rows = table(spark, sf, "vector_store").where("chunk_type IN ('function', 'class') AND lower(file_path) LIKE '%.py'")
+    lines = T.lines(F.col("content"))
+    return rows.select("id", L.body_end_by_indent(lines, F.lit(0)).alias("end"))
+
+
+def brace_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the first braces opened in each Go or script row are closed."""
+    rows = table(spark, sf, "vector_store").where("chunk_type = 'function' AND file_path RLIKE '[.](go|js|ts|mjs|cjs)$'")
+    return rows.select("id", L.body_end_by_braces(T.lines(F.col("content")), F.lit(0)).alias("end"))
+
+
 # ---- graphs -------------------------------------------------------------------------------------------
 
 
@@ -316,7 +357,7 @@ def embedder_choice(spark: SparkSession, sf: str) -> DataFrame:
 _ALL = (
     knn_topk, knn_tenant, knn_clamped, knn_code, vector_norms, vector_dimensions, text_search, tenant_counts, tenant_delete, upsert_rows,
     stale_rows, live_rows, chunk_ids, metadata_fields, first_occurrence, scan_filters, language_route, path_parts, line_frames,
-    key_value_entries, shell_functions, file_summaries, import_edges, unresolved_imports, import_nodes, enriched_rows, call_edges,
+    key_value_entries, shell_functions, file_summaries, python_functions, source_symbols, source_chunks, indent_bodies, brace_bodies, import_edges, unresolved_imports, import_nodes, enriched_rows, call_edges,
     external_calls, called_by, symbol_lookup, job_latest, job_counts, job_times, tenant_info, meta_upsert, recent_tenants, embedder_choice,
 )
 
@@ -513,6 +554,20 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN len(names) > 0 THEN 'Functions: ' || array_to_string(names[1:20], ', ') END,
                    CASE WHEN len(imports) > 0 THEN 'Imports: ' || array_to_string(imports[1:15], ', ') END) AS content
             FROM f LEFT JOIN n USING (file_path)""",
+        "python_functions": "SELECT DISTINCT file_path, ord, name, line, signature FROM function_info WHERE lower(file_path) LIKE '%.py'",
+        "indent_bodies": f"""
+            WITH t AS (SELECT id, {lines('content')} AS l FROM vector_store WHERE chunk_type IN ('function', 'class') AND lower(file_path) LIKE '%.py'),
+            w AS (SELECT id, l, list_transform(l, lambda x: length(x) - length(regexp_replace(x, '^\\s+', ''))) AS d FROM t),
+            p AS (SELECT id, l, list_position(list_transform(range(2, least(len(l), 200) + 1), lambda i: {strip('l[i]')} <> '' AND d[i] <= d[1]), true) AS pos FROM w)
+            SELECT id, CAST(CASE WHEN pos > 0 THEN pos ELSE least(len(l), 200) END AS INTEGER) AS "end" FROM p""",
+        "brace_bodies": f"""
+            WITH t AS (SELECT id, {lines('content')} AS l FROM vector_store WHERE chunk_type = 'function' AND regexp_matches(file_path, '[.](go|js|ts|mjs|cjs)$')),
+            m AS (SELECT id, unnest(string_split(s, '')) AS c, unnest(generate_series(1, length(s))) AS k
+                  FROM (SELECT id, regexp_replace(array_to_string(l[1:300], chr(10)), '[^{{}}\\n]', '', 'g') AS s FROM t) WHERE s <> ''),
+            w AS (SELECT *, sum(CASE c WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER o AS depth, max(CASE c WHEN '{{' THEN 1 ELSE 0 END) OVER o AS opened,
+                  sum(CASE c WHEN chr(10) THEN 1 ELSE 0 END) OVER o AS line FROM m WINDOW o AS (PARTITION BY id ORDER BY k ROWS UNBOUNDED PRECEDING)),
+            e AS (SELECT id, min(line) AS line FROM w WHERE c = '}}' AND opened = 1 AND depth = 0 GROUP BY 1)
+            SELECT t.id, CAST(coalesce(e.line + 1, least(len(l), 30)) AS INTEGER) AS "end" FROM t LEFT JOIN e USING (id)""",
         "import_edges": _RESOLVED + "SELECT * FROM edges",
         "unresolved_imports": _RESOLVED + """
             SELECT namespace, project_id, file_path AS src, CAST(ord AS INTEGER) AS ord, imp AS "import" FROM r WHERE target IS NULL OR target = file_path""",
