@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from tessel.llm.syntax import _SCAN, GRAMMARS, _symbols, decode
 
 _LEXED = frozenset(("python", "go", "java", "rust", "ruby", "lua", "js", "ts", "jsx", "c", "cpp", "sh"))
-_MARK = "\x01"  # stands for a string in masked code
+_MARK, _MORE = "\x01", "\x02"  # stand for a string in masked code, and for its further lines
+_PY_HEAD_END = re.compile(r":[ \t]*$|\)[ \t]*(?:->[ \t]*[^:]+)?:[ \t]+\S")
 
 _HEADS = {
     "python": re.compile(r"[ \t]*(?:async[ \t]+)?def[ \t]+(\w+)"),
@@ -70,7 +71,7 @@ def lex_lines(text: str, lang: str) -> list[tuple]:
             return "v" if groups.get("k") is not None else " "
         if groups.get("rest") is not None:
             return _MARK + groups["rest"] + "\n" * lines
-        return ("\n").join([_MARK] * (lines + 1))
+        return "\n".join([_MARK] + [_MORE] * lines)
 
     raw, code = text.split("\n"), scan.sub(mask, text)
     masked = code.split("\n")
@@ -80,7 +81,7 @@ def lex_lines(text: str, lang: str) -> list[tuple]:
         stack, depth, heads = [0], 0, {}
         for i, line in enumerate(masked):
             bare = line.strip()
-            if bare and not depth:
+            if bare and not depth and bare[0] != _MORE:
                 indent = len(line) - len(line.lstrip())
                 while indent < stack[-1]:
                     stack.pop()
@@ -111,7 +112,7 @@ def lex_lines(text: str, lang: str) -> list[tuple]:
             kind = "c" if text_line.strip() else "b"
             if kind == "c":
                 note = _LEADER.sub("", text_line)
-        elif not bare.strip(_MARK + " rRuUbBfF") and lang == "python" and not pending:
+        elif not bare.strip(_MARK + _MORE + " rRuUbBfF") and lang == "python" and not pending:
             kind, note = "s", _PY_QUOTES.sub("", text_line).rstrip()
         else:
             kind = "x"
@@ -120,7 +121,7 @@ def lex_lines(text: str, lang: str) -> list[tuple]:
                 if m:
                     pending = (next(g for g in m.groups() if g), i)
             if pending is not None:
-                done = bare.endswith(":") if lang == "python" else "{" in bare or lang in ("ruby", "lua", "sh") or bare.endswith((";", "}"))
+                done = bool(_PY_HEAD_END.search(bare)) if lang == "python" else "{" in bare or lang in ("ruby", "lua", "sh") or bare.endswith((";", "}"))
                 if done or i - pending[1] > 30:
                     head, head_at = pending if done and not bare.endswith(";") else (None, None)
                     pending = None
@@ -193,7 +194,7 @@ def function_spans(files: DataFrame) -> DataFrame:
     indented = F.lower("path").rlike(r"\.py[wi]?$")
     # indentation opens before its line, brackets after theirs
     depth = F.sum(change).over(order) - F.when(indented, F.lit(0)).otherwise(change)
-    deep = rows.withColumn("depth", depth).where("kind <> 'b'")
+    deep = rows.withColumn("depth", depth).where("kind IN ('x', 's')")
     level = Window.partitionBy("path", "depth").orderBy("ln")
     total = Window.partitionBy("path")
     spans = (
