@@ -37,6 +37,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` on at least as many partitions as there are cores.
+
+    A table in fewer splits than cores, hence a small one, would keep cores idle in front of a Python map; larger
+    inputs are left as they are, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``checkpoint()`` usable.
 
