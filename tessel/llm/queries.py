@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm import credentials, docs, handwritten, hidden_text, leakage, neighbours, repetition, splitting, syntax, tokens
-from tessel.session import table
+from tessel.session import spread, table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -18,7 +18,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_kinds(spark: SparkSession, sf: str) -> DataFrame:
     """Every source file with its kind and measures."""
-    return handwritten.classify_files(table(spark, sf, "source_files"))
+    return handwritten.classify_files(spread(table(spark, sf, "source_files").select("path", "rel_path", "content")))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,7 +63,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_faults(spark: SparkSession, sf: str) -> DataFrame:
     """Faulty files with the cost, kind and place of their least repair."""
-    return syntax.unparsable_files(table(spark, sf, "source_files"))
+    return syntax.unparsable_files(spread(table(spark, sf, "source_files").select("path", "content")))
 
 
 def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,7 +109,7 @@ def p7_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of every document."""
-    return tokens.encode_corpus(table(spark, sf, "documents"))
+    return tokens.encode_corpus(spread(table(spark, sf, "documents").select("doc_id", "text")))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,7 +119,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p9_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Aligned pairs of documents and evaluation items."""
-    return leakage.leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    return leakage.leaked_items(spread(table(spark, sf, "documents").select("doc_id", "text")), table(spark, sf, "eval_items"))
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
