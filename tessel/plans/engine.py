@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tessel.functions.paths import base_name, dir_name, stem
 from tessel.operators import chunks as C
 from tessel.operators import graphs as G
-from tessel.operators import lines as L
 from tessel.operators import registry, routing, symbols
 from tessel.operators import vector_index as I
 from tessel.operators.embedding import HashingEmbedder, embed
@@ -62,20 +61,8 @@ class Engine:
         ensure_checkpoint_dir(self.spark)
         routed = routing.routed(files).withColumn("dialect", routing.config_dialect(F.col("path")))
         parsed = symbols.extract_symbols(routed).checkpoint()
-        texts = symbols.decoded(routed, "path", "language", "dialect").checkpoint()
-        unread = parsed.where("kind = 'unread'").select(F.col("file_path").alias("path"))
-        left = texts.join(unread, "path", "left_semi")
-        order = lambda *by: F.row_number().over(L.Window.partitionBy("path").orderBy(*by)) - 1
-        shell = L.shell_symbols(left.where("language = 'shell'"), "text", "path").withColumn("ord", order("line")).withColumn("kind", F.lit("function"))
-        plain = L.key_values(left.where("language = 'config'"), "text", "path").withColumn("kind", F.when(F.col("kind") == "section", "type").otherwise("function"))
-        plain = plain.withColumn("ord", F.row_number().over(L.Window.partitionBy("path", "kind").orderBy("line")) - 1)
-        plain = plain.withColumn("type_kind", F.when(F.col("kind") == "type", "section"))
-        sourced = L.shell_imports(left.where("language = 'shell'"), "text", "path").unionByName(L.config_imports(left.where("language = 'config'"), "text", "path"))
-        sourced = sourced.select("path", F.lit("import").alias("kind"), order("line").alias("ord"), F.col("import").alias("name"), "line")
-        all_symbols = parsed.where("kind <> 'unread'")
-        for more in (shell, plain, sourced):
-            all_symbols = all_symbols.unionByName(more.withColumnRenamed("path", "file_path"), allowMissingColumns=True)
-        all_symbols = all_symbols.checkpoint()
+        texts = symbols.decoded(routed, "path", "language").checkpoint()
+        all_symbols = symbols.with_line_readers(parsed, texts).checkpoint()
         repo = [F.lit("").alias("namespace"), F.lit("").alias("project_id")]
         base = texts.select(F.col("path").alias("file_path"), "language", "text").join(packages(routed), "file_path", "left")
 

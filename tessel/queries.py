@@ -21,6 +21,7 @@ from tessel.operators import lines as L
 from tessel.operators import metadata, registry, routing, scanning, symbols
 from tessel.operators import vector_index as I
 from tessel.operators.embedding import LOCAL_LIMIT, HashingEmbedder, embed
+from tessel.plans.engine import packages
 from tessel.session import ensure_checkpoint_dir, table
 
 CUT = "2025-07-01"  # earlier rows of the vector table are taken as stored, later ones as coming in
@@ -209,20 +210,32 @@ def _symbols(spark: SparkSession, sf: str) -> DataFrame:
     return symbols.extract_symbols(routed).distinct()
 
 
+def _source_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """``(path, language, text)`` of every source file of a known language, once per path."""
+    routed = routing.routed(table(spark, sf, "source_files").select("path", "content"))
+    return symbols.decoded(routed, "path", "language").groupBy("path").agg(F.max("language").alias("language"), F.max("text").alias("text"))
+
+
+def _all_symbols(spark: SparkSession, sf: str, texts: DataFrame) -> DataFrame:
+    return symbols.with_line_readers(_symbols(spark, sf).checkpoint(), texts)
+
+
 def source_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    """All symbols of all source files."""
-    return _symbols(spark, sf).where("kind <> 'unread'")
+    """All symbols of all source files, those of the line readers included."""
+    ensure_checkpoint_dir(spark)
+    small = _source_texts(spark, sf).where("language IN ('shell', 'config')")
+    return _all_symbols(spark, sf, small.checkpoint())
 
 
 def source_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks of all parsed source files, with their ids and the md5 of their text."""
-    files = table(spark, sf, "source_files").select("path", "content")
-    routed = routing.routed(files).withColumn("dialect", routing.config_dialect(F.col("path")))
-    texts = symbols.decoded(routed, "path", "language").groupBy("path").agg(F.max("language").alias("language"), F.max("text").alias("text"))
-    base = texts.select(F.col("path").alias("file_path"), "language", P.stem(F.col("path")).alias("package"), "text")
-    # five kinds of chunks read both, so both are made once
+    """Chunks of all source files, with their ids and the md5 of their text."""
+    # five kinds of chunks and the line readers read both, so both are made once
     ensure_checkpoint_dir(spark)
-    parts = C.chunks(base.checkpoint(), source_symbols(spark, sf).checkpoint())
+    texts = _source_texts(spark, sf)
+    names = packages(texts.select("path"))
+    base = texts.withColumnRenamed("path", "file_path").join(names, "file_path", "left").checkpoint()
+    held = base.select(F.col("file_path").alias("path"), "language", "text").where("language IN ('shell', 'config')")
+    parts = C.chunks(base, _all_symbols(spark, sf, held).checkpoint())
     return parts.select("file_path", "chunk_type", "symbol_name", "line_number", "chunk_id", F.md5("content").alias("content"))
 
 

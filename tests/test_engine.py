@@ -138,3 +138,23 @@ def test_metadata(spark):
     assert [tuple(r) for r in flat.collect()] == [('["a"]', "", "3"), ("[]", "x", "")]
     assert [r.calls for r in metadata.restored(flat).collect()] == [["a"], []]
     assert [r.calls for r in metadata.restored(spark.createDataFrame([("[bad",)], "calls string")).collect()] == [[]]
+
+
+def test_source_queries_use_the_line_readers(spark, tmp_path):
+    from tessel import queries
+
+    files = {"/r/a.sh": SH, "/r/b.env": ENV, "/r/c.json": "{\nbroken: yes\n", "/r/top/__init__.py": "", "/r/top/m.py": UTIL}
+    # the same file delivered twice counts once
+    rows = [(p, bytearray(t.encode())) for p, t in [*files.items(), ("/r/a.sh", SH)]]
+    spark.createDataFrame(rows, "path string, content binary").write.parquet(f"{tmp_path}/source_files.parquet")
+    got = sorted((r.file_path, r.kind, r.ord, r.name, r.line) for r in queries.source_symbols(spark, str(tmp_path)).collect())
+    assert got == [
+        ("/r/a.sh", "function", 0, "greet", 2), ("/r/a.sh", "function", 1, "alias:ll", 5), ("/r/a.sh", "import", 0, "./lib.sh", 6),
+        ("/r/b.env", "function", 0, "HOST", 1), ("/r/b.env", "function", 1, "sec.KEY", 4), ("/r/b.env", "function", 2, "*.log", 5), ("/r/b.env", "type", 0, "sec", 3),
+        ("/r/c.json", "function", 0, "{", 0), ("/r/c.json", "function", 1, "broken", 1), ("/r/top/m.py", "function", 0, "helper", 1),
+    ]
+    mine = {(r.file_path, r.chunk_type, r.symbol_name, r.chunk_id, r.content) for r in queries.source_chunks(spark, str(tmp_path)).collect()}
+    df = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in files.items()], "path string, content binary")
+    whole = Engine(spark, f"{tmp_path}/home").analyse(df)[0].selectExpr("file_path", "chunk_type", "symbol_name", "chunk_id", "md5(content) AS content")
+    assert mine == {tuple(r) for r in whole.collect()}
+    assert {c for p, c, *_ in mine if p == "/r/a.sh"} == {"function", "imports", "file_summary"}
