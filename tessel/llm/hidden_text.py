@@ -9,8 +9,10 @@ base, since accents are often lost. The distance of a sentence to a language is
 n-grams there, an absent one counting as the last rank. A sentence is rejected if even its nearest profile is
 far, or not clearly nearer than English. Scripts decide ru, zh and ja before that.
 
-Only lines with some mark of another language are cut up: a letter outside ASCII, an escape, or one of the
-frequent short words in ``MARKS``, of which a sentence of five words is practically never free.
+Every line is cut up and classified. Where a line has no mark of another language (a letter outside ASCII, an
+escape, one of the frequent short words in ``MARKS``), names and lists of code are the likelier reading, so its
+sentences are rejected at nearer limits: a smaller distance, and a lead over English that grows as sentences get
+shorter. Such a sentence can be missed if it is far from the sample texts.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ MIN_WORDS, MIN_DENSE = 5, 8
 RANKS = 1000
 #: Rejection: largest mean rank (of 1) to the nearest profile, and least lead over English.
 MAX_DISTANCE, MIN_LEAD = 0.74, 0.015
+#: The same for lines without a mark; the lead is divided by the root of the number of words.
+BARE_DISTANCE, BARE_LEAD = 0.43, 0.36
 
 # Sample texts the profiles are trained on, written for this purpose.
 SAMPLES = {
@@ -169,19 +173,31 @@ class Profiles:
             for g, v in ranks.items():
                 self.table[self.row[g], k] = v
         self.known: dict[str, str | None] = {}
+        self.sums: dict[str, tuple[np.ndarray, int]] = {}
 
     def distances(self, words: list[str]) -> np.ndarray:
-        get = self.row.get
-        return self.table[[get(g, 0) for g in _grams(words)]].mean(axis=0)
-
-    def latin(self, words: list[str]) -> str | None:
+        total, n = np.zeros(len(LANGUAGES)), 0
+        for w in words:
+            held = self.sums.get(w)
+            if held is None:
+                rows = [self.row.get(g, 0) for g in _grams([w])]
+                held = self.table[rows].sum(axis=0), len(rows)
+                if len(self.sums) > 100_000:
+                    self.sums.clear()
+                self.sums[w] = held
+            total += held[0]
+            n += held[1]
+        return total / n
+
+    def latin(self, words: list[str], marked: bool = True) -> str | None:
         """The language of a sentence in Latin letters, or None."""
-        key = " ".join(words)
+        key = " ".join(words) if marked else "\0" + " ".join(words)
         if key in self.known:
             return self.known[key]
         d = self.distances([fold(w) for w in words])
         k = int(np.argmin(d))
-        lang = LANGUAGES[k] if d[k] <= MAX_DISTANCE and (k == 0 or d[0] - d[k] >= MIN_LEAD) else None
+        far, lead = (MAX_DISTANCE, MIN_LEAD) if marked else (BARE_DISTANCE, BARE_LEAD / len(words) ** 0.5)
+        lang = LANGUAGES[k] if d[k] <= far and (k == 0 or d[0] - d[k] >= lead) else None
         if len(self.known) > 200_000:
             self.known.clear()
         self.known[key] = lang
@@ -229,8 +245,11 @@ def unescape(text: str) -> str:
     return text
 
 
-def language(sentence: str) -> str | None:
-    """The reported language of one sentence, or None for English, code, short and unsure text."""
+def language(sentence: str, marked: bool = True) -> str | None:
+    """The reported language of one sentence, or None for English, code, short and unsure text.
+
+    ``marked`` is whether its line has some mark of another language.
+    """
     dense = len(_DENSE.findall(sentence))
     if dense >= MIN_DENSE:
         if len(_FOREIGN_DENSE.findall(sentence)) > dense:
@@ -249,7 +268,7 @@ def language(sentence: str) -> str | None:
         return None
     if len(latin) < MIN_WORDS or len(_CODE.findall(sentence)) > max(1, len(words) // 8):
         return None
-    got = profiles().latin(latin)
+    got = profiles().latin(latin, marked)
     return got if got in REPORTED else None
 
 
@@ -278,19 +297,17 @@ def _units(line: str) -> Iterator[tuple[str, str]]:
 def find_texts(content: str) -> list[tuple[str, str, str]]:
     """``(kind, language, text)`` of sentences in reported languages; repeated sentences come once."""
     out: dict[tuple[str, str], str] = {}
-    if not has_evidence(content):
-        return []
     lines = content.split("\n")
     for i, line in enumerate(lines):
-        if len(line) < MIN_DENSE or not has_evidence(line):
+        if len(line) < MIN_DENSE:
             continue
         if len(line) > 20_000 and line.count(" ") * 40 < len(line) and not _DENSE.search(line):
             continue  # data, no words
-        hit = False
+        hit, marked = False, has_evidence(line)
         for kind, text in _units(line):
             text = unescape(_TAGS.sub(" ", text)).strip()
             for sentence in _SENTENCE_END.split(text):
-                lang = language(sentence) if sentence else None
+                lang = language(sentence, marked) if sentence else None
                 if lang:
                     hit = True
                     out.setdefault((lang, sentence.strip()), kind)
@@ -302,12 +319,14 @@ def find_texts(content: str) -> list[tuple[str, str, str]]:
             near = []
             for j in range(max(0, i - 1), min(len(lines), i + 2)):
                 h = _LINE_HEAD.match(lines[j])
+                if not marked and j != i and has_evidence(lines[j]):
+                    continue  # a line with a mark reaches over to this one itself
                 if len(lines[j]) < 400 and (h.group().strip() == head.group().strip()):
                     near.append(lines[j][h.end() :])
             if len(near) > 1:
                 text = unescape(_TAGS.sub(" ", " ".join(x.strip() for x in near)))
                 for sentence in _SENTENCE_END.split(text):
-                    lang = language(sentence) if sentence else None
+                    lang = language(sentence, marked) if sentence else None
                     if lang:
                         out.setdefault((lang, sentence.strip()), "comment")
     return [(kind, lang, text) for (lang, text), kind in out.items()]

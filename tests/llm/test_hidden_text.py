@@ -56,3 +56,23 @@ def test_held_out_sentences():
         for s in sentences:
             assert H.language(s) == lang, s
             assert H.language(H.fold(s)) == lang, s
+
+
+BARE = [
+    "// A tabela de projetos substitui o caminho completo em vez de abortar o lote", 'log("O grafo de chamadas ignora o estado da sessao em vez de abortar o lote")',
+    "# O contador libera os arquivos\n# maiores em vez de abortar o lote",
+]
+
+
+@pytest.mark.parametrize("text", BARE)
+def test_sentences_without_marks_are_classified(text):
+    assert not any(H.has_evidence(line) for line in text.split("\n"))
+    assert {lang for _, lang, _ in H.find_texts(text)} == {"pt"}
+
+
+@pytest.mark.parametrize("text", [
+    "// return nil if schema.nil?", "# Imports: logging, os, json, sensor", "# Compact label margin schema: schema", "from core.schema import Weight",
+    "# Functions: routeDeltaSession, sampleQuota, enqueueSegmentDelta, enqueueTenantParcel",
+])
+def test_code_without_marks_is_no_case(text):
+    assert H.find_texts(text) == []
