@@ -9,6 +9,8 @@ How a group of rows (namespace, project) is posted follows from its size:
 
 * up to ``single`` rows: one posting for the whole group; every row is a candidate, the result is exact;
 * more: one posting per pivot, a row standing in those of its ``prefix`` nearest;
+* of these, groups of up to ``near`` rows: a row stands in those of its ``near_prefix`` nearest, since the pivots lie
+  thin in small groups and a short prefix loses most there;
 * more than ``deep`` rows: one posting per pair of pivots, so postings stay small in very large groups.
 
 Footrule with absent pivots at rank L is ``const - 2 * sum(L - max(rank_a, rank_b))`` over shared
@@ -109,6 +111,8 @@ def similar_rows(
     prefix: int = 6,
     rerank: int = 2048,
     copies: int = 64,
+    near: int = 16_384,
+    near_prefix: int = 24,
 ) -> DataFrame:
     """``(id, neighbour, similarity)``: up to ``k`` rows per live row with a usable vector.
 
@@ -121,7 +125,7 @@ def similar_rows(
     right = F.col("embedding").isNotNull() & (F.size("embedding") == dim)
     # Sizes of groups and of classes of equal vectors, from pruned scans; upper bounds of the live ones.
     large = store.where(right).groupBy(*GROUP).count().where(F.col("count") > single)
-    large = large.select(*GROUP, F.when(F.col("count") > deep, 2).otherwise(1).alias("depth"))
+    large = large.select(*GROUP, F.when(F.col("count") > deep, 2).when(F.col("count") > near, 1).otherwise(3).alias("depth"))
     hot = (
         store.where(right).groupBy(*GROUP, F.xxhash64("embedding").alias("vhash")).count()
         .where(F.col("count") > copies).select(*GROUP, "vhash", F.lit(True).alias("hot"))
@@ -138,7 +142,7 @@ def similar_rows(
     else:
         rows, pivots = rows.withColumn("depth", F.lit(None).cast("int")), np.zeros((0, dim))
 
-    posted = _posted(rows, pivots, dim, prefix) if has_large else rows.select(
+    posted = _posted(rows, pivots, dim, prefix, near_prefix) if has_large else rows.select(
         *GROUP, F.lit(-1).cast("bigint").alias("posting"), "id", "embedding",
         F.array().cast("array<int>").alias("pivots"),
     )
@@ -202,10 +206,10 @@ def _fit_pivots(rows: DataFrame, n_pivots: int, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _posted(rows: DataFrame, pivots: np.ndarray, dim: int, prefix: int) -> DataFrame:
+def _posted(rows: DataFrame, pivots: np.ndarray, dim: int, prefix: int, near_prefix: int) -> DataFrame:
     """Each row once per posting it stands in."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    depth_of = min(prefix, len(pivots))
+    depth_of, near_of = min(prefix, len(pivots)), min(max(prefix, min(near_prefix, len(pivots) // 16)), len(pivots))  # more pivots would narrow nothing
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,14 +220,18 @@ def _posted(rows: DataFrame, pivots: np.ndarray, dim: int, prefix: int) -> DataF
                 keep = np.flatnonzero(_usable(x))
                 depth = np.zeros(n, dtype=np.int64)
                 depth[:] = np.nan_to_num(part.column("depth").to_numpy(zero_copy_only=False).astype(float))
-                orders = np.zeros((n, depth_of), dtype=np.int32)
+                orders = np.zeros((n, near_of), dtype=np.int32)
                 if len(keep):
-                    orders[keep] = pivot_orders(x[keep], pivots, depth_of)
+                    orders[keep] = pivot_orders(x[keep], pivots, near_of)
                 row, key = [], []
                 flat = keep[depth[keep] == 0]
                 row.append(flat)
                 key.append(np.full(len(flat), -1, dtype=np.int64))
                 one, two = keep[depth[keep] == 1], keep[depth[keep] == 2]
+                close = keep[depth[keep] == 3]
+                for i in range(near_of):
+                    row.append(close)
+                    key.append(orders[close, i].astype(np.int64))
                 for i in range(depth_of):
                     row.append(one)
                     key.append(orders[one, i].astype(np.int64))
@@ -233,7 +241,9 @@ def _posted(rows: DataFrame, pivots: np.ndarray, dim: int, prefix: int) -> DataF
                         key.append(1_000_000 + np.minimum(a, b) * len(pivots) + np.maximum(a, b))
                 row, key = np.concatenate(row), np.concatenate(key)
                 taken = part.take(pa.array(row))
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(orders[row].ravel()), depth_of).cast(pa.list_(pa.int32()))
+                sizes = np.where(depth[row] == 3, near_of, depth_of)
+                held = orders[row][np.arange(near_of) < sizes[:, None]]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), type=pa.int32()), pa.array(held, type=pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [taken.column("namespace"), taken.column("project_id"), pa.array(key), taken.column("id"), taken.column("embedding"), lists],
                     names=[*GROUP, "posting", "id", "embedding", "pivots"],

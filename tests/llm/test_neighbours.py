@@ -98,3 +98,14 @@ def test_footrule_overlap_is_the_footrule():
     for i in range(20):
         for j in range(20):
             assert footrule(orders[i], orders[j]) == const - 2 * overlap[i, j]
+
+
+def test_recall_just_above_the_exact_limit(spark):
+    rng = np.random.default_rng(5)
+    t = datetime(2025, 1, 1)
+    x = rng.normal(size=(2049, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, "n", "p", f"c{i}", v.tolist(), t, "x", 1) for i, v in enumerate(x)], SCHEMA)
+    a, b, _ = N.nearest(np.arange(2049), x.astype(float), 5)
+    true, got = set(zip(a.tolist(), b.tolist())), directed(N.similar_rows(df))
+    recall = len(got & true) / len(true)
+    assert recall > 0.95, recall
