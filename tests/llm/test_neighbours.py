@@ -64,14 +64,25 @@ def test_fewer_than_k_others_and_empty_tables(spark):
     assert N.similar_rows(df.limit(0)).count() == 0
 
 
-def test_posted_groups_reach_the_recall(spark):
+def recall_of(got, true):
+    return len(got & true) / len(true)
+
+
+def test_spread_groups_reach_the_recall(spark):
     rows = make(1500, groups=1)
     df = spark.createDataFrame(rows, SCHEMA)
     true = brute(rows)
-    one = directed(N.similar_rows(df, single=100, n_pivots=24, rerank=200))
-    two = directed(N.similar_rows(df, single=100, deep=200, n_pivots=8, prefix=6, rerank=4096))
-    for got in (one, two):
-        assert len(got & true) / len(true) > 0.9 and len(got) == len(true)
+    long_files = directed(N.similar_rows(df, block=200, density=30, wide_prefix=6, rerank=4096))  # files of more than a block
+    short_files = directed(N.similar_rows(df, block=700, density=12, rerank=100))
+    for got in (long_files, short_files):
+        assert recall_of(got, true) > 0.9 and len(got) == len(true)
+
+
+def test_rows_without_enough_candidates_are_compared_with_all(spark):
+    rows = [r for r in make(60, groups=1) if r[1] == "ns"]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = directed(N.similar_rows(df, block=20, density=1, wide_prefix=1, max_pivots=60))
+    assert len(got) == len(brute(rows))
 
 
 def test_many_equal_vectors_keep_exact_answers(spark):
@@ -93,19 +104,22 @@ def test_footrule_overlap_is_the_footrule():
         rank = lambda o, p: list(o).index(p) if p in o else depth
         return sum(abs(rank(a, p) - rank(b, p)) for p in range(pivots))
 
-    overlap = N.footrule_overlap(orders, orders)
+    files = N.inverted_files(orders)
+    overlap = np.concatenate([N.footrule_overlap(files, 0, 7, 20), N.footrule_overlap(files, 7, 20, 20)])
     const = depth * (depth + 1)
     for i in range(20):
         for j in range(20):
             assert footrule(orders[i], orders[j]) == const - 2 * overlap[i, j]
 
 
-def test_recall_just_above_the_exact_limit(spark):
+def test_recall_of_one_task_and_above(spark):
     rng = np.random.default_rng(5)
     t = datetime(2025, 1, 1)
     x = rng.normal(size=(2049, 64)).astype(np.float32)
     df = spark.createDataFrame([(i, "n", "p", f"c{i}", v.tolist(), t, "x", 1) for i, v in enumerate(x)], SCHEMA)
-    a, b, _ = N.nearest(np.arange(2049), x.astype(float), 5)
-    true, got = set(zip(a.tolist(), b.tolist())), directed(N.similar_rows(df))
-    recall = len(got & true) / len(true)
-    assert recall > 0.95, recall
+    everywhere = np.zeros((2049, 1), dtype=np.int32)
+    a, b, _ = N.nearest(np.arange(2049), x.astype(float), 5, everywhere, rerank=4096)
+    true = set(zip(a.tolist(), b.tolist()))
+    assert len(true) == 5 * 2049
+    for got in (directed(N.similar_rows(df)), directed(N.similar_rows(df, block=1024))):
+        assert recall_of(got, true) > 0.9, recall_of(got, true)
