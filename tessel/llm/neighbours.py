@@ -177,6 +177,7 @@ def similar_rows(
     prefix: int = PREFIX,
     rerank: int = RERANK,
     wide_prefix: int = 12,
+    wide_rerank: int = 2048,
     density: int = 128,
     max_pivots: int = 16_384,
     copies: int = 64,
@@ -211,7 +212,7 @@ def similar_rows(
 
     found = rows.groupBy(*GROUP).applyInArrow(search, RESULT)
     if spread is not None:
-        found = found.unionByName(_spread_search(spread, k, dim, block, rerank, wide_prefix, density, max_pivots))
+        found = found.unionByName(_spread_search(spread, k, dim, block, wide_rerank, wide_prefix, density, max_pivots))
     if extras is not None:
         found = found.unionByName(
             extras.join(found.withColumnRenamed("id", "model"), "model").select("id", "neighbour", "similarity")

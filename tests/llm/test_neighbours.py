@@ -72,8 +72,8 @@ def test_spread_groups_reach_the_recall(spark):
     rows = make(1500, groups=1)
     df = spark.createDataFrame(rows, SCHEMA)
     true = brute(rows)
-    long_files = directed(N.similar_rows(df, block=200, density=30, wide_prefix=6, rerank=4096))  # files of more than a block
-    short_files = directed(N.similar_rows(df, block=700, density=12, rerank=100))
+    long_files = directed(N.similar_rows(df, block=200, density=30, wide_prefix=6))  # files of more than a block
+    short_files = directed(N.similar_rows(df, block=700, density=12, wide_rerank=100))
     for got in (long_files, short_files):
         assert recall_of(got, true) > 0.9 and len(got) == len(true)
 
