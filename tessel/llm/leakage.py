@@ -2,56 +2,50 @@
 
 Method: *rare n-gram seeds, then Smith-Waterman alignment*.
 
-1. Every run of ``SEED`` words of a test item is a possible seed. One pass over the corpus finds, by a
-   table of the items' seed hashes, the places where seeds occur; only texts with one go on, and with
-   them only the words around the places.
-2. How many texts hold a seed is counted over the whole corpus. Of each window of ``window`` words of an
-   item only the rarest seed is kept. Every such window keeps one, so a text that holds the window holds
-   a kept seed: rarity removes work and never a case. Stock phrases are seeds only where nothing rarer
-   is there.
-3. Around the places of kept seeds the words of text and item are aligned by Smith-Waterman with affine-free
-   gap costs; score, share of the item and the longest exact run come out, so edited copies get a score.
-
-The items are broadcast: a test collection is fixed in size, does not grow with the corpus, and its size is
-checked (``MAX_ITEM_WORDS``); larger collections are cut in slices, each of them run in turn.
+1. Every run of ``SEED`` words of a test item is a possible seed. A bit map of their hashes, of fixed size whatever
+   the collection, is all that the corpus scan needs; it counts how many texts hold each seed.
+2. Of each window of ``window`` words of an item the rarest seed that the corpus holds is kept. If all seeds of the
+   window occur, a text may hold the window itself, and the seed is kept however frequent: rarity removes work and
+   never a case. If some seed is missing, only an edited copy is possible; there the seed is kept if it is rare, that
+   is if at most ``rare_share`` of the texts hold it, so stock phrases alone join nothing.
+3. A second scan takes the texts that hold a kept seed. Seeds join texts and items as rows; the words of each joined
+   pair are aligned by Smith-Waterman over their whole length, equal texts once. Score, equal words, share of the item
+   in common runs and longest exact run come out.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.llm.words import batch_words, doc_grams
 from tessel.session import ensure_checkpoint_dir
 
-SEED = 8
+SEED = 6
 WINDOW = 13
-MAX_ITEM_WORDS = 2_000_000
+#: Share of the corpus up to which a seed is rare.
+RARE_SHARE = 0.001
+#: Bits of the seed filter; more seeds than that make it pass more, never less.
+FILTER_BITS = 1 << 23
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Words kept on either side of a seed for the alignment; edits further away start at another seed.
-MARGIN = 64
 
 
-def _items_table(rows: list[tuple[int, str | None]]):
-    """Word hashes of the items and the sorted hashes of their seeds."""
-    batch = batch_words(pa.array([t for _, t in rows], type=pa.string()), nfkc=True)
-    grams, at = doc_grams(batch, SEED)
-    return batch, grams, at
-
-
-def _find(part: pa.Array, seeds: np.ndarray):
-    """Places of seeds in a batch of texts, as (row, seed hash, index of first word), and the words."""
-    batch = batch_words(part, nfkc=True)
-    grams, at = doc_grams(batch, SEED)
-    where = np.searchsorted(seeds, grams)
-    where[where == len(seeds)] = 0
-    hit = seeds[where] == grams if len(seeds) else np.zeros(len(grams), dtype=bool)
-    return batch, grams[hit], at[hit]
+def _filter(seeds: DataFrame) -> np.ndarray:
+    """Bit map (as booleans) of the low bits of ``seeds.seed``; at most ``FILTER_BITS`` bits come to the driver."""
+    place = F.col("seed").bitwiseAND(FILTER_BITS - 1)
+    rows = (
+        seeds.select(F.floor(place / 32768).alias("part"), (place % 32768).alias("bit"))
+        .groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map")).collect()
+    )
+    out = np.zeros(FILTER_BITS, dtype=bool)
+    for part, bits in rows:
+        out[part * 32768 : (part + 1) * 32768] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little")
+    return out
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -77,135 +71,139 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best // big, best % big
 
 
-def longest_run(a: np.ndarray, b: np.ndarray) -> int:
-    """The longest run of equal consecutive words of two word arrays."""
-    best, prev = 0, np.zeros(len(b) + 1, dtype=np.int64)
-    for x in a:
+def common_runs(a: np.ndarray, b: np.ndarray, least: int = SEED) -> tuple[int, int]:
+    """The longest run of equal consecutive words, and how many words of ``a`` lie in common runs of ``least`` words."""
+    longest, covered = np.zeros(len(a), dtype=np.int64), np.zeros(len(a), dtype=bool)
+    prev = np.zeros(len(b) + 1, dtype=np.int64)
+    for i, x in enumerate(a):
         cur = np.zeros(len(b) + 1, dtype=np.int64)
         cur[1:] = np.where(b == x, prev[:-1] + 1, 0)
-        best = max(best, int(cur.max()))
+        longest[i] = cur.max()
         prev = cur
-    return best
+    for i in np.flatnonzero(longest >= least):
+        covered[i - longest[i] + 1 : i + 1] = True
+    return int(longest.max(initial=0)), int(covered.sum())
+
+
+def _key(words: np.ndarray) -> bytes:
+    return hashlib.blake2b(words.tobytes(), digest_size=16).digest()
+
+
+def _item_rows(items: DataFrame, n: int) -> DataFrame:
+    """``(item_id, item_key, words, seeds)`` of each different item; ``seeds[i]`` starts at word i."""
+    kind = items.schema["item_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch_words(batch.column(1), nfkc=True)
+            grams, at = doc_grams(words, n)
+            ends, first = np.cumsum(words.counts()), np.cumsum(np.bincount(words.doc[at], minlength=words.n_docs))
+            own = [words.hashes[e - c : e] for e, c in zip(ends, words.counts())]
+            seeds = [grams[e - c : e] for e, c in zip(first, np.diff(first, prepend=0))]
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array([_key(w) for w in own], pa.binary()),
+                    pa.array([w.view(np.int64) for w in own], longs), pa.array([x.view(np.int64) for x in seeds], longs),
+                ],
+                names=["item_id", "item_key", "words", "seeds"],
+            )
+
+    one = items.select("item_id", "text").distinct()
+    rows = one.mapInArrow(run, f"item_id {kind}, item_key binary, words array<bigint>, seeds array<bigint>")
+    return rows.where("size(seeds) > 0")
+
+
+def _hits(batch: pa.RecordBatch, bits: np.ndarray, n: int):
+    """Words of a batch of texts, and the seeds that pass the filter with their text's row."""
+    words = batch_words(batch.column(batch.num_columns - 1), nfkc=True)
+    grams, at = doc_grams(words, n)
+    hit = bits[(grams & np.uint64(FILTER_BITS - 1)).astype(np.int64)]
+    return words, grams[hit], words.doc[at[hit]]
 
 
 def leaked_items(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, min_score: int | None = None
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, min_score: int | None = None, seed: int = SEED, rare_share: float = RARE_SHARE
 ) -> DataFrame:
     """Pairs ``(doc_id, item_id)`` with ``score``, ``equal_words``, ``item_share`` and ``longest_run``.
 
-    Every pair that shares ``window`` consecutive words (after NFKC, case-folded, punctuation and layout
-    ignored) is returned, without repeated rows; repeated document rows count once. Items and texts that
-    are null, empty or shorter than ``window`` words match nothing. Pairs scoring below ``min_score``
-    (default: a run of ``window`` equal words) are left out.
+    Every pair that shares ``window`` consecutive words (after NFKC, case-folded, punctuation and layout ignored) is
+    returned, and every pair that shares a rare kept seed and aligns with ``min_score`` (default: a run of ``window``
+    equal words). No repeated rows; repeated document rows count once. Items and texts that are null, empty or shorter
+    than ``seed`` words match nothing. ``item_share`` sums all common runs of ``seed`` words. Extra columns are ignored.
     """
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     least = MATCH * window if min_score is None else min_score
-    rows = [(r[0], r[1]) for r in items.select("item_id", "text").distinct().orderBy("item_id", "text").collect()]
-    slices, size = [[]], 0
-    for r in rows:
-        n = len((r[1] or "").split())
-        if size + n > MAX_ITEM_WORDS and slices[-1]:
-            slices.append([])
-            size = 0
-        slices[-1].append(r)
-        size += n
-    return reduce(
-        DataFrame.unionByName, (_leaked_slice(docs, s, window, least) for s in slices)
-    ).groupBy("doc_id", "item_id").agg(
-        *(F.max(c).alias(c) for c in ("score", "equal_words", "item_share", "longest_run"))
-    )
-
-
-def _leaked_slice(docs: DataFrame, rows: list, window: int, least: int) -> DataFrame:
-    items, item_grams, item_at = _items_table(rows)
-    seeds = np.unique(item_grams)
     narrow = docs.select("doc_id", "text")
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(
-        (seeds, items.hashes, items.doc, [r[0] for r in rows], item_grams, item_at)
-    )
+    known = _item_rows(items, seed).checkpoint()
+    places = known.groupBy("item_key").agg(F.any_value("seeds").alias("seeds")).select("item_key", F.posexplode("seeds").alias("at", "seed"))
+    bits = spark.sparkContext.broadcast(_filter(places))
 
-    def seed_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = shared.value[0]
+    def count_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, hits, at = _find(batch.column(1), seeds)
-            out: dict[str, list] = {"doc_id": [], "from_word": [], "words": [], "seed": [], "place": []}
-            ids = batch.column(0).to_pylist()
-            ends = np.cumsum(words.counts())
-            row = words.doc[at]
-            # hits of one text whose margins touch form one stretch
-            cut = np.flatnonzero((row[1:] != row[:-1]) | (at[1:] - at[:-1] > 2 * MARGIN)) + 1
-            for s, e in zip([0, *cut], [*cut, len(at)]) if len(at) else ():
-                r = row[s]
-                low = max(int(ends[r - 1]) if r else 0, int(at[s]) - MARGIN)
-                high = min(int(ends[r]), int(at[e - 1]) + SEED + MARGIN)
-                out["doc_id"].append(ids[r])
-                out["from_word"].append(low - (int(ends[r - 1]) if r else 0))
-                out["words"].append(words.hashes[low:high].view(np.int64))
-                out["seed"].append(hits[s:e].view(np.int64))
-                out["place"].append((at[s:e] - low).astype(np.int32))
-            kinds = [batch.column(0).type, pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            words, grams, row = _hits(batch, bits.value, seed)
+            pair = np.unique(np.stack([grams.view(np.int64), row]), axis=1) if len(grams) else np.empty((2, 0), np.int64)
+            seeds, n = np.unique(pair[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(seeds, pa.int64()), pa.array(n, pa.int64())], names=["seed", "n"])
+
+    counts = narrow.select("text").mapInArrow(count_map, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
+    rare = F.lit(max(50.0, rare_share * narrow.count()))
+    following = Window.partitionBy("item_key").orderBy("at").rowsBetween(0, window - seed)
+    seen = places.join(counts, "seed", "left").withColumn("held", F.when(F.col("n").isNotNull(), F.struct("n", "seed")))
+    windows = seen.select(
+        "item_key", F.min("held").over(following).alias("best"),
+        (F.count("held").over(following) == window - seed + 1).alias("whole"),
+    )
+    kept = windows.where("best IS NOT NULL").where(F.col("whole") | (F.col("best.n") <= rare))
+    kept = kept.select("item_key", "best.seed").distinct().checkpoint()
+    chosen = spark.sparkContext.broadcast(_filter(kept))
+
+    def take_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, grams, row = _hits(batch, chosen.value, seed)
+            ends, counted = np.cumsum(words.counts()), words.counts()
+            rows, first = np.unique(row, return_index=True)
+            own = [words.hashes[ends[r] - counted[r] : ends[r]] for r in rows]
+            longs = pa.list_(pa.int64())
+            seeds = [np.unique(x).view(np.int64) for x in np.split(grams, first[1:])] if len(rows) else []
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[k], type=t) for k, t in zip(out, kinds)], names=list(out)
-            )
-
-    stretches = narrow.mapInArrow(
-        seed_map,
-        f"doc_id {kind}, from_word bigint, words array<bigint>, seed array<bigint>, place array<int>",
-    )
-    stretches = stretches.checkpoint(eager=True)  # read twice: to count seeds, and to align
-    # How many texts hold each seed; as many rows as seeds of the slice, whatever the corpus.
-    counted = (
-        stretches.select("doc_id", F.explode("seed").alias("seed")).distinct().groupBy("seed").count().collect()
-    )
-    held = dict((r[0], r[1]) for r in counted)
-    kept = _rarest(items, item_grams, item_at, held, window)
-    chosen = spark.sparkContext.broadcast(kept)
+                [
+                    batch.column(0).take(pa.array(rows)), pa.array([_key(w) for w in own], pa.binary()),
+                    pa.array([w.view(np.int64) for w in own], longs), pa.array(seeds, longs),
+                ],
+                names=["doc_id", "text_key", "text", "seeds"],
+            )
+
+    taken = narrow.mapInArrow(take_map, f"doc_id {kind}, text_key binary, text array<bigint>, seeds array<bigint>").checkpoint()
+    texts = taken.groupBy("text_key").agg(F.any_value("text").alias("text"), F.any_value("seeds").alias("seeds"))
+    pairs = texts.select("text_key", F.explode("seeds").alias("seed")).join(kept, "seed").select("text_key", "item_key").distinct()
+    item_words = known.groupBy("item_key").agg(F.any_value("words").alias("words"))
+    joined = pairs.join(texts.select("text_key", "text"), "text_key").join(item_words, "item_key")
 
     def align_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, item_words, item_doc, item_ids, _, _ = shared.value
-        by_seed: dict[int, list[int]] = chosen.value
-        begin = np.searchsorted(item_doc, np.arange(len(item_ids) + 1))
-        done: dict[tuple[bytes, int], tuple[int, int, int]] = {}
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "item_id", "score", "equal_words", "item_share", "longest_run")}
-            for doc, words, hits in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
-                text = words.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                for item in dict.fromkeys(i for h in hits for i in by_seed.get(h, ())):
-                    own = item_words[begin[item] : begin[item + 1]]
-                    key = (text.tobytes(), item)
-                    if key not in done:
-                        if len(done) > 5000:
-                            done.clear()
-                        done[key] = (*smith_waterman(own, text), longest_run(own, text))
-                    score, equal, run = done[key]
-                    if score >= least:
-                        for k, v in zip(out, (doc, item_ids[item], score, equal, equal / len(own), run)):
-                            out[k].append(v)
-            kinds = [batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], type=t) for k, t in zip(out, kinds)], names=list(out))
-
-    return stretches.mapInArrow(
-        align_map,
-        f"doc_id {kind}, item_id bigint, score bigint, equal_words bigint, item_share double, longest_run bigint",
-    )
-
+            out: list[list] = [[] for _ in range(5)]
+            index = []
+            for i in range(batch.num_rows):
+                text = batch.column(2)[i].values.to_numpy().view(np.uint64)
+                own = batch.column(3)[i].values.to_numpy().view(np.uint64)
+                score, equal = smith_waterman(own, text)
+                run, covered = common_runs(own, text, seed)
+                if score >= least or run >= window:
+                    index.append(i)
+                    for c, v in zip(out, (score, equal, max(covered, equal) / len(own), run)):
+                        c.append(v)
+            held = batch.take(pa.array(index, pa.int64()))
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [held.column(0), held.column(1), *(pa.array(c, t) for c, t in zip(out, kinds))],
+                names=["text_key", "item_key", "score", "equal_words", "item_share", "longest_run"],
+            )
 
-def _rarest(items, grams: np.ndarray, at: np.ndarray, held: dict, window: int) -> dict[int, list[int]]:
-    """Seed hash (signed) to the items that keep it: the rarest seed of each window of each item."""
-    kept: dict[int, set[int]] = {}
-    signed = grams.view(np.int64)
-    count = np.fromiter((held.get(int(h), 0) for h in signed), dtype=np.int64, count=len(signed))
-    doc = items.doc[at]
-    wide = window - SEED + 1
-    for item in np.unique(doc):
-        own = np.flatnonzero(doc == item)
-        for s in range(len(own) - wide + 1):
-            part = own[s : s + wide]
-            if (count[part] == 0).any():  # some seed occurs nowhere: no text holds this window
-                continue
-            best = part[int(np.argmin(count[part]))]
-            kept.setdefault(int(signed[best]), set()).add(int(item))
-    return {k: sorted(v) for k, v in kept.items()}
+    aligned = joined.select("text_key", "item_key", "text", "words").mapInArrow(
+        align_map, "text_key binary, item_key binary, score bigint, equal_words bigint, item_share double, longest_run bigint"
+    )
+    named = aligned.join(taken.select("doc_id", "text_key").distinct(), "text_key").join(known.select("item_id", "item_key"), "item_key")
+    return named.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("score", "equal_words", "item_share", "longest_run")))

@@ -66,6 +66,24 @@ def test_edited_copies_are_scored(spark):
     assert row.longest_run == 16 and row.equal_words == 38 and row.score == 38 * 2 - 2
 
 
+def test_copies_edited_every_few_words_are_found(spark):
+    passage = [f"p{i}" for i in range(60)]
+    edited = [w if i % 8 else f"e{i}" for i, w in enumerate(passage)]
+    apart = passage[:12] + ["z"] * 200 + passage[30:42]
+    texts = [(1, " ".join(["lead"] * 30 + edited)), (2, " ".join(apart)), (3, "nothing of it here at all, sorry")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(passage))], "item_id bigint, text string")
+    rows = {r.doc_id: r for r in L.leaked_items(docs, items, min_score=20).collect()}
+    assert set(rows) == {1, 2} and rows[1].longest_run == 7 and rows[1].equal_words == 52
+    assert rows[2].item_share == 24 / 60  # both stretches
+
+
+def test_the_filter_holds_every_seed(spark):
+    seeds = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 500)
+    bits = L._filter(spark.createDataFrame([(int(x),) for x in seeds], "seed bigint"))
+    assert bits[seeds & (L.FILTER_BITS - 1)].all() and bits.sum() <= 500
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
     items = spark.createDataFrame([(7, "x")], "item_id bigint, text string")
