@@ -3,8 +3,10 @@
 Method: a *keyword automaton* passes over each text and names the detectors worth running; *issuer-format
 regular expressions* and a name-and-value rule find values; *structure checks* (decoded JWT headers,
 decoded basic authorisation, alphabets and lengths, placeholder and reference shapes) drop what cannot be a
-live secret; values are replaced by placeholders of the same length and alphabet, so quoting, column
-positions and the code around stay as they were.
+live secret; values are replaced by placeholders of the same length and alphabet, so quoting, escapes, column
+positions and the code around stay as they were. Published checksums (the CRC-32 in base 62 at the end of two issuers'
+tokens) are computed and told in ``proof``; a token of the right structure whose checksum fails is still reported, for
+it may be an older format, only with the weaker proof. A placeholder is never found again.
 
 String literals continued on the next line are joined before matching, so split secrets are found; places
 are reported in the original text.
@@ -16,6 +18,7 @@ import base64
 import binascii
 import json
 import re
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -72,7 +75,7 @@ _NO_SECRET_SUFFIX = re.compile(
     re.IGNORECASE,
 )
 _PLACEHOLDER = re.compile(
-    r"^(?:<.*>?|\$.*|%.*%?|\{\{.*|\{.*|\[.*|#\{.*|x{3,}|\*+|\.{2,}|-+|_+|0+|(?:your|my|the|some|insert|enter|put|replace|change|example|sample|dummy|fake|test|placeholder|redacted|todo|tbd|fixme|none|null|nil|true|false|undefined|default|empty|secret|password|passwd|passwort|pass|user|admin|token|key|hunter2|foo|bar|string|here)(?:[_\-. ].*|me.*|\d*)?)$"
+    r"^(?:<.*>?|\$.*|%.*%?|\{\{.*|\{.*|\[.*|#\{.*|x{3,}|\*+|\.{2,}|-+|_+|0+|(?:your|my|the|some|insert|enter|put|replace|change|example|sample|dummy|fake|test|placeholder|redacted|todo|tbd|fixme|none|null|nil|true|false|undefined|default|empty|secret|password|passwd|passwort|pass|user|admin|token|key|hunter2|foo|bar|string|here)(?:[_\-. ].*|\d*)?|(?:change|replace|insert|enter|put)me.*)$"
     r"|(?i:your[_-]|change[_-]?me|placeholder|_here$|redacted|xxxx|<[a-z_ -]+>|not[_-]?a[_-]?(?:real|secret))",
     re.IGNORECASE,
 )
@@ -83,6 +86,12 @@ _REFERENCE = re.compile(
 )
 _UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
 _SPLICE = re.compile(r"([\"'])[ \t]*(?:\+|\.\.|\.|\\|<<)?[ \t]*\r?\n[ \t]*(?:\+|\.\.|\.)?[ \t]*\1")
+_PREFIX = re.compile(r"(?:AKIA|ASIA|ABIA|ACCA|gh[pousr]_|github_pat_|glpat-|[sr]k_(?:live|prod)_|xox[a-z]-|pa-|AIza|SG\.|npm_|hf_|sk-)")
+_MASKED = re.compile(r"[^A-Za-z0-9]*(?:(?:[xX0]+[^A-Za-z0-9]*)+|(?:[aA0]+[^A-Za-z0-9]*)+)")
+#: What follows the frame of a key whose end is missing, and what precedes an end without its beginning.
+_KEY_BODY = re.compile(r"(?:(?:[\s\"'`+,]|\\[rnt\\])*(?:[A-Za-z0-9+/=]{24,}|[A-Za-z0-9+/=]+\Z|(?:Proc-Type|DEK-Info):[^\n\\\"']*))*")
+_KEY_REST = re.compile(r"(?:(?:[A-Za-z0-9+/=]{24,}|\A[A-Za-z0-9+/=]+|(?<=[\n\"'])[A-Za-z0-9+/]+={0,2})(?:[ \t\"'`+,]|\r?\n|\\[rnt])*)+(?=-----END (?:[A-Z0-9]+ )*PRIVATE KEY)")
+_ESCAPE = re.compile(r"\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|.)|[^\\]+|\\", re.DOTALL)
 _BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 
 _COMPILED = {k: re.compile(v) for k, v in ISSUERS.items()}
@@ -126,6 +135,33 @@ def _jwt_ok(value: str) -> bool:
         return False
 
 
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def checksum_ok(value: str) -> bool:
+    """Do the last six characters of ``prefix_payload`` hold the CRC-32 of the payload in base 62?"""
+    payload, want = value.split("_", 1)[-1][:-6], value[-6:]
+    n, digits = zlib.crc32(payload.encode()), ""
+    while n:
+        n, r = divmod(n, 62)
+        digits = _BASE62[r] + digits
+    return digits.rjust(6, "0") == want
+
+
+def proof(value: str, kind: str) -> str:
+    """What speaks for a value: ``checksum``, ``structure`` (decoded), ``format`` (an issuer's) or ``name``."""
+    if kind == "repository_token" or value.startswith("npm_"):
+        return "checksum" if checksum_ok(value) else "format"
+    if kind in ("signed_token", "basic_auth", "private_key", "connection_string"):
+        return "structure"
+    return "name" if kind in ("named_secret", "user_option", "bearer_auth") else "format"
+
+
+def masked(value: str) -> bool:
+    """Is it one of our own placeholders?"""
+    return _MASKED.fullmatch(_PREFIX.sub("", value, count=1)) is not None
+
+
 def plausible(value: str, quoted: bool = True) -> bool:
     """Can ``value``, given to a secret's name, be a live secret rather than a placeholder or reference?"""
     if len(value) < 6 or any(c.isspace() for c in value) or _PLACEHOLDER.search(value) or _REFERENCE.search(value):
@@ -134,7 +170,7 @@ def plausible(value: str, quoted: bool = True) -> bool:
         return False
     if not quoted and ("(" in value or "[" in value or value.endswith(("{", "&", "*"))):
         return False
-    if len(set(value)) < 5:
+    if len(set(value)) < 5 or masked(value):
         return False
     digit = any(c.isdigit() for c in value)
     letter = any(c.isalpha() for c in value)
@@ -177,7 +213,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
             if kind == "connection_string":
                 user = value[value.index("://") + 3 :].split(":", 1)[0]
                 secret = m.group(2)
-                if _PLACEHOLDER.match(secret) or "$" in secret and secret.startswith("$") or user.startswith(("$", "{", "<", "%")):
+                if _PLACEHOLDER.match(secret) or masked(secret) or "$" in secret and secret.startswith("$") or user.startswith(("$", "{", "<", "%")):
                     continue
             elif kind == "basic_auth" and not _basic_ok(value):
                 continue
@@ -193,8 +229,15 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 continue
             start, end = m.span(1)
             if kind == "private_key":
-                close = _BLOCK_END.search(joined, end)
-                end = close.end() if close else end
+                close, again = _BLOCK_END.search(joined, end), _COMPILED[kind].search(joined, end)
+                if close and not (again and again.start() < close.start()):
+                    body, end = joined[end : close.start()], close.end()
+                else:  # cut off: the body as far as it goes
+                    body = _KEY_BODY.match(joined, end).group()
+                    end += len(body)
+                body = re.sub(r"\\[rnt]", " ", body)
+                if body.strip() and masked(body):
+                    continue
             found.append((start, end, kind))
     found.sort(key=lambda f: (f[0], f[2] == "named_secret", -f[1]))
     out: list[tuple[int, int, str]] = []
@@ -213,26 +256,41 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def placeholder(value: str, kind: str) -> str:
-    """Same length and alphabet: digits become 0, letters x or X; marks, line ends and key frames stay."""
-    def mask(s: str) -> str:
-        return "".join("0" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in s)
+def _mask(text: str) -> str:
+    """Digits become 0, letters x or X; in hexadecimal text a or A, so it stays a number; escapes and marks stay."""
+    parts = _ESCAPE.findall(text)
+    plain = "".join(p for p in parts if p[0] != "\\")
+    letters = {c.lower() for c in plain if c.isalpha()}
+    low, high = ("a", "A") if letters <= set("abcdef") else ("x", "X")
+    swap = lambda c: "0" if c.isdigit() else high if c.isupper() else low if c.isalpha() else c
+    return "".join(p if p[0] == "\\" else "".join(map(swap, p)) for p in parts)
+
 
+def placeholder(value: str, kind: str) -> str:
+    """A text of the same length and alphabet; line ends, issuers' prefixes and key frames stay."""
     if kind == "connection_string":
         head, rest = value.split("://", 1)
         user, secret = rest.split(":", 1)
-        return f"{head}://{user}:{mask(secret)}"
+        return f"{head}://{user}:{_mask(secret)}"
     if kind == "private_key":
         body = re.split(r"(-----(?:BEGIN|END)[A-Z0-9 ]+-----|\\r|\\n|\\t)", value)
-        return "".join(p if i % 2 else mask(p) for i, p in enumerate(body))
-    prefix = re.match(r"(?:AKIA|ASIA|ABIA|ACCA|gh[pousr]_|[sr]k_(?:live|prod)_|xox[a-z]-|pa-)", value)
+        return "".join(p if i % 2 else _mask(p) for i, p in enumerate(body))
+    prefix = _PREFIX.match(value)
     keep = prefix.end() if prefix else 0
-    return value[:keep] + mask(value[keep:])
+    return value[:keep] + _mask(value[keep:])
+
+
+def key_rests(text: str, places: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Bodies of private keys whose beginning lies in another text; nothing starts there, but they are secret."""
+    if "-----END" not in text:
+        return []
+    found = ((m.start(), m.end(), "private_key") for m in _KEY_REST.finditer(text))
+    return [f for f in found if not masked(text[f[0] : f[1]]) and all(f[1] <= s or f[0] >= e for s, e, _ in places)]
 
 
 def redact(text: str, places: list[tuple[int, int, str]]) -> str:
     out, at = [], 0
-    for s, e, kind in places:
+    for s, e, kind in sorted(places):
         out += [text[at:s], placeholder(text[s:e], kind)]
         at = e
     return "".join([*out, text[at:]])
@@ -262,22 +320,26 @@ def _scan(texts: DataFrame, id_col: str, text_col: str, schema: str, rows) -> Da
 
 
 def find_credentials(texts: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """``(id, line_no, kind, start, length)`` for each credential; lines from 1, ``start`` from 0.
+    """``(id, line_no, kind, start, length, proof)`` for each credential; lines from 1, ``start`` from 0.
 
     Null and empty texts have none. Repeated input rows give repeated rows. A narrow map: no shuffle, and
     texts of any length are scanned whole. Extra columns are ignored.
     """
     def rows(text: str):
         for s, e, kind in find(text):
-            yield text.count("\n", 0, s) + 1, kind, s, e - s
+            yield text.count("\n", 0, s) + 1, kind, s, e - s, proof(text[s:e], kind)
 
-    return _scan(texts, id_col, text_col, "line_no int, kind string, start int, length int", rows)
+    return _scan(texts, id_col, text_col, "line_no int, kind string, start int, length int, proof string", rows)
 
 
 def redact_credentials(texts: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """``(id, content)`` of the texts that hold credentials, their values replaced; all else unchanged."""
+    """``(id, content)`` of the texts that hold credentials, their values replaced; all else unchanged.
+
+    Of a key cut in two by the end of a text both parts are replaced.
+    """
     def rows(text: str):
         places = find(text)
+        places += key_rests(text, places)
         if places:
             yield (redact(text, places),)
 
