@@ -107,6 +107,11 @@ def p7_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return credentials.redact_credentials(table(spark, sf, "vector_store"))
 
 
+def p7_rescan(spark: SparkSession, sf: str) -> DataFrame:
+    """Credentials found once more in the redacted texts; there must be none."""
+    return credentials.find_credentials(p7_redacted(spark, sf)).select("id", "line_no")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_corpus(spread(table(spark, sf, "documents").select("doc_id", "text")))
@@ -124,18 +129,23 @@ def p9_matches(spark: SparkSession, sf: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with at least 30 % repeated words."""
-    return repetition.repeated_documents(table(spark, sf, "documents"))
+    return repetition.repeated_documents(spread(table(spark, sf, "documents").select("doc_id", "text")))
 
 
 def p10_fertility(spark: SparkSession, sf: str) -> DataFrame:
     """Fertility figures and repeated share of every document."""
-    return repetition.measure_repetition(table(spark, sf, "documents"))
+    return repetition.measure_repetition(spread(table(spark, sf, "documents").select("doc_id", "text")))
+
+
+def p10_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of repeated words of every document."""
+    return p10_fertility(spark, sf).select("doc_id", "n_words", F.round("repeated_share", 6).alias("repeated_share")).distinct()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_kinds, p2_found, p2_neighbours, p3_found, p3_pairs, p3_spans, p4_found, p4_pieces, p5_found, p5_faults, p5_rates, p6_found, p6_texts, p6_docstrings, p6_shares, p7_found, p7_places, p7_redacted, p8_ids, p9_found, p9_matches, p10_found, p10_fertility)
+        for f in (p1_found, p1_kinds, p2_found, p2_neighbours, p3_found, p3_pairs, p3_spans, p4_found, p4_pieces, p5_found, p5_faults, p5_rates, p6_found, p6_texts, p6_docstrings, p6_shares, p7_found, p7_places, p7_redacted, p7_rescan, p8_ids, p9_found, p9_matches, p10_found, p10_fertility, p10_shares)
     }
 
 

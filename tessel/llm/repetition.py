@@ -1,14 +1,16 @@
 """Repetition inside a single document (problem 10).
 
-Method: *tokeniser fertility*. Each document is measured by a public vocabulary with byte fallback:
-characters per token, share of byte-fallback tokens and entropy of its tokens. Words are encoded one by
-one, so a repeated word always repeats its tokens; that makes one band provable. If a share ``s`` of the
-``W`` words of a document lies in runs that started earlier, each of those words has an earlier
-occurrence, hence at most ``W (1 - s)`` words are distinct and, a word being at least one token, at most
-``T - W s`` of its ``T`` tokens are distinct; the entropy of the tokens is at most the logarithm of that.
-Documents whose entropy lies above the band cannot qualify and are rejected; the rest are measured
-exactly by runs of eight words. Bands for the fertility figures themselves are kept per script and only
-reported, since they are judgements and not bounds.
+Method: *tokeniser fertility*. Each document is measured by a public vocabulary with byte fallback: characters per
+token, share of byte-fallback tokens and entropy of its tokens, the last over single tokens and over blocks of
+``run`` consecutive tokens. Words are encoded one by one, so a repeated word always repeats its tokens; that makes the
+band of the block entropy provable. A run of 8 words that starts again repeats at least 8 tokens, hence at least one
+block of 8 tokens. If ``r`` words lie in runs that started earlier, these words have at least ``r`` tokens, each in some
+block that occurred before, and a block covers 8 tokens: at least ``r / 8`` of the ``B`` blocks are repetitions, at most
+``B - r / 8`` are different, and the entropy of the blocks is at most the logarithm of that. Documents above the band
+cannot reach ``share`` and are rejected; an exact count of the repeated words follows for the rest.
+
+Bands for characters per token are kept per script; they are judgements and not bounds, so they mark unusual texts in
+the report (``in_band``) and reject nothing.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ FERTILITY_BANDS = {
 _workers: dict[str, "PieceTable"] = {}
 
 MEASURES = (
-    "n_words bigint, n_tokens bigint, chars_per_token double, byte_share double, token_entropy double, "
+    "n_words bigint, n_tokens bigint, chars_per_token double, byte_share double, token_entropy double, block_entropy double, "
     "script string, in_band boolean, passed boolean, repeated_share double"
 )
 
@@ -109,28 +111,40 @@ def _scripts(batch: WordBatch) -> np.ndarray:
     return np.where(np.stack(shares).max(axis=0) * 2 > total, names, "other")
 
 
-def _measure(texts: pa.Array, table: PieceTable, share: float, run: int) -> list[np.ndarray]:
+def _entropy(owner: np.ndarray, key: np.ndarray, weight: np.ndarray | None, n: int) -> np.ndarray:
+    """Entropy in bits, per owner, of keys that are already distinct between owners."""
+    if not len(key):
+        return np.zeros(n)
+    order = np.argsort(key, kind="stable")
+    key, owner = key[order], owner[order]
+    heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    times = np.add.reduceat(weight[order], heads).astype(float) if weight is not None else np.diff(np.append(heads, len(key))).astype(float)
+    own = owner[heads]
+    total = np.bincount(own, weights=times, minlength=n)[own]
+    return np.bincount(own, weights=-(times / total) * np.log2(times / total), minlength=n)
+
+
+def _measure(texts: pa.Array, table: PieceTable, share: float, run: int, reject: bool) -> list[np.ndarray]:
     batch = batch_words(texts)
     n, words, docs = batch.n_docs, batch.counts(), batch.doc
     known, first, inverse = np.unique(batch.hashes, return_index=True, return_inverse=True)
-    which = table.rows(known, first, batch)
-    # one row per different word of a text, with its count
-    pair, times = np.unique(docs * max(1, len(known)) + inverse, return_counts=True)
-    doc, word = pair // max(1, len(known)), which[pair % max(1, len(known))]
-    sizes = table.sizes[word]
-    n_tokens = np.bincount(doc, weights=times * sizes, minlength=n)
-    byte = np.bincount(doc, weights=times * table.bytes[word], minlength=n)
+    which = table.rows(known, first, batch)[inverse]  # the table's row of each word
+    sizes = table.sizes[which]
+    n_tokens = np.bincount(docs, weights=sizes, minlength=n)
+    byte = np.bincount(docs, weights=table.bytes[which], minlength=n)
     ends = np.cumsum(sizes)
     within = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
-    token = table.flat[np.repeat(table.begins[word], sizes) + within].astype(np.int64)
-    key = np.repeat(doc, sizes) * 65536 + token
-    order = np.argsort(key)
-    key, weight = key[order], np.repeat(times, sizes)[order]
-    heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
-    per_token = np.add.reduceat(weight, heads).astype(float) if len(key) else np.empty(0)
-    owner = key[heads] // 65536
-    p = per_token / n_tokens[owner]
-    entropy = np.bincount(owner, weights=-p * np.log2(p), minlength=n)
+    token = table.flat[np.repeat(table.begins[which], sizes) + within].astype(np.int64)
+    owner = np.repeat(docs, sizes)
+    entropy = _entropy(owner, owner * 65536 + token, None, n)
+    # blocks of tokens: as many tokens as a run has words
+    stream = WordBatch(mix(token.astype(np.uint64) + np.uint64(1)), owner, np.empty(0), np.empty(0), batch.points, n)
+    blocks, at = doc_grams(stream, run)
+    mine = owner[at]
+    with np.errstate(over="ignore"):
+        blocks = mix(blocks + mine.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    block_entropy = _entropy(mine, blocks, None, n)
+    n_blocks = np.bincount(mine, minlength=n)
     chars = np.bincount(docs, weights=batch.end - batch.start, minlength=n)
     some = n_tokens > 0
     safe = np.where(some, n_tokens, 1)
@@ -138,15 +152,16 @@ def _measure(texts: pa.Array, table: PieceTable, share: float, run: int) -> list
     low = np.array([FERTILITY_BANDS[s][0] for s in script])
     high = np.array([FERTILITY_BANDS[s][1] for s in script])
     # The provable band; the small slack covers rounding of the logarithms.
-    passed = (words > run) & (entropy <= np.log2(np.maximum(1.0, n_tokens - share * words)) + 1e-9)
-    keep = passed[docs]
+    limit = np.log2(np.maximum(1.0, n_blocks - np.ceil(share * words - 1e-9) / run))
+    passed = (words > run) & (block_entropy <= limit + 1e-9)
+    keep = passed[docs] if reject else np.ones(len(docs), dtype=bool)
     inner = WordBatch(batch.hashes[keep], docs[keep], batch.start[keep], batch.end[keep], batch.points, n)
     repeated = repeated_counts(inner, run) / np.maximum(1, words)
     no = lambda x: pa.array(x, mask=~some)
     return [
         pa.array(words.astype(np.int64)), pa.array(n_tokens.astype(np.int64)), no(fertility), no(byte_share),
-        no(entropy), pa.array(script, type=pa.string()), no((fertility >= low) & (fertility <= high)),
-        pa.array(passed), pa.array(repeated, mask=~passed & (words > run)),
+        no(entropy), no(block_entropy), pa.array(script, type=pa.string()), no((fertility >= low) & (fertility <= high)),
+        pa.array(passed), pa.array(repeated, mask=(~passed & (words > run)) if reject else None),
     ]
 
 
@@ -157,12 +172,13 @@ def measure_repetition(
     tokenizers: str = "/opt/tokenizers",
     share: float = SHARE,
     run: int = RUN,
+    reject: bool = False,
 ) -> DataFrame:
-    """Fertility figures of each document and, inside the band, its share of repeated words.
+    """Fertility figures of each document, whether the band lets it pass, and its share of repeated words.
 
-    One output row per input row, by a narrow map. ``repeated_share`` is null where the band proves it to
-    be below ``share``; it is 0 for null, empty and blank texts and texts of at most ``run`` words. Extra
-    columns are ignored. Empty tables give empty tables.
+    One output row per input row, by a narrow map. The share is 0 for null, empty and blank texts and texts of at most
+    ``run`` words. With ``reject`` it is counted only inside the band and null where the band proves it to be below
+    ``share``. Extra columns are ignored. Empty tables give empty tables.
     """
     path = os.path.join(tokenizers, "piece_bpe_32k.model")
     narrow = docs.select(id_col, text_col)
@@ -175,13 +191,13 @@ def measure_repetition(
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                measured = _measure(part.column(1), _workers[path], share, run)
+                measured = _measure(part.column(1), _workers[path], share, run, reject)
                 yield pa.RecordBatch.from_arrays([part.column(0), *measured], names=[id_col, *names])
 
     return narrow.mapInArrow(run_map, f"`{id_col}` {kind}, {MEASURES}")
 
 
 def repeated_documents(docs: DataFrame, share: float = SHARE, **kw) -> DataFrame:
-    """Ids of documents with at least ``share`` of their words repeated, without repeated rows."""
-    found = measure_repetition(docs, share=share, **kw).where(F.col("repeated_share") >= share)
+    """Ids of documents that the band does not reject and that have at least ``share`` of their words repeated."""
+    found = measure_repetition(docs, share=share, reject=True, **kw).where(F.col("repeated_share") >= share)
     return found.select("doc_id").distinct()

@@ -36,12 +36,21 @@ def test_shares_equal_brute_force_and_the_band_loses_nothing(docs):
     import pyarrow as pa
 
     texts = [" ".join(d) for d in docs]
-    out = R._measure(pa.array(texts, type=pa.string()), table(), R.SHARE, R.RUN)
-    for text, passed, share in zip(texts, out[-2].to_pylist(), out[-1].to_pylist()):
-        true = brute(text)
-        assert share is None or abs(share - true) < 1e-12
-        if true >= R.SHARE:
-            assert passed
+    for reject in (False, True):
+        out = R._measure(pa.array(texts, type=pa.string()), table(), R.SHARE, R.RUN, reject)
+        for text, passed, share in zip(texts, out[-2].to_pylist(), out[-1].to_pylist()):
+            true = brute(text)
+            assert abs(share - true) < 1e-12 if not reject or passed else share is None or share == true
+            if true >= R.SHARE:
+                assert passed
+
+
+def test_the_band_rejects_texts_without_repetition():
+    import pyarrow as pa
+
+    texts = [" ".join(f"word{i} of text" for i in range(60)), "one two three four five six seven eight nine " * 3]
+    out = R._measure(pa.array(texts), table(), R.SHARE, R.RUN, True)
+    assert out[-2].to_pylist() == [False, True]
 
 
 def test_documents(spark):
@@ -61,7 +70,7 @@ def test_documents(spark):
 def test_fertility_figures():
     import pyarrow as pa
 
-    out = R._measure(pa.array(["привет мир это текст", "hello world", "数据被写入日志"], type=pa.string()), table(), R.SHARE, R.RUN)
-    assert out[5].to_pylist() == ["cyrillic", "latin", "han"]
+    out = R._measure(pa.array(["привет мир это текст", "hello world", "数据被写入日志"], type=pa.string()), table(), R.SHARE, R.RUN, False)
+    assert out[6].to_pylist() == ["cyrillic", "latin", "han"]
     tokens = [len(table().model.encode(w)) for w in ("hello", "world")]
     assert out[1].to_pylist()[1] == sum(tokens)
