@@ -60,7 +60,7 @@ def body_end_by_braces(all_lines: Column, start: Column, reach: int = 300, defau
     return F.when(end >= 0, (start + end + 1).cast("int")).otherwise(F.least(F.size(all_lines), start + default))
 
 
-# The reader of key-value files. RE2 and Java agree on these patterns.
+# The patterns of the key-value reader. RE2 and Java agree on them; ASCII classes stand for \w.
 SECTION = r"^\[([^\]]+)\]"
 ENTRY = r"^([A-Za-z0-9_][A-Za-z0-9_.@/-]*)\s*[=:]\s*(.*)"
 
@@ -98,9 +98,15 @@ def key_values(texts: DataFrame, text_col: str, *keys: str) -> DataFrame:
     )
 
 
+# Words that open no function, and the heads of shell functions, aliases, source and include lines.
 SHELL_KEYWORDS = (
     "if", "while", "for", "case", "until", "do", "then", "else", "elif", "fi", "done", "esac", "in", "select", "time", "coproc",
 )
+SHELL_WORD = r"^function\s+([A-Za-z0-9_][A-Za-z0-9_.-]*)\s*(?:\(\s*\))?\s*\{"
+SHELL_BARE = r"^([A-Za-z0-9_][A-Za-z0-9_.-]*)\s*\(\s*\)\s*\{"
+SHELL_ALIAS = r"^alias\s+([A-Za-z0-9_][A-Za-z0-9_.-]*)\s*=\s*(?:'([^']*)'|\"([^\"]*)\"|(\S+))"
+SHELL_SOURCE = r"^(?:source|\.)\s+(['\"]?)(.*?)\1\s*$"
+CONFIG_INCLUDE = r"(?i)^(?:include(?:path|optional)?\s+|source\s+|\.\s+)(\S+)"
 
 
 def shell_symbols(texts: DataFrame, text_col: str, *keys: str) -> DataFrame:
@@ -119,9 +125,7 @@ def shell_symbols(texts: DataFrame, text_col: str, *keys: str) -> DataFrame:
     )
     block = Window.partitionBy(*keys, "since").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
     docs = noted.withColumn("doc", F.array_join(F.collect_list("note").over(block), " "))
-    form = r"^function\s+([A-Za-z0-9_][A-Za-z0-9_.-]*)\s*(?:\(\s*\))?\s*\{"
-    plain = r"^([A-Za-z0-9_][A-Za-z0-9_.-]*)\s*\(\s*\)\s*\{"
-    alias = r"^alias\s+([A-Za-z0-9_][A-Za-z0-9_.-]*)\s*=\s*(?:'([^']*)'|\"([^\"]*)\"|(\S+))"
+    form, plain, alias = SHELL_WORD, SHELL_BARE, SHELL_ALIAS
     word, short, name = (F.regexp_extract(line, p, 1) for p in (form, plain, alias))
     value = F.coalesce(*(F.nullif(F.regexp_extract(line, alias, g), F.lit("")) for g in (2, 3, 4)), F.lit(""))
     kinds = (
@@ -138,12 +142,12 @@ def shell_symbols(texts: DataFrame, text_col: str, *keys: str) -> DataFrame:
 def shell_imports(texts: DataFrame, text_col: str, *keys: str) -> DataFrame:
     """``(keys, line, import)`` of ``source`` and ``.`` lines, quotes removed."""
     rows = exploded(texts, text_col, *keys)
-    got = F.regexp_extract("line", r"^(?:source|\.)\s+(['\"]?)(.*?)\1\s*$", 2)
+    got = F.regexp_extract("line", SHELL_SOURCE, 2)
     return rows.select(*keys, F.col("ln").alias("line"), T.strip(got).alias("import")).where(F.col("import") != "")
 
 
 def config_imports(texts: DataFrame, text_col: str, *keys: str) -> DataFrame:
     """``(keys, line, import)`` of include and source lines of configuration texts, quotes removed."""
     rows = exploded(texts, text_col, *keys)
-    got = F.regexp_extract("line", r"(?i)^(?:include(?:path|optional)?\s+|source\s+|\.\s+)(\S+)", 1)
+    got = F.regexp_extract("line", CONFIG_INCLUDE, 1)
     return rows.select(*keys, F.col("ln").alias("line"), T.unquote(got).alias("import")).where(F.col("import") != "")

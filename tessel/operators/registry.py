@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessel.functions.keys import iso_utc
+from tessel.functions.keys import iso_utc, random_id
 from tessel.operators.vector_index import TENANT, latest
+from tessel.schemas import JOBS
 
 JOB_STATES = ("queued", "downloading", "running", "completed", "failed")
-PROJECT_FIELDS = ("name", "description", "github_owner", "github_repo", "github_ref")
+PROJECT_FIELDS = ("name", "namespace", "description", "github_owner", "github_repo", "github_ref")
 
 
 def job_states(events: DataFrame, key: Sequence[str] = ("job_id",), *order: Column) -> DataFrame:
@@ -24,6 +25,14 @@ def job(events: DataFrame, job_id: str) -> DataFrame:
     return job_states(events.where(F.col("job_id") == job_id))
 
 
+def new_job(spark: SparkSession, namespace: str, project_id: str, now: Column | None = None, **given: str) -> DataFrame:
+    """The first event of a job: a row of the jobs' schema with an id of its own; fields not given are null."""
+    now = now if now is not None else F.current_timestamp()
+    made = {"job_id": random_id(), "namespace": F.lit(namespace), "project_id": F.lit(project_id), "status": F.lit(JOB_STATES[0]), "created_at": now, "updated_at": now}
+    made |= {k: F.lit(v) for k, v in given.items()}
+    return spark.range(1).select(*(made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in JOBS.fields))
+
+
 def job_update(current: DataFrame, changes: dict[str, str], now: Column | None = None) -> DataFrame:
     """The event that changes some columns of the jobs in ``current``; without changes, the jobs as they are."""
     if not changes:
@@ -48,6 +57,14 @@ def tenant_info(counts: DataFrame, meta: DataFrame) -> DataFrame:
     return counts.join(meta, TENANT, "left")
 
 
+def create_project(projects: DataFrame, namespace: str, name: str, now: Column, **given: str) -> DataFrame:
+    """``projects`` with one more, under an id of its own; unknown fields are ignored."""
+    made = {"id": random_id(), "name": F.lit(name), "namespace": F.lit(namespace), "created_at": now, "updated_at": now}
+    made |= {k: F.lit(v) for k, v in given.items() if k in PROJECT_FIELDS}
+    one = projects.sparkSession.range(1).select(*(made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in projects.schema.fields))
+    return projects.unionByName(one)
+
+
 def list_projects(projects: DataFrame, namespace: str | None = None) -> DataFrame:
     """Projects, newest first, of one namespace or all."""
     rows = projects if namespace is None else projects.where(F.col("namespace") == namespace)

@@ -6,6 +6,8 @@ source can take them.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,18 @@ BINARY_EXTENSIONS = (
 MAX_BYTES = 512 * 1024
 
 
+def enters(folder: str, include_dotfiles: bool = False) -> bool:
+    """Is a directory of this name entered? The rule of ``skip_reason`` for code that lists directories itself."""
+    return folder not in IGNORED_DIRS and (include_dotfiles or not folder.startswith("."))
+
+
+def reads(name: str, size: int, include_dotfiles: bool = False, max_bytes: int = MAX_BYTES) -> bool:
+    """Is a file of this name and size read?"""
+    ending = os.path.splitext(name)[1].lower()
+    shown = include_dotfiles or not name.startswith(".")
+    return shown and ending not in BINARY_EXTENSIONS and not name.endswith(GENERATED_ENDINGS) and size <= max_bytes
+
+
 def _folders(rel: Column) -> Column:
     parts = F.split(rel, "/")
     return F.slice(parts, F.lit(1), F.size(parts) - 1)

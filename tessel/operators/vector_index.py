@@ -14,12 +14,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessel.functions import vectors as V
+from tessel.session import ensure_checkpoint_dir, exists, remove
 
 TENANT = ["namespace", "project_id"]
 KEY = [*TENANT, "chunk_id"]
 DEFAULT_K = 5
 
 
+def steady(rows: DataFrame) -> Column:
+    """A fixed order of different rows, where nothing else orders them."""
+    return F.xxhash64(*(F.col(c) for c in rows.columns)).desc()
+
+
+def without(rows: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` whose key is not in ``gone``; null keys equal each other."""
+    other = gone.select(*(F.col(c).alias(f"__{c}") for c in keys)).distinct()
+    return rows.join(other, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys], "left_anti")
+
+
 def latest(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """The last row of each key. The filter on the row number is a group limit, applied before the shuffle."""
     rank = Window.partitionBy(*keys).orderBy(*order)
@@ -29,10 +41,10 @@ def latest(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
 def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str] = tuple(KEY), sequence: str | None = None) -> DataFrame:
     """``current`` with ``incoming`` merged in: payloads of known keys overwritten, ``created_at`` kept.
 
-    Of several incoming rows of a key the one with the largest ``sequence`` counts (any one without it).
+    Of several incoming rows of a key the one with the largest ``sequence`` counts (a fixed one without it).
     """
-    order = F.col(sequence).desc_nulls_last() if sequence else F.lit(1)
-    new = latest(incoming, keys, order).withColumn("__new", F.lit(1))
+    order = [F.col(sequence).desc_nulls_last()] if sequence else []
+    new = latest(incoming, keys, *order, steady(incoming)).withColumn("__new", F.lit(1))
     both = current.withColumn("__new", F.lit(0)).unionByName(new, allowMissingColumns=True)
     whole = Window.partitionBy(*keys)
     first = F.coalesce(F.max(F.when(F.col("__new") == 0, F.col("created_at"))).over(whole), F.col("created_at"))
@@ -42,14 +54,18 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str] = tuple(
 
 def stale(current: DataFrame, incoming: DataFrame, keys: Sequence[str] = tuple(KEY)) -> DataFrame:
     """Rows of ``current`` whose key doesn't come in."""
-    return current.join(incoming.select(*keys).distinct(), list(keys), "left_anti")
+    return without(current, incoming, keys)
 
 
-def replace_all(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """``incoming`` in place of everything its tenants had; other tenants untouched."""
-    tenants = incoming.select(*TENANT).distinct()
-    rest = current.join(tenants, TENANT, "left_anti")
-    return rest.unionByName(latest(incoming, KEY, F.lit(1)), allowMissingColumns=True)
+def replace_all(current: DataFrame, incoming: DataFrame, tenants: DataFrame | None = None) -> DataFrame:
+    """``incoming`` in place of everything its tenants had; other tenants untouched.
+
+    ``tenants`` names further tenants that are replaced: one without incoming rows becomes empty.
+    """
+    named = incoming.select(*TENANT)
+    if tenants is not None:
+        named = named.unionByName(tenants.select(*TENANT))
+    return without(current, named, TENANT).unionByName(latest(incoming, KEY, steady(incoming)), allowMissingColumns=True)
 
 
 def delete_tenant(current: DataFrame, namespace: str, project_id: str | None = None) -> DataFrame:
@@ -104,18 +120,27 @@ def search(
     return top.withColumn("rank", F.row_number().over(order))  # on k rows
 
 
+def drop_partition(spark: SparkSession, path: str, namespace: str, project_id: str) -> None:
+    """Remove the folder of one tenant from a table partitioned by tenant.
+
+    The folder's name is Spark's own escaping of the values, in which no separator of paths is left, so nothing
+    outside the table can be named.
+    """
+    utils = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    parts = [utils.getPartitionPathString(c, v) for c, v in zip(TENANT, (namespace, project_id))]
+    if any("/" in p for p in parts):
+        raise ValueError(f"not a tenant: {namespace!r}, {project_id!r}")
+    remove(spark, "/".join([path, *parts]))
+
+
 class VectorIndex:
     """A vector table in a folder, partitioned by tenant."""
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType):
         self.spark, self.path, self.schema = spark, path, schema
 
-    def _exists(self) -> bool:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-
     def read(self, namespace: str | None = None, project_id: str | None = None) -> DataFrame:
-        if not self._exists():
+        if not exists(self.spark, self.path):
             rows = self.spark.createDataFrame([], self.schema)
         else:
             rows = self.spark.read.schema(self.schema).parquet(self.path)
@@ -128,27 +153,31 @@ class VectorIndex:
         ordered = rows.select(*self.schema.fieldNames())
         ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*TENANT).parquet(self.path)
 
-    def add(self, incoming: DataFrame, replace: bool = False) -> None:
-        """Upsert ``incoming``, or replace its tenants by it. The old rows are cut off by a checkpoint before the overwrite."""
-        from tessel.session import ensure_checkpoint_dir
+    def replace(self, namespace: str, project_id: str, incoming: DataFrame) -> None:
+        """``incoming`` in place of all rows of the tenant; without rows the tenant is gone."""
+        named = incoming.withColumns({"namespace": F.lit(namespace), "project_id": F.lit(project_id)})
+        if named.isEmpty():
+            self.delete(namespace, project_id)
+        else:
+            self.write(latest(named, KEY, steady(named)))
 
-        tenants = incoming.select(*TENANT).distinct()
-        if replace:
-            self.write(latest(incoming, KEY, F.lit(1)))
-            return
+    def add(self, incoming: DataFrame) -> None:
+        """Upsert ``incoming``. The old rows are cut off by a checkpoint before the overwrite."""
         ensure_checkpoint_dir(self.spark)
+        tenants = incoming.select(*TENANT).distinct()
         old = self.read().join(tenants, TENANT, "left_semi")
         self.write(upsert(old, incoming).checkpoint())
 
     def delete(self, namespace: str, project_id: str) -> None:
-        """Drop a tenant's folder."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/namespace={namespace}/project_id={project_id}")
-        hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        """Drop a tenant's partition."""
+        drop_partition(self.spark, self.path, namespace, project_id)
+
+    def clear(self) -> None:
+        """Drop all rows."""
+        remove(self.spark, self.path)
 
     def delete_file(self, namespace: str, project_id: str, file_path: str) -> int:
         """Remove a file's rows; how many there were."""
-        from tessel.session import ensure_checkpoint_dir
-
         ensure_checkpoint_dir(self.spark)
         rows = self.read(namespace, project_id)
         gone = rows.where(F.col("file_path") == file_path).count()

@@ -15,8 +15,8 @@ from tessel.operators import registry, routing, symbols
 from tessel.operators import vector_index as I
 from tessel.operators.embedding import HashingEmbedder, embed
 from tessel.schemas import INDEX_META, VECTORS
-from tessel.session import ensure_checkpoint_dir, ship
-from tessel.sources.archives import extract
+from tessel.session import ensure_checkpoint_dir, exists, ship
+from tessel.sources.archives import RemoteArchive, read_archives
 from tessel.sources.tree import read_tree
 
 
@@ -84,27 +84,37 @@ class Engine:
         name = os.path.basename(os.path.normpath(root))
         return self.index_files(read_tree(self.spark, root, include_dotfiles=include_dotfiles), namespace or name, project_id or name)
 
-    def index_archive(self, archive: str, namespace: str, project_id: str, staging: str | None = None) -> int:
-        """As ``index``, for a zip archive, extracted into a fresh folder that all executors see."""
-        return self.index(extract(archive, staging), namespace, project_id)
+    def index_archive(self, archive: str, namespace: str, project_id: str, include_dotfiles: bool = False) -> int:
+        """As ``index``, for a zip archive; its members are read where the archive lies, not unpacked."""
+        return self.index_files(read_archives(self.spark, archive, include_dotfiles), namespace, project_id)
+
+    def index_remote(self, source: RemoteArchive, owner: str, repo: str, target: str, namespace: str, project_id: str, ref: str | None = None) -> int:
+        """As ``index_archive``, for an archive that ``source`` fetches to ``target``, a path all executors see."""
+        source.check(owner, repo)
+        source.fetch(owner, repo, ref, target)
+        return self.index_archive(target, namespace, project_id)
 
     def index_files(self, files: DataFrame, namespace: str, project_id: str) -> int:
         """As ``index``, for files that are rows already."""
         parts, import_edges, call_edges = self.analyse(files)
+        if parts.isEmpty():
+            self.delete(namespace, project_id)
+            return 0
         parts = embed(parts, self.embedder)
         known = [c for c in parts.columns if c not in ("embedding", "content", "chunk_id")]
         rows = parts.select(
             F.lit(namespace).alias("namespace"), F.lit(project_id).alias("project_id"), "chunk_id", "file_path", "chunk_type", "symbol_name",
             "line_number", "content", F.to_json(F.struct(*known)).alias("metadata"), "embedding", F.current_timestamp().alias("created_at"),
         )
-        self.vectors.add(rows, replace=True)
+        self.vectors.replace(namespace, project_id, rows)
         tenant = [F.lit(namespace).alias("namespace"), F.lit(project_id).alias("project_id")]
         for name, edges in (("import_edges", import_edges), ("call_edges", call_edges)):
+            if edges.isEmpty():
+                I.drop_partition(self.spark, f"{self.home}/{name}", namespace, project_id)
+                continue
             out = edges.select(*tenant, "src", "dst").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             out.partitionBy(*I.TENANT).parquet(f"{self.home}/{name}")
         total = self.vectors.count(namespace, project_id)
-        if not total:
-            self.vectors.delete(namespace, project_id)
         now = F.current_timestamp()
         meta = self.spark.range(1).select(
             F.lit(namespace).alias("namespace"), F.lit(project_id).alias("project_id"), F.lit(type(self.embedder).__name__).alias("embedder"),
@@ -132,13 +142,16 @@ class Engine:
     def info(self, namespace: str, project_id: str) -> dict:
         """Number of vectors and the tenant's metadata, ``{}`` without an index."""
         where = (F.col("namespace") == namespace) & (F.col("project_id") == project_id)
-        try:
+        if exists(self.spark, self.meta_path):
             events = self.spark.read.schema(INDEX_META).parquet(self.meta_path).where(where)
-        except Exception:  # noqa: BLE001 - no table yet
+        else:
             events = self.spark.createDataFrame([], INDEX_META)
         rows = registry.upsert_meta(events.limit(0), events).collect()
         total = self.vectors.count(namespace, project_id)
         return {"total_vectors": total, "index_meta": rows[0].asDict() if rows and total else {}}
 
     def delete(self, namespace: str, project_id: str) -> None:
+        """Drop the tenant's vectors and both of its graphs."""
         self.vectors.delete(namespace, project_id)
+        for name in ("import_edges", "call_edges"):
+            I.drop_partition(self.spark, f"{self.home}/{name}", namespace, project_id)

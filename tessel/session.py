@@ -47,16 +47,35 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder?"""
+    files, place = _file_system(spark, path)
+    return files.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all that is in it; nothing happens if it is missing."""
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``checkpoint()`` usable.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a temporary folder of this machine is taken.
+    A cluster names a shared folder in ``spark.checkpoint.dir``. Where that is unset a temporary folder of this machine
+    is taken, but only if this machine is all there is: executors elsewhere could not read it, so that raises.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"tessel-{os.getpid()}"))
 
 

@@ -1,12 +1,19 @@
-"""Archives of source trees: safe extraction on the driver, and the interface of a remote archive."""
+"""Archives of source trees: members as rows, safe extraction, and the interface of a remote archive."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from io import BytesIO
 from typing import Protocol
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+from tessel.operators.scanning import enters, reads
+
 
 class RemoteArchive(Protocol):
     """Where an archive of a repository can be fetched; implementations need a network and live outside."""
@@ -23,10 +30,46 @@ def archive_url(base: str, owner: str, repo: str, ref: str | None = None) -> str
     return f"{base.rstrip('/')}/repos/{owner}/{repo}/zipball" + (f"/{ref}" if ref else "")
 
 
-def extract(archive: str, staging: str | None = None) -> str:
-    """Unzip into a fresh folder and return its root; members that would leave the folder are refused.
+def members(data: bytes, include_dotfiles: bool = False) -> Iterator[tuple[str, bytes]]:
+    """``(rel_path, content)`` of the files worth reading; a single top folder is taken off the paths.
+
+    A member whose path leads out of the archive makes the whole archive unsafe.
+    """
+    with zipfile.ZipFile(BytesIO(data)) as z:
+        infos = [i for i in z.infolist() if not i.is_dir()]
+        for i in infos:
+            if i.filename.startswith("/") or ".." in i.filename.replace("\\", "/").split("/"):
+                raise ValueError(f"unsafe path in archive: {i.filename}")
+        tops = {i.filename.split("/", 1)[0] for i in infos}
+        nested = len(tops) == 1 and all("/" in i.filename for i in infos)
+        for i in infos:
+            rel = i.filename.split("/", 1)[1] if nested else i.filename
+            *folders, name = rel.split("/")
+            if all(enters(f, include_dotfiles) for f in folders) and reads(name, i.file_size, include_dotfiles):
+                yield rel, z.read(i)
+
+
+def read_archives(spark: SparkSession, path: str, include_dotfiles: bool = False) -> DataFrame:
+    """The files inside zip archives as ``(path, rel_path, length, content)``; one archive is one row of a narrow map.
+
+    Nothing is unpacked to disk, so no folder has to be shared. ``path`` may be a file, a folder or a pattern.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for rel, content in members(data.as_py(), include_dotfiles):
+                    cols = [[f"{source}/{rel}"], [rel], [len(content)], [content]]
+                    kinds = [pa.string(), pa.string(), pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["path", "rel_path", "length", "content"])
+
+    archives = spark.read.format("binaryFile").load(path).select("path", "content")
+    return archives.mapInArrow(run, "path string, rel_path string, length bigint, content binary")
+
+
+def extract(archive: str, staging: str) -> str:
+    """Unzip into a fresh folder below ``staging`` and return its root; members that would leave it are refused.
 
-    A fresh folder for each run keeps files of an earlier upload out.
+    A fresh folder for each run keeps files of an earlier upload out. ``staging`` must be shared by whoever reads it.
     """
     target = tempfile.mkdtemp(prefix="tree-", dir=staging)
     real = os.path.realpath(target)

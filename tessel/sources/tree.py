@@ -1,45 +1,42 @@
-"""A Spark data source that walks a tree of files: ``spark.read.format("source_tree").option("root", ...)``.
+"""A Spark data source over a tree of files: ``spark.read.format("source_tree").option("root", ...)``.
 
-Ignored and hidden directories are pruned during the walk, not after it. The built-in binary reader would
-drop names that start with a dot or underscore and empty files, so it is not used. Options: ``root``,
-``include_dotfiles``, ``max_bytes``, ``partitions``. The root must be a folder all executors see.
+The driver opens directories breadth first only until there are some for every partition; the executors list and read
+what lies below, so neither the number of files nor their listing is the driver's. Ignored and hidden directories are
+never opened. The built-in binary reader would drop names that start with a dot or underscore and empty files, so it
+is not used. Options: ``root``, ``include_dotfiles``, ``max_bytes``, ``partitions``. The root must be a folder all
+executors see.
 """
 
 from __future__ import annotations
 
 import os
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from tessel.operators.scanning import BINARY_EXTENSIONS, GENERATED_ENDINGS, IGNORED_DIRS, MAX_BYTES
+from tessel.operators.scanning import MAX_BYTES, enters, reads
 
 SCHEMA = "path string, rel_path string, length bigint, content binary"
+#: Directories opened on the driver for each partition, so that uneven ones even out.
+UNITS_PER_PARTITION = 4
 
 
-class FilesPartition(InputPartition):
-    def __init__(self, files: list[tuple[str, str]]):
-        self.files = files
+class Folders(InputPartition):
+    """Directories to list, each with whether everything below it belongs to it."""
 
+    def __init__(self, units: list[tuple[str, bool]]):
+        self.units = units
 
-def walk(root: str, include_dotfiles: bool = False, max_bytes: int = MAX_BYTES) -> Iterator[tuple[str, str, int]]:
-    """``(path, rel_path, size)`` of the files worth reading under ``root``, in sorted order."""
-    for folder, dirs, names in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if d not in IGNORED_DIRS and (include_dotfiles or not d.startswith(".")))
-        for name in sorted(names):
-            if not include_dotfiles and name.startswith("."):
-                continue
-            if os.path.splitext(name)[1].lower() in BINARY_EXTENSIONS or name.endswith(GENERATED_ENDINGS):
-                continue
-            path = os.path.join(folder, name)
-            try:
-                size = os.path.getsize(path)
-            except OSError:
-                continue
-            if size <= max_bytes:
-                yield path, os.path.relpath(path, root), size
+
+def _entries(folder: str) -> list[os.DirEntry]:
+    try:
+        with os.scandir(folder) as listing:
+            return sorted(listing, key=lambda e: e.name)
+    except OSError:
+        return []  # it vanished or is closed to us
 
 
 class TreeReader(DataSourceReader):
@@ -47,28 +44,40 @@ class TreeReader(DataSourceReader):
         self.root = options.get("root") or options.get("path")
         self.dotfiles = str(options.get("include_dotfiles", "false")).lower() == "true"
         self.max_bytes = int(options.get("max_bytes", MAX_BYTES))
-        self.parts = max(1, int(options.get("partitions", 8)))
+        self.parts = max(1, int(options.get("partitions", 64)))
         if not self.root or not os.path.isdir(self.root):
             raise ValueError(f"not a directory: {self.root}")
 
+    def _below(self, folder: str) -> list[str]:
+        return [e.path for e in _entries(folder) if e.is_dir(follow_symlinks=False) and enters(e.name, self.dotfiles)]
+
     def partitions(self) -> list[InputPartition]:
-        """Files dealt out by size, largest first, so that partitions hold about as many bytes each."""
-        found = sorted(walk(self.root, self.dotfiles, self.max_bytes), key=lambda f: (-f[2], f[1]))
-        bins: list[list] = [[0, i, []] for i in range(min(self.parts, max(1, len(found))))]
-        for path, rel, size in found:
-            least = min(bins, key=lambda b: (b[0], b[1]))
-            least[0] += size + 1
-            least[2].append((path, rel))
-        return [FilesPartition(b[2]) for b in bins]
-
-    def read(self, partition: FilesPartition) -> Iterator[tuple]:
-        for path, rel in partition.files:
+        closed, units = deque([self.root]), []
+        while closed and len(closed) + len(units) < self.parts * UNITS_PER_PARTITION:
+            folder = closed.popleft()
+            units.append((folder, False))  # its own files; its directories are units themselves
+            closed.extend(self._below(folder))
+        units += [(folder, True) for folder in closed]
+        return [Folders(units[i :: self.parts]) for i in range(min(self.parts, len(units)))]
+
+    def read(self, partition: Folders) -> Iterator[tuple]:
+        for folder, deep in partition.units:
+            opened = [folder]
+            while opened:
+                here = opened.pop()
+                if deep:
+                    opened.extend(self._below(here))
+                yield from self._files(here)
+
+    def _files(self, folder: str) -> Iterator[tuple]:
+        for entry in _entries(folder):
             try:
-                with open(path, "rb") as f:
-                    content = f.read()
+                if entry.is_file() and reads(entry.name, entry.stat().st_size, self.dotfiles, self.max_bytes):
+                    with open(entry.path, "rb") as f:
+                        content = f.read()
+                    yield entry.path, os.path.relpath(entry.path, self.root), len(content), content
             except OSError:
-                continue  # it vanished since the walk
-            yield path, rel, len(content), content
+                continue  # it vanished since the listing
 
 
 class SourceTree(DataSource):

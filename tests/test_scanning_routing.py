@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from tessel.operators import routing, scanning
-from tessel.sources.archives import archive_url, collapse_root, extract
-from tessel.sources.tree import read_tree, walk
+from tessel.sources.archives import read_archives, archive_url, collapse_root, extract
+from tessel.sources.tree import TreeReader, read_tree
 
 KEPT = ["pkg/__init__.py", "_under.py", "Makefile", "empty.py", "exact.py"]
 HIDDEN = [".zshrc", ".hid/b.py"]
@@ -34,8 +34,51 @@ def test_tree_source(spark, tmp_path):
     rows = {r.rel_path: r for r in df.collect()}
     assert set(rows) == set(KEPT) and rows["empty.py"].content == b"" and rows["exact.py"].length == 524_288
     assert {r.rel_path for r in read_tree(spark, str(root), include_dotfiles=True).collect()} == set(KEPT + HIDDEN)
-    assert df.rdd.getNumPartitions() == 3
-    assert [rel for _, rel, _ in walk(str(root))] == sorted(KEPT, key=lambda p: ("/" in p, p))
+    assert df.rdd.getNumPartitions() <= 3
+    # few partitions, so deep folders are listed by the executors; many, so the driver opens all of them
+    for n in (1, 100):
+        units = [u for p in TreeReader({"root": str(root), "partitions": n}).partitions() for u in p.units]
+        assert (n == 1 or not any(deep for _, deep in units)) and len(units) == len(set(units))
+        assert {r.rel_path for r in read_tree(spark, str(root), partitions=n).collect()} == set(KEPT)
+
+
+class Shelf:
+    """A remote archive that is a local file."""
+
+    def __init__(self, archive):
+        self.archive = archive
+
+    def check(self, owner, repo):
+        if owner != "o":
+            raise ValueError("no access")
+
+    def fetch(self, owner, repo, ref, target):
+        import shutil
+
+        shutil.copy(self.archive, target)
+
+
+def test_archives_are_read_in_place(spark, tmp_path):
+    import zipfile
+
+    import pytest
+
+    from tessel.plans.engine import Engine
+
+    with zipfile.ZipFile(tmp_path / "g.zip", "w") as z:
+        for name, text in {"r-1/a.py": "x = 1", "r-1/.hid/b.py": "y", "r-1/node_modules/c.js": "z", "r-1/d/e.min.js": "w", "r-1/d/f.go": ""}.items():
+            z.writestr(name, text)
+    got = {r.rel_path: bytes(r.content) for r in read_archives(spark, str(tmp_path / "g.zip")).collect()}
+    assert got == {"a.py": b"x = 1", "d/f.go": b""}
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("../evil.py", "x")
+    with pytest.raises(Exception, match="unsafe path"):
+        read_archives(spark, str(tmp_path / "b.zip")).collect()
+    engine = Engine(spark, str(tmp_path / "home"))
+    shelf = Shelf(tmp_path / "g.zip")
+    assert engine.index_remote(shelf, "o", "r", str(tmp_path / "fetched.zip"), "n", "p") == 4
+    with pytest.raises(ValueError):
+        engine.index_remote(shelf, "else", "r", str(tmp_path / "x.zip"), "n", "p")
 
 
 def test_archives(tmp_path):

@@ -62,7 +62,7 @@ def test_stored_index(spark, tmp_path):
     index.add(spark.createDataFrame([row("k1", "v2", T1), row("k2", "v2", T1, path="g")], VECTORS))
     assert payload(index.read("n", "p")) == {("p", "k1"): ("v2", T0), ("p", "k2"): ("v2", T1)}
     assert index.delete_file("n", "p", "g") == 1 and index.count("n", "p") == 1 and index.count("n", "q") == 1
-    index.add(spark.createDataFrame([row("k5", "v5", T1)], VECTORS), replace=True)
+    index.replace("n", "p", spark.createDataFrame([row("k5", "v5", T1)], VECTORS))
     assert payload(index.read()) == {("p", "k5"): ("v5", T1), ("q", "k9"): ("x", T0)}
     plan = index.read("n", "p")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(namespace" in plan
@@ -70,6 +70,47 @@ def test_stored_index(spark, tmp_path):
     assert index.count("n", "q") == 0 and index.delete_file("n", "p", "nothing") == 0
 
 
+def test_replace_by_nothing(spark):
+    old = spark.createDataFrame([row("k1", "v", T0), row("k2", "w", T0, "q"), (None, None, *row("k3", "x", T0)[2:])], VECTORS)
+    gone = spark.createDataFrame([("n", "p"), (None, None), ("never", "seen")], "namespace string, project_id string")
+    assert payload(I.replace_all(old, old.limit(0), gone)) == {("q", "k2"): ("w", T0)}
+    assert I.stale(old, old).count() == 0  # null keys equal each other
+
+
+NAMES = ["a:b", "a/b", "50%", "..", "../../victim", "a b=c", "x#y?", "ä"]
+
+
+def test_names_of_tenants_never_leave_the_table(spark, tmp_path):
+    victim = tmp_path / "victim"
+    victim.mkdir()
+    (victim / "file").write_text("x")
+    index = I.VectorIndex(spark, str(tmp_path / "t" / "v"), VECTORS)
+    for name in NAMES:
+        index.replace("n", name, spark.createDataFrame([row("k", name, T0)], VECTORS))
+    for name in NAMES:
+        assert [r.content for r in index.read("n", name).collect()] == [name]
+    for i, name in enumerate(NAMES):
+        index.delete("n", name)
+        assert index.count("n", name) == 0 and index.read().count() == len(NAMES) - 1 - i
+    index.delete("n", "p/../../../../victim")
+    assert (victim / "file").exists()
+    index.replace("n", "p", spark.createDataFrame([row("k", "v", T0)], VECTORS))
+    index.replace("n", "p", spark.createDataFrame([], VECTORS))
+    assert index.count("n", "p") == 0
+    index.replace("n", "p", spark.createDataFrame([row("k", "v", T0)], VECTORS))
+    index.clear()
+    assert index.read().count() == 0
+
+
+def test_new_jobs_and_projects(spark):
+    made = registry.new_job(spark, "n", "p", filename="x.zip")
+    one = made.first()
+    assert made.columns == JOBS.fieldNames() and one.status == "queued" and len(one.job_id) == 32 and one.filename == "x.zip" and one.error is None
+    none = spark.createDataFrame([], PROJECTS)
+    got = registry.create_project(none, "n", "first", F.lit("t"), github_ref="main", other="dropped").collect()
+    assert [(r.name, r.namespace, r.github_ref, r.created_at, len(r.id)) for r in got] == [("first", "n", "main", "t", 32)]
+
+
 def test_stream_into_the_index(spark, tmp_path):
     source, index = tmp_path / "in", I.VectorIndex(spark, str(tmp_path / "v"), VECTORS)
     spark.createDataFrame([row("k1", "a", T0), row("k1", "b", T1)], VECTORS).coalesce(1).write.parquet(str(source))
