@@ -4,15 +4,16 @@ Method: comments and string literals are cut out by *delimiter families* (slash,
 so languages without a parser are served alike; adjacent comment lines are merged where a sentence runs on;
 each sentence is classified by the *distance of ranked n-gram profiles*, with rejection.
 
-The profiles rank letter n-grams (1 to 4, with word ends) of the sample texts below, letters folded to their
-base, since accents are often lost. The distance of a sentence to a language is the mean rank of its
-n-grams there, an absent one counting as the last rank. A sentence is rejected if even its nearest profile is
-far, or not clearly nearer than English. Scripts decide ru, zh and ja before that.
-
-Every line is cut up and classified. Where a line has no mark of another language (a letter outside ASCII, an
-escape, one of the frequent short words in ``MARKS``), names and lists of code are the likelier reading, so its
-sentences are rejected at nearer limits: a smaller distance, and a lead over English that grows as sentences get
-shorter. Such a sentence can be missed if it is far from the sample texts.
+The profiles rank letter n-grams (1 to 4, with word ends) of the sample texts below, letters folded to their base;
+words with accents are counted a second time without those letters and with their transcription, since files lose
+accents in either way. The distance of a sentence to a language is the mean rank of its n-grams there, an absent one
+counting as the last rank. A sentence is rejected if even its nearest profile is far, or if its lead over English,
+times the root of its number of words, is small: a mean over more words strays less. Names in code are mostly English
+words, so the English sample holds such words too. Scripts decide ru, zh and ja before that. Every comment and string
+of every line goes through the profiles; nothing is sifted by words beforehand.
+
+Comment lines of one kind that follow each other are one text. A line begins a new sentence if the line before ends
+one, or if both lines alone are clearly of different languages.
 """
 
 from __future__ import annotations
@@ -30,11 +31,9 @@ from pyspark.sql import functions as F
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl")
 REPORTED = frozenset(("de", "fr", "es", "pt", "ru", "zh", "ja"))
 MIN_WORDS, MIN_DENSE = 5, 8
-RANKS = 1000
-#: Rejection: largest mean rank (of 1) to the nearest profile, and least lead over English.
-MAX_DISTANCE, MIN_LEAD = 0.74, 0.015
-#: The same for lines without a mark; the lead is divided by the root of the number of words.
-BARE_DISTANCE, BARE_LEAD = 0.43, 0.36
+RANKS = 1500
+#: Rejection: largest mean rank (of 1) to the nearest profile, and least lead over English times the root of the words.
+MAX_DISTANCE, MIN_LEAD = 0.5, 0.125
 
 # Sample texts the profiles are trained on, written for this purpose.
 SAMPLES = {
@@ -46,7 +45,12 @@ SAMPLES = {
     for large projects the cache is filled in the background so that nobody has to wait. do not change these values by hand
     under load the worker keeps one shared buffer and its queue alongside the index rather than guessing a default value
     nothing else may touch this shard during the scan. in practice older clients still expect that both sides agree on it
-    most of these options are read at startup and written to the log with a short note about what was skipped or dropped""",
+    most of these options are read at startup and written to the log with a short note about what was skipped or dropped
+    import from return value type name path file line list index token queue cache node graph edge chunk parcel replica tenant segment
+    socket corpus label metric schema lease record buffer digest manifest session vector window worker ledger module package imports
+    symbols functions types parse trim evict detach validate rank merge fetch flush encode decode publish restore replay route sample score
+    prune lib core json errors sort fs os error message default config number string object array query batch snapshot cursor offset
+    delta prefix probe quota ticket voucher""",
     "de": """der die das und ist nicht mit auf für ein eine einen einem einer den dem des von zu im sich auch wird sind als an nach wie aus bei
     oder nur noch über wenn werden kann hat bis durch keine jeder jede jeden alle diese dieser dieses ohne damit weil während
     bevor sobald falls obwohl statt unser unsere sehr mehr man wir sie es er zum zur vom beim
@@ -97,25 +101,6 @@ SAMPLES = {
     nooit een rij terwijl een ander proces die nog leest. deze functie geeft het aantal rijen terug of niets als de verbinding wegvalt
     voor grote projecten vult de buffer zich op de achtergrond zodat niemand hoeft te wachten. de volgorde van de regels blijft gelijk""",
 }
-#: Frequent short words of the reported languages that English code and prose hardly use.
-MARKS = (
-    "der|die|das|und|nicht|mit|auf|für|fuer|fur|ein|eine|einen|einer|einem|dem|des|den|von|wird|sind|ist|sich|auch|oder|nur|noch|wenn|bis|keine|jede|jeden|jeder|alle|diese|ohne|damit|weil|bevor|sobald|falls|statt|unser|zum|zur|beim|aus|nach"
-    "|le|la|les|du|une|et|est|dans|pour|pas|sur|aux|avec|par|ce|cette|ces|notre|qui|que|plus|ou|mais|sans|tout|tous|chaque|aucun|leur|avant|quand|afin|parce|pendant|puis|seulement|jusqu"
-    "|el|los|las|del|en|se|por|con|para|su|al|como|pero|sus|este|esta|sin|hasta|desde|cuando|todas|todos|cada|nadie|otros|porque|antes|mientras|aunque|nuestra|nuestro|solo|una|ninguno"
-    "|dos|das|um|uma|na|nos|nas|com|seu|sua|ao|mais|mas|isso|sem|até|ate|quando|outros|depois|enquanto|embora|nosso|apenas|nenhum|ninguém|pelo|pela|são|não|nao"
-)
-_MARK_WORDS = frozenset(MARKS.split("|"))
-_ASCII_WORD = re.compile(r"[a-z]+")
-_ESCAPED = re.compile(r"\\u\{?[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|&(?:#x?[0-9a-fA-F]+|[a-zA-Z]{3,8});")
-
-
-def has_evidence(text: str) -> bool:
-    """Is there some mark of a language other than English?"""
-    if not text.isascii() or ("\\" in text or "&" in text) and _ESCAPED.search(text):
-        return True
-    return not _MARK_WORDS.isdisjoint(_ASCII_WORD.findall(text.lower()))
-
-
 _UNICODE = re.compile(r"\\u\{([0-9a-fA-F]{1,6})\}|\\u([0-9a-fA-F]{4})|\\U([0-9a-fA-F]{8})|\\x([0-9a-fA-F]{2})|((?:\\x[0-9a-fA-F]{2}){2,})")
 _BYTES = re.compile(r"(?:\\x[0-9a-fA-F]{2})+")
 _ENTITY = re.compile(r"&(?:#\d{2,7}|#x[0-9a-fA-F]{2,6}|[a-zA-Z]{3,8});")
@@ -127,6 +112,7 @@ _LINE_HEAD = re.compile(r"^\s*(?://+!?|/\*+!?|\*+/?|#+!?|---?\[=*\[|---?|<!--|;+
 _TAGS = re.compile(r"[@\\](?:param|arg|tparam|throws|exception|raises?|returns?|see|brief|details|note|type|yields?|prop(?:erty)?)\b(?:[ \t]*\{[^}\n]*\})?(?:[ \t]+[\w$.\[\]*]+(?=\s))?|:(?:param|type|raises?|returns?|rtype|var)\b[^:\n]*:")
 _CONFIG_VALUE = re.compile(r"^\s*(?:export\s+|-\s+)?[\"']?[\w.\-/ ]{1,80}?[\"']?\s*[:=]\s*(.+?)\s*,?\s*$")
 _SENTENCE_END = re.compile(r"(?<=[.!?;。！？；…])(?:\s+|(?=[^\x00-\x7f]))|\s+[|·•]\s+")
+_ENDED = re.compile(r"[.!?:;。！？；…]\W*$")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _CODE = re.compile(r"\w\.[A-Za-z]\w*(?:\.|,|$)|[=<>{}\[\]|&;$@^~]|\w\(|\w\.\w+\(|::|->|\w_\w")
 _DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
@@ -144,6 +130,16 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
+def _variants(word: str) -> list[str]:
+    """A word of a sample as files hold it: folded and, if it has accents, without them or transcribed."""
+    if word.isascii():
+        return [word.lower()]
+    lower = word.lower()
+    bare = "".join(c for c in lower if c.isascii())
+    spelled = lower.replace("ä", "ae").replace("ö", "oe").replace("ü", "ue")
+    return [v for v in (fold(lower), bare, fold(spelled)) if v]
+
+
 def _grams(words: list[str]) -> list[str]:
     out = []
     for w in words:
@@ -163,7 +159,7 @@ class Profiles:
     def __init__(self) -> None:
         ranked = []
         for lang in LANGUAGES:
-            counts = Counter(_grams(_WORD.findall(fold(SAMPLES[lang]))))
+            counts = Counter(_grams([v for w in _WORD.findall(SAMPLES[lang]) for v in _variants(w)]))
             order = sorted(counts, key=lambda g: (-counts[g], g))[:RANKS]
             ranked.append({g: i / RANKS for i, g in enumerate(order)})
         names = sorted(set().union(*ranked))
@@ -189,15 +185,15 @@ class Profiles:
             n += held[1]
         return total / n
 
-    def latin(self, words: list[str], marked: bool = True) -> str | None:
+    def latin(self, words: list[str]) -> str | None:
         """The language of a sentence in Latin letters, or None."""
-        key = " ".join(words) if marked else "\0" + " ".join(words)
+        key = " ".join(words)
         if key in self.known:
             return self.known[key]
         d = self.distances([fold(w) for w in words])
         k = int(np.argmin(d))
-        far, lead = (MAX_DISTANCE, MIN_LEAD) if marked else (BARE_DISTANCE, BARE_LEAD / len(words) ** 0.5)
-        lang = LANGUAGES[k] if d[k] <= far and (k == 0 or d[0] - d[k] >= lead) else None
+        near = d[k] <= MAX_DISTANCE and (k == 0 or (d[0] - d[k]) * len(words) ** 0.5 >= MIN_LEAD)
+        lang = LANGUAGES[k] if near else None
         if len(self.known) > 200_000:
             self.known.clear()
         self.known[key] = lang
@@ -245,11 +241,10 @@ def unescape(text: str) -> str:
     return text
 
 
-def language(sentence: str, marked: bool = True) -> str | None:
-    """The reported language of one sentence, or None for English, code, short and unsure text.
-
-    ``marked`` is whether its line has some mark of another language.
-    """
+def language(sentence: str) -> str | None:
+    """The language of one sentence, ``en`` included, or None for code, short and unsure text."""
+    if sentence.isascii() and sentence.count(" ") < MIN_WORDS - 2:
+        return None  # fewer words than a sentence has
     dense = len(_DENSE.findall(sentence))
     if dense >= MIN_DENSE:
         if len(_FOREIGN_DENSE.findall(sentence)) > dense:
@@ -266,74 +261,95 @@ def language(sentence: str, marked: bool = True) -> str | None:
     # words stand apart and are not mostly single letters; encoded data and split bytes are no sentences
     if "\x00" in sentence or sentence.count(" ") < MIN_WORDS - 2 or sum(map(len, latin)) < 2.6 * len(latin):
         return None
-    if len(latin) < MIN_WORDS or len(_CODE.findall(sentence)) > max(1, len(words) // 8):
+    if len({w.lower() for w in latin}) < MIN_WORDS or len(_CODE.findall(sentence)) > max(1, len(words) // 8):
         return None
-    got = profiles().latin(latin, marked)
-    return got if got in REPORTED else None
+    return profiles().latin(latin)
 
 
-def _units(line: str) -> Iterator[tuple[str, str]]:
-    """(kind, text) of the strings, the comment and the bare text of a line."""
+def _units(line: str) -> tuple[list[str], str | None, str]:
+    """The strings of a line, its comment or bare text, and the leader if the whole line is a comment."""
     quoted = [next((g for g in m.groups() if g is not None), "") for m in _QUOTED.finditer(line)]
     bare = _QUOTED.sub('""', line)
-    for q in quoted:
-        if len(q) >= MIN_DENSE:
-            yield "string", q
+    strings, comment, leader = [q for q in quoted if len(q) >= MIN_DENSE], None, ""
+    head = _LINE_HEAD.match(line)
     t = _TRAIL.search(bare)
-    if t:
+    if head.group().strip():
+        comment, leader = line[head.end() :], head.group().strip()
+    elif t:
         # the comment in the original line: quotes inside it belong to it
         start = line.find(bare[t.start() : t.end()].strip() or bare[t.start() : t.end()])
-        yield "comment", line[start + (t.end() - t.start()) :] if start >= 0 else bare[t.end() :]
-    elif not quoted or _LINE_HEAD.match(line).group().strip():
-        yield "comment", line[_LINE_HEAD.match(line).end() :]
+        comment = line[start + (t.end() - t.start()) :] if start >= 0 else bare[t.end() :]
+    elif not quoted:
+        comment = line[head.end() :]
+        leader = "" if _CODE.search(comment) else "text"  # lines of a string or comment that began above
     v = _CONFIG_VALUE.match(line)
     if v and not quoted:
-        yield "string", v.group(1)
+        strings.append(v.group(1))
     # an opening or closing quote whose partner stands on another line
     if bare.count('"') % 2 or bare.count("`") % 2:
-        yield "string", re.sub(r"\"\"", " ", bare).strip(" \"'`")
-
-
-def find_texts(content: str) -> list[tuple[str, str, str]]:
-    """``(kind, language, text)`` of sentences in reported languages; repeated sentences come once."""
-    out: dict[tuple[str, str], str] = {}
-    lines = content.split("\n")
-    for i, line in enumerate(lines):
-        if len(line) < MIN_DENSE:
-            continue
-        if len(line) > 20_000 and line.count(" ") * 40 < len(line) and not _DENSE.search(line):
-            continue  # data, no words
-        hit, marked = False, has_evidence(line)
-        for kind, text in _units(line):
-            text = unescape(_TAGS.sub(" ", text)).strip()
-            for sentence in _SENTENCE_END.split(text):
-                lang = language(sentence, marked) if sentence else None
-                if lang:
-                    hit = True
-                    out.setdefault((lang, sentence.strip()), kind)
-        if hit:
-            continue
-        # a sentence may run on over adjacent comment lines
-        head = _LINE_HEAD.match(line)
-        if head.group().strip():
-            near = []
-            for j in range(max(0, i - 1), min(len(lines), i + 2)):
-                h = _LINE_HEAD.match(lines[j])
-                if not marked and j != i and has_evidence(lines[j]):
-                    continue  # a line with a mark reaches over to this one itself
-                if len(lines[j]) < 400 and (h.group().strip() == head.group().strip()):
-                    near.append(lines[j][h.end() :])
-            if len(near) > 1:
-                text = unescape(_TAGS.sub(" ", " ".join(x.strip() for x in near)))
-                for sentence in _SENTENCE_END.split(text):
-                    lang = language(sentence, marked) if sentence else None
-                    if lang:
-                        out.setdefault((lang, sentence.strip()), "comment")
-    return [(kind, lang, text) for (lang, text), kind in out.items()]
-
-
-def hidden_texts(rows: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """``(id, nl_lang, kind, text)``: sentences in comments and strings in languages other than English.
+        strings.append(re.sub(r"\"\"", " ", bare).strip(" \"'`"))
+    return strings, comment, leader
+
+
+def _sentences(text: str, wanted: frozenset) -> list[tuple[str, str]]:
+    return [(lang, x.strip()) for x in _SENTENCE_END.split(text) if x and (lang := language(x)) in wanted]
+
+
+def _merged(lines: list[str], wanted: frozenset) -> list[tuple[str, str]]:
+    """Sentences of a run of comment lines."""
+    if len(lines) == 1:
+        return _sentences(lines[0], wanted)
+    out, group, last = [], [], None
+
+    def close() -> None:
+        got = _sentences(" ".join(group), wanted)
+        alone = [x for line in group for x in _sentences(line, wanted)] if len(group) > 1 else []
+        # joining must lose no language: lines that end without a mark may still be sentences of their own
+        out.extend(got if {lang for lang, _ in alone} <= {lang for lang, _ in got} else alone)
+
+    for line in lines:
+        parts = [p for p in _SENTENCE_END.split(line) if p]
+        tag = language(parts[0]) if parts else None
+        if group and (_ENDED.search(group[-1]) or (tag and last and tag != last)):
+            close()
+            group, last = [], None
+        group.append(line)
+        last = (tag or last) if len(parts) < 2 else language(parts[-1])
+    close()
+    return out
+
+
+def find_texts(content: str, english: bool = False) -> list[tuple[str, str, str, int]]:
+    """``(kind, language, text, times)`` of sentences in reported languages, and in English if asked for."""
+    wanted = REPORTED | {"en"} if english else REPORTED
+    out: dict[tuple[str, str], list] = {}
+
+    def add(kind: str, found: list[tuple[str, str]]) -> None:
+        for key in found:
+            out.setdefault(key, [kind, 0])[1] += 1
+
+    run: list[str] = []
+    leader = ""
+    for line in content.split("\n"):
+        strings, comment, own = _units(line) if len(line) >= MIN_DENSE or line.strip() else ([], None, "")
+        for text in strings:
+            add("string", _sentences(unescape(_TAGS.sub(" ", text)).strip(), wanted))
+        text = unescape(_TAGS.sub(" ", comment)).strip() if comment is not None else ""
+        if run and not (own and own[0] == leader[0] and text):
+            add("comment", _merged(run, wanted))
+            run = []
+        if own and text:
+            run.append(text)
+            leader = own
+        elif text:
+            add("comment", _sentences(text, wanted))
+    if run:
+        add("comment", _merged(run, wanted))
+    return [(kind, lang, text, n) for (lang, text), (kind, n) in out.items()]
+
+
+def hidden_texts(rows: DataFrame, id_col: str = "id", text_col: str = "content", english: bool = False) -> DataFrame:
+    """``(id, nl_lang, kind, text, times)``: sentences in comments and strings, English ones only if asked for.
 
     Null and empty texts have none; repeated rows give repeated rows; extra columns are ignored. A narrow
     map without a shuffle, over whole texts.
@@ -343,28 +359,31 @@ def hidden_texts(rows: DataFrame, id_col: str = "id", text_col: str = "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index, cols = [], [[], [], []]
+            index, cols = [], [[], [], [], []]
             for i, text in enumerate(batch.column(1).to_pylist()):
                 if text:
-                    for kind, lang, sentence in find_texts(text):
+                    for kind, lang, sentence, times in find_texts(text, english):
                         index.append(i)
-                        for c, v in zip(cols, (lang, kind, sentence)):
+                        for c, v in zip(cols, (lang, kind, sentence, times)):
                             c.append(v)
             ids = batch.column(0).take(pa.array(index, type=pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, type=pa.string()) for c in cols)], names=["id", "nl_lang", "kind", "text"])
+            kinds = [pa.string(), pa.string(), pa.string(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, type=t) for c, t in zip(cols, kinds))], names=["id", "nl_lang", "kind", "text", "times"])
 
-    return narrow.mapInArrow(run, f"id {kind_of}, nl_lang string, kind string, text string")
+    return narrow.mapInArrow(run, f"id {kind_of}, nl_lang string, kind string, text string, times int")
 
 
 def language_shares(rows: DataFrame) -> DataFrame:
     """``(file_path, nl_lang, sentences, chars, share)``: how much of each file's rows is text in a language.
 
-    ``rows(id, file_path, content)``; rows without a path form the group of the null path.
+    ``rows(id, file_path, content)``; rows without a path form the group of the null path. Every occurrence counts, and
+    English counts like any other language.
     """
     sizes = rows.groupBy("file_path").agg(F.sum(F.coalesce(F.length("content"), F.lit(0))).alias("total"))
     keyed = rows.select(F.struct("id", "file_path").alias("key"), "content")
-    found = hidden_texts(keyed, "key").select(F.col("id.file_path").alias("file_path"), "nl_lang", "text")
-    texts = found.groupBy("file_path", "nl_lang").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.length("text")).alias("chars"))
+    found = hidden_texts(keyed, "key", english=True).select(F.col("id.file_path").alias("file_path"), "nl_lang", "text", "times")
+    chars = F.sum(F.length("text") * F.col("times"))
+    texts = found.groupBy("file_path", "nl_lang").agg(F.sum("times").alias("sentences"), chars.alias("chars"))
     paths = sizes.withColumnRenamed("file_path", "p")
     joined = texts.join(paths, texts.file_path.eqNullSafe(paths.p))
     return joined.select("file_path", "nl_lang", "sentences", "chars", (F.col("chars") / F.col("total")).alias("share"))

@@ -73,12 +73,12 @@ def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Languages other than English that a row's comments and strings hold a sentence of."""
-    return p6_texts(spark, sf).select("id", "nl_lang").distinct()
+    return hidden_text.hidden_texts(table(spark, sf, "vector_store")).select("id", "nl_lang").distinct()
 
 
 def p6_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """The sentences themselves."""
-    return hidden_text.hidden_texts(table(spark, sf, "vector_store"))
+    """The sentences themselves, English ones included."""
+    return hidden_text.hidden_texts(table(spark, sf, "vector_store"), english=True)
 
 
 def p6_docstrings(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,7 +88,7 @@ def p6_docstrings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_shares(spark: SparkSession, sf: str) -> DataFrame:
-    """Share of each file that is text in another language."""
+    """Share of each file that is text in a language."""
     return hidden_text.language_shares(table(spark, sf, "vector_store"))
 
 
