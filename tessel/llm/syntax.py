@@ -2,14 +2,17 @@
 
 Method: *minimum-cost syntax repair by error-correcting chart parsing*. A file is lexed by the rules of its
 language (strings, comments, heredocs, regular expression literals and long brackets disappear); what is
-left is read against a grammar of nested brackets, block keywords and statement forms. Neighbouring
-partners cancel, which never worsens a repair, and a chart over the rest finds the least number of
-inserted, deleted or replaced symbols. Faults inside the lexical and statement rules cost one edit each.
+left is read against a grammar in three layers: nested brackets and block keywords, expressions of operands and
+operators inside each level (``expressions``), and statement forms. Neighbouring partners cancel, which never worsens a
+repair, and a chart over the rest finds the least number of inserted, deleted or replaced symbols; every pair of
+neighbours that no expression holds, and every fault inside the lexical and statement rules, costs one edit.
 Cost zero means the file parses; otherwise the places of the edits tell truncation (only missing ends at
 the end of the file), conflict (merge markers), mismatch (another language or binary data) and local faults.
 
 For Python, JSON, JSONC, TOML and YAML the language's own parser decides whether the cost is zero, since
-acceptance is a proof of it; the chart then places the repair of what was rejected.
+acceptance is a proof of it; the chart then places the repair of what was rejected. A parser that gives up without an
+answer (nesting deeper than it goes, or no YAML reader installed) leaves the decision to lexer and chart. Of files with
+markup inside code (jsx, tsx) the text between tags is taken out, and lexer, brackets and chart judge the rest.
 """
 
 from __future__ import annotations
@@ -20,10 +23,13 @@ import re
 import warnings
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessel.llm.expressions import expression_faults
+
 # Extension (lower case) to grammar. Languages named by the extension map of the router.
 GRAMMARS = {
     ".py": "python", ".pyw": "python", ".pyi": "python",
@@ -83,7 +89,8 @@ def _strip(text: str, lang: str) -> tuple[str, int]:
 # ---- chart --------------------------------------------------------------------------------------------
 
 _PARTNER = {")": "(", "]": "[", "}": "{"}
-_CHART_LIMIT = 80
+#: Symbols up to which the chart is filled; the number of cells grows with the square, the work with the cube.
+CHART_SYMBOLS = 200
 
 
 def cancel(symbols: list[tuple[str, int]]) -> list[tuple[str, int]]:
@@ -102,45 +109,52 @@ def chart(symbols: list[str]) -> tuple[int, list[int]]:
 
     ``cost[i][j]`` is the repair cost of the part from i to before j: one symbol alone costs one edit
     (delete it, or insert its partner); a partnered pair costs nothing, any other pair one replacement, or
-    two if it closes first and opens second; parts are concatenated. Rests longer than the chart's limit are bounded from
-    below by one edit per two symbols.
+    two if it closes first and opens second; parts are concatenated. All parts of one length are filled at once; where
+    every closing symbol stands before every opening one the least cost is known without a chart. Other rests
+    longer than the chart go through it in pieces: each piece is repaired on its own, which is a repair of the whole, so
+    the cost is then an upper bound; it is above zero in either case.
     """
     n = len(symbols)
-    if n > _CHART_LIMIT:
-        return -(-n // 2), list(range(n))
-    opens = [s in "([{" for s in symbols]
-
-    def pair(i: int, k: int) -> int:
-        wrong = (not opens[i]) + opens[k]
-        return wrong or int(_PARTNER[symbols[k]] != symbols[i])
-
-    cost = [[0] * (n + 1) for _ in range(n + 1)]
-    back: dict[tuple[int, int], tuple[int, int]] = {}
+    ends = sum(s in ")]}" for s in symbols)
+    if all(s in ")]}" for s in symbols[:ends]):  # no part opens before it closes: two of a kind share one edit
+        return -(-ends // 2) - (-(n - ends) // 2), list(range(0, ends, 2)) + list(range(ends, n, 2))
+    if n > CHART_SYMBOLS:
+        cost, touched = 0, []
+        for at in range(0, n, CHART_SYMBOLS):
+            part, places = chart(symbols[at : at + CHART_SYMBOLS])
+            cost += part
+            touched += [at + i for i in places]
+        return cost, touched
+    kind = np.array(["()[]{}".index(s) for s in symbols], dtype=np.int64)
+    closes = kind % 2
+    own = np.where((1 - closes)[:, None] & closes[None, :] & (kind[:, None] // 2 == kind[None, :] // 2), 0, np.maximum(1, closes[:, None] + 1 - closes[None, :]))
+    cost = np.zeros((n + 2, n + 2), dtype=np.int32)
+    back = np.full((n + 1, n + 1), -1, dtype=np.int32)
     for size in range(1, n + 1):
-        for i in range(n - size + 1):
-            j = i + size
-            best, how = cost[i + 1][j] + 1, (-1, 1)
-            for k in range(i + 1, j):
-                own = pair(i, k)
-                c = cost[i + 1][k] + cost[k + 1][j] + own
-                if c < best:
-                    best, how = c, (k, own)
-            cost[i][j] = best
-            back[i, j] = how
+        i = np.arange(n - size + 1)
+        j = i + size
+        best, how = cost[i + 1, j] + 1, np.full(len(i), -1)
+        for step in range(1, size):
+            k = i + step
+            c = cost[i + 1, k] + cost[k + 1, j] + own[i, k]
+            better = c < best
+            best, how = np.where(better, c, best), np.where(better, k, how)
+        cost[i, j] = best
+        back[i, j] = how
     touched, todo = [], [(0, n)]
     while todo:
         i, j = todo.pop()
         if i >= j:
             continue
-        k, edit = back[i, j]
+        k = int(back[i, j])
         if k < 0:
             touched.append(i)
             todo.append((i + 1, j))
         else:
-            if edit:
+            if own[i, k]:
                 touched.append(k)
             todo += [(i + 1, k), (k + 1, j)]
-    return cost[0][n], sorted(touched)
+    return int(cost[0, n]), sorted(touched)
 
 
 # ---- statement rules ----------------------------------------------------------------------------------
@@ -208,6 +222,9 @@ _SH_TOKEN = re.compile(
     _M,
 )
 _SH_FAULT = re.compile(r"[A-Za-z_][\w.]*\([^)\s]|^[ \t]*<!|^[ \t]*(?:class|import|public|const|let|var|local function|func|fn|def)\b[^\n]*[{:(][ \t]*$|^[ \t]*(?:from|import)[ \t].*[;][ \t]*$|&&[ \t]*$\Z|\|\|?[ \t]*\Z", _M)
+_SH_AT = r"(?:^|[;&|({!\n]|\b(?:then|else|do|if|while|until)\s)[ \t]*"
+_SH_LOOP = re.compile(_SH_AT + r"(?:for|while|until|select)(?=\s)(?![^\n]*\)[ \t]*$)", _M)
+_SH_DO = re.compile(r"(?:^|[;&|({!\n]|\b(?:then|else|do)\s)[ \t]*do(?=\s|$)", _M)
 _SH_CASE = re.compile(r"\bcase\b.*?\besac\b", _S)
 _SH_PATTERN = re.compile(r"(^|;;|\bin\b)([ \t\n]*)\(?[^()\n;]*\)", _M)
 
@@ -247,6 +264,8 @@ def _statement_faults(code: str, lang: str) -> int:
         return _c_faults(code, lang)
     if lang in ("js", "ts"):
         return bool(_JS_FAULT.search(code))
+    if lang == "sh":
+        return abs(len(_SH_LOOP.findall(code)) - len(_SH_DO.findall(code)))
     return 0
 
 
@@ -256,9 +275,9 @@ def _c_faults(code: str, lang: str) -> int:
     tail = rest.rsplit("}", 1)[-1].rsplit(";", 1)[-1]
     if tail.strip() and not re.fullmatch(r"\s*[A-Z_][A-Z0-9_]*\s*(?:\(\))?\s*", tail):
         faults += 1
-    for item in re.split(r"(?<=[;}])", rest):
-        body = item.strip()
-        if body.endswith("{}"):
+    items = [item.strip() for item in re.split(r"(?<=[;}])", rest)]
+    for body, after in zip(items, [*items[1:], ""]):
+        if body.endswith("{}") and not (lang == "cpp" and after == ";"):  # a value may be built by braces
             if "(" not in body and "=" not in body and not re.search(r"\b(?:struct|class|union|enum|namespace|extern|typedef|concept|requires|export|module)\b", body):
                 faults += 1
         elif lang == "c" and re.match(r"[\w ]+\.[\w.]+;", body):
@@ -327,8 +346,12 @@ def _symbols(code: str, lang: str) -> list[tuple[str, int]]:
 # ---- languages with a parser at hand ------------------------------------------------------------------
 
 
+#: The parser gave no answer.
+_UNKNOWN = -2
+
+
 def _parser_fault(text: str, lang: str) -> int | None:
-    """Where the language's own parser gives up, or None if it accepts the text."""
+    """Where the language's own parser finds a fault, None if it accepts the text, or ``_UNKNOWN``."""
     try:
         if lang == "python":
             if text.isspace() or not text:
@@ -350,15 +373,13 @@ def _parser_fault(text: str, lang: str) -> int | None:
             try:
                 import yaml
             except ImportError:
-                return None
+                return _UNKNOWN
             loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
             for _ in yaml.parse(text, Loader=loader):
                 pass
         return None
-    except RecursionError:
-        return None  # deeper than this parser goes; nothing is known against the text
-    except MemoryError:
-        return None
+    except (RecursionError, MemoryError):
+        return _UNKNOWN  # deeper than this parser goes; the chart decides
     except json.JSONDecodeError as e:
         return e.pos
     except SyntaxError as e:
@@ -377,6 +398,18 @@ _SCAN["python"] = re.compile(r"""(?P<c>\#[^\n]*)|(?P<s>\"\"\"(?:[^\\]|\\.)*?\"\"
 _SCAN["json"] = re.compile(r"""(?P<c>//[^\n]*|/\*.*?\*/|(?<=\s)\#[^\n]*)|(?P<s>"(?:[^"\\\n]|\\.)*")|(?P<bad>(?!))""", _S)
 
 
+#: Text between tags; quotes in it open no string. Braces in it are code.
+_MARKUP_TEXT = re.compile(r"(?<![=\s])>[^<>{}();=]*(?=</|<[A-Za-z>]|\{)|(?<=\})[^<>{}();=]*(?=</|<[A-Za-z>])")
+
+
+_CLOSING_TAG = re.compile(r"</[\w.:-]*\s*>|/>")
+
+
+def _without_markup(text: str) -> str:
+    text = _MARKUP_TEXT.sub(lambda m: ">" if m.group()[:1] == ">" else " ", text)
+    return _CLOSING_TAG.sub(" ", text)
+
+
 def diagnose(text: str, lang: str) -> tuple[int, str, int] | None:
     """``(cost, kind, place)`` of the least repair of ``text``, or None if it parses in ``lang``."""
     if not text.strip():
@@ -393,9 +426,7 @@ def diagnose(text: str, lang: str) -> tuple[int, str, int] | None:
     if plain and _CONTROL.search(text):
         return 1 + text.count("\x00"), "mismatch", _CONTROL.search(text).start()
     scan = _PLAIN_LEX.get(lang, "js" if lang == "jsx" else lang)
-    code, bad = _strip(text, scan)
-    if lang == "jsx":
-        bad = -1
+    code, bad = _strip(_without_markup(text) if lang == "jsx" else text, scan)
     conflict = _CONFLICT.search(code)
     if conflict:
         return len(_CONFLICT.findall(code)), "conflict", text.find(conflict.group())
@@ -406,23 +437,25 @@ def diagnose(text: str, lang: str) -> tuple[int, str, int] | None:
         code, unknown = _directives(code)
     elif lang == "sh" and re.match(r"\s*<!DOCTYPE", code, re.IGNORECASE):
         return 1, "mismatch", 0
-    left = cancel(_symbols(code, lang)) if lang != "jsx" else []
+    left = cancel(_symbols(code, lang))
     cost, touched = chart([s for s, _ in left]) if left else (0, [])
-    fatal = 0
+    fatal = inner = 0
     if not plain and lang != "jsx":
         fatal = _statement_faults(code, lang) if not left else 0
+        inner = expression_faults(code, lang)
         if lang == "ruby":
             fatal += bool(_RUBY_FAULT.search(code))
         elif lang == "lua":
             fatal += bool(_LUA_FAULT.search(code))
         elif lang == "sh":
             fatal += bool(_SH_FAULT.search(code))
-    total = cost + (bad >= 0) + unknown + fatal + (1 if plain and not cost else 0)
+    sure = plain and fault != _UNKNOWN
+    total = cost + (bad >= 0 and (not plain or sure or lang == "json")) + unknown + fatal + inner + (1 if sure and not cost else 0)
     if not total:
         return None
     if "\x00" in text:
         return total, "mismatch", text.index("\x00")
-    if cost and all(left[i][0] in "([{" for i in touched) and not unknown:
+    if cost and all(left[i][0] in "([{" for i in touched) and not unknown and not inner:
         return total, "truncation", len(text)
     if fatal or unknown:
         return total, "mismatch", 0

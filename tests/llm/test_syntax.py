@@ -60,6 +60,61 @@ def test_conflict_and_truncation_are_told_apart(lang):
     assert S.diagnose(text + "<<<<<<< HEAD\n=======\n>>>>>>> x\n", lang)[1] == "conflict"
 
 
+WRONG = [
+    ('go', 'package m\n\nfunc f() {\n\tx := 1 +\n}\n'),
+    ('java', 'class A {\n void f() {\n  int x = 1 + ;\n }\n}\n'),
+    ('c', 'int f(void) {\n  int x = 1 2;\n  return x;\n}\n'),
+    ('c', 'int f(void) {\n  int x = 1\n  return x;\n}\n'),
+    ('c', 'int f(int y) {\n  return y\n}\n'),
+    ('rust', 'fn main() {\n    let x 1;\n}\n'),
+    ('lua', 'local x\nx = = 1\n'),
+    ('ruby', 'def f\n  1 +* 2\nend\n'),
+    ('js', 'let x = 1 + ;\n'),
+    ('sh', 'for i in 1 2 3\n  echo $i\ndone\n'),
+    ('sh', 'for i in 1 2 3\n  echo $i\n'),
+    ('jsx', "export const A = () => (\n  <div>\n    <p>Don't {x}</p>\n"),
+    ('ts', 'const x: number = = 1;\n'),
+    ('cpp', 'int f() { int x = 1 int y = 2; return x; }\n'),
+    ('java', 'class A { int f() { return 1 } }\n'),
+    ('java', 'class A { int f() { int x = 5\n int y = 6; return x; } }\n'),
+    ('go', 'package m\nfunc f() int { return 1 2 }\n'),
+    ("tsx", "export const A = () => <div>{[1, 2}</div>;\n"),
+]
+RIGHT = [
+    ('jsx', 'export const A = () => (\n  <div className="x">\n    <p>Don\'t {x} stop</p>\n    {a > 1 && b < 2 ? <b>it\'s</b> : null}\n  </div>\n);\n'),
+    ('sh', 'for i in 1 2 3; do\n  echo $i\ndone\nwhile read x; do echo; done\nuntil false\ndo\n:\ndone < f\n'),
+    ('cpp', 'auto f = [=](int x) { return x; };\nbool operator==(const A& a, const B& b);\nstd::vector<int> v{1, 2};\n'),
+    ('go', 'package m\n\nvar x = []int{\n\t1,\n\t2,\n}\n\nfunc f(a ...int) (r *T, err error) {\n\ty := a[0] +\n\t\ta[1]\n\tch <- y\n\treturn nil, nil\n}\n'),
+    ('ruby', 'def f(*a, **b, &c)\n  a.inject(:+)\n  g(*a)\n  x = y * 2\nend\ndef ==(o)\n  true\nend\n'),
+    ('rust', 'fn main() {\n    let v: Vec<&\'static str> = vec!["a", "b"];\n    for i in 0..=10 { if i == 2 { continue } }\n    let f = |x: i32| x + 1;\n    let b = b"abc";\n    match x { 1 | 2 => {}, _ if y => () }\n    x?;\n}\n'),
+    ('js', 'const a = [1, ...b], c = x ? 1 : 2;\nlet r = a.map((x) => x * 2).filter(Boolean)\nfor (const k of a) { delete a[k] }\nlabel: for (;;) break label\nexport default class A extends B { static x = 1; get y() { return 1 } async *g() { yield* h() } }\n'),
+    ('java', 'class A<T extends B & C> { int[] a = {1, 2}; List<? super T> f(int... x) { return (y) -> y + 1; } @X(a = {"b"}) void g() { switch (x) { case 1: break; default: } for (int i = 0; ; i++) ; } }\n'),
+    ('c', '#include <a.h>\nstatic const char *const s[] = {"a" "b", NULL};\nint f(int (*g)(void *), ...) { char *p = (char *)q; return -*p + (int)1.5e-3f; }\nstruct s x = {.a = 1, .b = {2}};\n'),
+    ('lua', "local a <const>, b = 1, ...\nfunction m.f(x) return #x, -x, not x end\na = b y = c\nprint 'x'\n"),
+    ("c", "struct s *f(const struct s *a, int n) { return n > 1 ? &a[n - 1] : (struct s *)0; }\n"),
+]
+
+
+@pytest.mark.parametrize("lang,text", WRONG)
+def test_faults_inside_expressions_and_statements(lang, text):
+    assert S.diagnose(text, "jsx" if lang == "tsx" else lang)
+
+
+@pytest.mark.parametrize("lang,text", RIGHT)
+def test_valid_expressions_and_statements(lang, text):
+    assert S.diagnose(text, lang) is None
+
+
+def test_nesting_deeper_than_the_parser():
+    assert S.diagnose("[" * 100_000, "json") and S.diagnose("[" * 100_000 + "]" * 100_000, "json") is None
+
+
+def test_long_rests_have_a_cost():
+    cost, touched = S.chart(list("(]}{" * 60))
+    assert 0 < cost <= 240 and touched == sorted(set(touched))
+    assert S.chart(list(")" * 301 + "(" * 500))[0] == 151 + 250
+
+
 def brute_repair(symbols):
     """Least edits over all texts of the bracket grammar, by breadth-first search."""
     def ok(s):
