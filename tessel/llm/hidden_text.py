@@ -176,7 +176,7 @@ class Profiles:
         for w in words:
             held = self.sums.get(w)
             if held is None:
-                rows = [self.row.get(g, 0) for g in _grams([w])]
+                rows = [self.row.get(g, 0) for g in _grams([fold(w)])]
                 held = self.table[rows].sum(axis=0), len(rows)
                 if len(self.sums) > 100_000:
                     self.sums.clear()
@@ -190,7 +190,7 @@ class Profiles:
         key = " ".join(words)
         if key in self.known:
             return self.known[key]
-        d = self.distances([fold(w) for w in words])
+        d = self.distances(words)
         k = int(np.argmin(d))
         near = d[k] <= MAX_DISTANCE and (k == 0 or (d[0] - d[k]) * len(words) ** 0.5 >= MIN_LEAD)
         lang = LANGUAGES[k] if near else None
@@ -268,22 +268,22 @@ def language(sentence: str) -> str | None:
 
 def _units(line: str) -> tuple[list[str], str | None, str]:
     """The strings of a line, its comment or bare text, and the leader if the whole line is a comment."""
-    quoted = [next((g for g in m.groups() if g is not None), "") for m in _QUOTED.finditer(line)]
-    bare = _QUOTED.sub('""', line)
+    quoted, bare = [], line
+    if '"' in line or "'" in line or "`" in line:
+        quoted = [next((g for g in m.groups() if g is not None), "") for m in _QUOTED.finditer(line)]
+        bare = _QUOTED.sub('""', line)
     strings, comment, leader = [q for q in quoted if len(q) >= MIN_DENSE], None, ""
     head = _LINE_HEAD.match(line)
-    t = _TRAIL.search(bare)
     if head.group().strip():
         comment, leader = line[head.end() :], head.group().strip()
-    elif t:
+    elif t := _TRAIL.search(bare):
         # the comment in the original line: quotes inside it belong to it
         start = line.find(bare[t.start() : t.end()].strip() or bare[t.start() : t.end()])
         comment = line[start + (t.end() - t.start()) :] if start >= 0 else bare[t.end() :]
     elif not quoted:
         comment = line[head.end() :]
         leader = "" if _CODE.search(comment) else "text"  # lines of a string or comment that began above
-    v = _CONFIG_VALUE.match(line)
-    if v and not quoted:
+    if not quoted and ("=" in line or ":" in line) and (v := _CONFIG_VALUE.match(line)):
         strings.append(v.group(1))
     # an opening or closing quote whose partner stands on another line
     if bare.count('"') % 2 or bare.count("`") % 2:
@@ -291,30 +291,69 @@ def _units(line: str) -> tuple[list[str], str | None, str]:
     return strings, comment, leader
 
 
-def _sentences(text: str, wanted: frozenset) -> list[tuple[str, str]]:
-    return [(lang, x.strip()) for x in _SENTENCE_END.split(text) if x and (lang := language(x)) in wanted]
+#: What a worker remembers: sentences of texts, and what lines hold; code repeats its lines. Emptied at a fixed size.
+_REMEMBERED, _LONGEST = 200_000, 1_000
+_known_texts: dict[str, list[tuple[str, str]]] = {}
+_known_lines: dict[str, tuple[list[tuple[str, str]], str, str]] = {}
+
+
+def _remember(table: dict, key: str, value):
+    if len(key) <= _LONGEST:
+        if len(table) >= _REMEMBERED:
+            table.clear()
+        table[key] = value
+    return value
+
+
+def _sentences(text: str) -> list[tuple[str, str]]:
+    """``(language, sentence)`` of the sentences of a text."""
+    got = _known_texts.get(text)
+    if got is not None:
+        return got
+    found = [(lang, x.strip()) for x in _SENTENCE_END.split(text) if x and (lang := language(x))]
+    return _remember(_known_texts, text, found)
+
+
+def _parsed(line: str) -> tuple[list[tuple[str, str]], str, str]:
+    """Sentences in the strings of a line, its comment without tags and escapes, and the comment's leader."""
+    got = _known_lines.get(line)
+    if got is not None:
+        return got
+    strings, comment, leader = _units(line) if line.strip() else ([], None, "")
+    found = [x for text in strings for x in _sentences(unescape(_TAGS.sub(" ", text)).strip())]
+    text = unescape(_TAGS.sub(" ", comment)).strip() if comment is not None else ""
+    return _remember(_known_lines, line, (found, text, leader))
 
 
 def _merged(lines: list[str], wanted: frozenset) -> list[tuple[str, str]]:
     """Sentences of a run of comment lines."""
     if len(lines) == 1:
-        return _sentences(lines[0], wanted)
-    out, group, last = [], [], None
+        return _sentences(lines[0])
+    out: list[tuple[str, str]] = []
+    group: list[str] = []
+    last = None
 
     def close() -> None:
-        got = _sentences(" ".join(group), wanted)
-        alone = [x for line in group for x in _sentences(line, wanted)] if len(group) > 1 else []
+        if len(group) == 1:
+            out.extend(_sentences(group[0]))
+            return
+        got = _sentences(" ".join(group))
+        alone = [x for line in group for x in _sentences(line)]
         # joining must lose no language: lines that end without a mark may still be sentences of their own
-        out.extend(got if {lang for lang, _ in alone} <= {lang for lang, _ in got} else alone)
+        out.extend(got if {lang for lang, _ in alone} & wanted <= {lang for lang, _ in got} else alone)
 
     for line in lines:
-        parts = [p for p in _SENTENCE_END.split(line) if p]
-        tag = language(parts[0]) if parts else None
-        if group and (_ENDED.search(group[-1]) or (tag and last and tag != last)):
+        tags = _sentences(line)
+        whole = len(tags) == 1 and len(tags[0][1]) == len(line)
+        first = tags[0][0] if tags and (whole or line.startswith(tags[0][1])) else None
+        if group and (_ENDED.search(group[-1]) or (first and last and first != last)):
             close()
             group, last = [], None
         group.append(line)
-        last = (tag or last) if len(parts) < 2 else language(parts[-1])
+        if tags and line.endswith(tags[-1][1]):
+            last = tags[-1][0]
+        elif not whole and tags:
+            last = None
     close()
     return out
 
@@ -326,23 +365,23 @@ def find_texts(content: str, english: bool = False) -> list[tuple[str, str, str,
 
     def add(kind: str, found: list[tuple[str, str]]) -> None:
         for key in found:
-            out.setdefault(key, [kind, 0])[1] += 1
+            if key[0] in wanted:
+                out.setdefault(key, [kind, 0])[1] += 1
 
     run: list[str] = []
     leader = ""
     for line in content.split("\n"):
-        strings, comment, own = _units(line) if len(line) >= MIN_DENSE or line.strip() else ([], None, "")
-        for text in strings:
-            add("string", _sentences(unescape(_TAGS.sub(" ", text)).strip(), wanted))
-        text = unescape(_TAGS.sub(" ", comment)).strip() if comment is not None else ""
-        if run and not (own and own[0] == leader[0] and text):
+        strings, text, own = _parsed(line)
+        if strings:
+            add("string", strings)
+        if run and not (own and text and own[0] == leader[0]):
             add("comment", _merged(run, wanted))
             run = []
         if own and text:
             run.append(text)
             leader = own
         elif text:
-            add("comment", _sentences(text, wanted))
+            add("comment", _sentences(text))
     if run:
         add("comment", _merged(run, wanted))
     return [(kind, lang, text, n) for (lang, text), (kind, n) in out.items()]
