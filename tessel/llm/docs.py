@@ -18,6 +18,7 @@ characters.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -50,7 +51,9 @@ _HEADS["cpp"] = _HEADS["c"]
 _LEADER = re.compile(r"^[ \t]*(?:///?!?|/\*+!?|\*+/|\*(?!\w)|#+!?|---?|--\[=*\[|\]=*\]|=begin\b|=end\b|;+)?[ \t]?|[ \t]*(?:\*+/|\]=*\])?[ \t\r]*$")
 _PY_QUOTES = re.compile(r"^[ \t]*[rRuUbBfF]{0,2}(?:\"\"\"|'''|\"|')|(?:\"\"\"|'''|\"|')[ \t\r]*$")
 
-ROW = "path string, ln int, kind string, opens int, closes int, head string, head_at int, note string"
+ROW = "path string, version bigint, ln int, kind string, opens int, closes int, head string, head_at int, note string"
+#: Files a task remembers to have lexed, so copies of a hot file leave it once.
+_SEEN_FILES = 100_000
 
 
 def lex_lines(text: str, lang: str) -> list[tuple]:
@@ -103,7 +106,7 @@ def lex_lines(text: str, lang: str) -> list[tuple]:
             elif symbol in "})]" if lang in ("sh", "ruby", "lua") else symbol == "}":
                 closes[at] += 1
     find = _HEADS[lang]
-    out, pending = [], None
+    out, pending, nested = [], None, 0
     for i, line in enumerate(masked):
         bare = line.strip()
         text_line = raw[i] if i < len(raw) else ""
@@ -116,40 +119,53 @@ def lex_lines(text: str, lang: str) -> list[tuple]:
             kind, note = "s", _PY_QUOTES.sub("", text_line).rstrip()
         else:
             kind = "x"
-            if pending is None:
-                m = find.match(line)
-                if m:
-                    pending = (next(g for g in m.groups() if g), i)
+            m = find.match(line) if pending is None or lang == "python" and not nested else None
+            if m:  # a head that never ends is given up when the next one begins
+                pending, nested = (next(g for g in m.groups() if g), i), 0
             if pending is not None:
+                nested += sum(map(bare.count, "([")) - sum(map(bare.count, ")]"))
                 done = bool(_PY_HEAD_END.search(bare)) if lang == "python" else "{" in bare or lang in ("ruby", "lua", "sh") or bare.endswith((";", "}"))
-                if done or i - pending[1] > 30:
-                    head, head_at = pending if done and not bare.endswith(";") else (None, None)
+                if done:
+                    head, head_at = pending if not bare.endswith(";") else (None, None)
                     pending = None
         out.append((i, kind, opens[i], closes[i], head, head_at, note))
     return out
 
 
 def lexed_rows(files: DataFrame) -> DataFrame:
-    """The lexed lines of ``files(path, content)``; repeated paths keep one content each."""
+    """The lexed lines of ``files(path, content)``; of different contents of a path one counts, the largest by hash.
+
+    Files are lexed where they lie and only their lines are shuffled, by path, for all later windows at once.
+    """
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     known = [k for k, v in GRAMMARS.items() if v in _LEXED]
-    one = files.where(ext.isin(*known)).groupBy("path").agg(F.max("content").alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in ROW.split(", ")]
-        kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+        seen: set[tuple[str, int]] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 rows: list[tuple] = []
                 for path, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    version = int.from_bytes(hashlib.blake2b(raw or b"", digest_size=8).digest(), "big", signed=True)
+                    if (path, version) in seen:
+                        continue
+                    if len(seen) >= _SEEN_FILES:
+                        seen.clear()
+                    seen.add((path, version))
                     text = decode(raw)
                     if "\x00" not in text:
-                        rows += [(path, *row) for row in lex_lines(text, GRAMMARS["." + path.rsplit(".", 1)[1].lower()])]
+                        rows += [(path, version, *row) for row in lex_lines(text, GRAMMARS["." + path.rsplit(".", 1)[1].lower()])]
                 cols = list(zip(*rows)) if rows else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(cols, kinds)], names=names)
 
-    return one.mapInArrow(run, ROW)
+    lexed = files.where(ext.isin(*known)).select("path", "content").mapInArrow(run, ROW).repartition("path")
+    latest = F.max("version").over(Window.partitionBy("path"))
+    again = F.lag("ln").over(Window.partitionBy("path").orderBy("ln"))
+    one = lexed.withColumn("latest", latest).where("version = latest").withColumn("again", again)
+    return one.where("again IS NULL OR again <> ln").drop("version", "latest", "again")
 
 
 def _islands(rows: DataFrame, *extra) -> DataFrame:
@@ -183,12 +199,11 @@ def attached_comments(rows: DataFrame) -> DataFrame:
     return runs.where("kind IN ('c', 's')").select("path", line.alias("line"), "doc", inner.alias("inner")).where("line IS NOT NULL")
 
 
-def function_spans(files: DataFrame) -> DataFrame:
-    """``(file_path, name, first, last, doc)`` of functions found by lexing; lines from 0, ``doc`` may be null.
+def located_spans(rows: DataFrame) -> DataFrame:
+    """``(file_path, name, first, last, doc)`` of the functions in lexed ``rows``; lines from 0, ``doc`` may be null.
 
     Python functions carry the string that opens their body, others the comment directly above.
     """
-    rows = lexed_rows(files)
     order = Window.partitionBy("path").orderBy("ln")
     change = F.col("opens") - F.col("closes")
     indented = F.lower("path").rlike(r"\.py[wi]?$")
@@ -214,6 +229,11 @@ def function_spans(files: DataFrame) -> DataFrame:
     )
 
 
+def function_spans(files: DataFrame) -> DataFrame:
+    """As ``located_spans``, of ``files(path, content)``."""
+    return located_spans(lexed_rows(files))
+
+
 # ---- triviality ---------------------------------------------------------------------------------------
 
 # Directives to tools, tags and placeholders.
@@ -282,24 +302,22 @@ def is_trivial(doc: str | None, name: str | None = None, params: list | None = N
 def documented_functions(functions: DataFrame, files: DataFrame) -> DataFrame:
     """``(file_path, ord, name, signature, doc)`` of functions whose documentation is not trivial.
 
-    One row per ``(file_path, ord)``; of different repeated rows the one with the longest docstring counts.
-    Files missing from ``files`` leave only the docstring. Null names, params and signatures count as
-    without parts. Sources are lexed only where some function lacks a docstring.
+    One row per ``(file_path, ord)``; of different repeated rows the one with the longest, then the largest docstring
+    counts. A function that lacks one gets the comment of the function that lexing delimits at its line. Files missing
+    from ``files`` leave only the docstring. Null names, params and signatures count as without parts.
     """
     blank = F.coalesce(F.regexp_replace("docstring", r"(?U)[\s\p{C}]+", ""), F.lit("")) == ""
     best = functions.select("file_path", "ord", "name", "line", "signature", "docstring", "params")
+    size = F.coalesce(F.length("docstring"), F.lit(-1))
     best = best.groupBy("file_path", "ord").agg(
-        F.max_by(F.struct("name", "line", "signature", "docstring", "params"), F.coalesce(F.length("docstring"), F.lit(-1))).alias("f")
-    ).select("file_path", "ord", "f.*")
+        F.max(F.struct(size.alias("size"), "docstring", "name", "line", "signature", "params")).alias("f")
+    ).select("file_path", "ord", "f.*").drop("size")
     given = best.where(~blank).withColumn("doc", F.col("docstring"))
     lacking = best.where(blank)
-    wanted = files.select("path", "content").join(lacking.select(F.col("file_path").alias("path")).distinct(), "path", "left_semi")
-    notes = attached_comments(lexed_rows(wanted))
+    spans = located_spans(lexed_rows(files)).where("doc IS NOT NULL").select("file_path", F.col("first").alias("at"), "doc")
     python = F.lower("file_path").rlike(r"\.py[wi]?$")
-    keyed = lacking.withColumn("at", F.when(python, F.col("line") - 1).otherwise(F.col("line"))).withColumn("py", python)
-    found = keyed.join(
-        notes, (keyed.file_path == notes.path) & (keyed["at"] == notes.line) & (keyed.py == notes.inner)
-    ).select("file_path", "ord", "name", keyed.line, "signature", "docstring", "params", "doc")
+    keyed = lacking.withColumn("at", F.when(python, F.col("line") - 1).otherwise(F.col("line")))
+    found = keyed.join(spans.groupBy("file_path", "at").agg(F.max("doc").alias("doc")), ["file_path", "at"]).drop("at")
     both = given.unionByName(found).select("file_path", "ord", "name", "signature", "params", "doc")
     kind = both.schema["ord"].dataType.simpleString()
 

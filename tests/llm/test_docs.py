@@ -86,3 +86,12 @@ def test_pairs(spark):
     assert got == {("a.py", 0), ("a.py", 1), ("b.go", 0), ("b.go", 2), ("gone.go", 1)}
     assert D.documented_functions(fi.limit(0), files).count() == 0
     assert {(r.file_path, r.ord) for r in D.documented_functions(fi, files.limit(0)).collect()} == {("b.go", 2), ("gone.go", 1)}
+
+
+def test_heads_of_any_length_and_copies_of_a_file(spark):
+    args = "".join(f"    argument_{i}: int,\n" for i in range(60))
+    text = f"# Reads every block of the shard and merges them.\ndef wide(\n{args}) -> int:\n    '''Doc of the wide one.'''\n    return 1\n\n\ndef next_one(x):\n    return x\n"
+    rows = [("/r/a.py", text)] * 50 + [("/r/a.py", text + "# a later delivery\n")]
+    df = spark.createDataFrame([(p, t.encode(), 1) for p, t in rows], "path string, content binary, ln int").repartition(7)
+    got = sorted((r.name, r.first, r.last, r.doc) for r in D.function_spans(df).collect())
+    assert got == [("next_one", 67, 68, None), ("wide", 1, 64, "Doc of the wide one.")]
