@@ -221,10 +221,10 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 continue
             elif kind in ("bearer_auth", "user_option") and not plausible(value):
                 continue
-            elif kind in ("account_key", "other_issuer") and (len(set(value)) < 8 or not any(c.isdigit() for c in value)):
+            elif kind in ("account_key", "other_issuer") and (len(set(value)) < 8 or masked(value) or not any(c.isdigit() for c in value)):
                 continue
             elif kind in ("cloud_access_id", "payment_key", "chat_token", "repository_token", "model_key") and (
-                len(set(value)) < 8 or "EXAMPLE" in value or _PLACEHOLDER.search(value)
+                len(set(value)) < 8 or masked(value) or "EXAMPLE" in value or _PLACEHOLDER.search(value)
             ):
                 continue
             start, end = m.span(1)

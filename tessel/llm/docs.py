@@ -168,65 +168,50 @@ def lexed_rows(files: DataFrame) -> DataFrame:
     return one.where("again IS NULL OR again <> ln").drop("version", "latest", "again")
 
 
-def _islands(rows: DataFrame, *extra) -> DataFrame:
-    """``(path, first, last, kind, doc, head, head_at)``: runs of consecutive lines of one kind.
+def line_runs(rows: DataFrame) -> DataFrame:
+    """``(path, first, last, kind, depth, head, head_at, doc)``: runs of consecutive lines of one kind and depth.
 
-    Gaps and islands: a running count of the changes of kind numbers the runs. ``head`` and ``head_at`` are
-    those of the run's last line. One shuffle by path serves this and every later window.
+    A running sum of openings minus closings is the depth of each line. Gaps and islands: a running count of the changes
+    numbers the runs; a head ends its run. One shuffle by path serves this and every later window.
     """
     order = Window.partitionBy("path").orderBy("ln")
-    change = F.when(F.col("kind") == F.lag("kind").over(order), 0).otherwise(1)
-    numbered = rows.withColumn("change", change).withColumn("island", F.sum("change").over(order))
-    noted = F.col("kind").isin("c", "s")
-    return numbered.groupBy("path", "island").agg(
-        F.min("ln").alias("first"), F.max("ln").alias("last"), F.first("kind").alias("kind"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(noted, F.struct("ln", "note")))), lambda x: x["note"]), "\n").alias("doc"),
-        F.max_by("head_at", "ln").alias("head_at"), *extra,
-    )
-
+    change = F.col("opens") - F.col("closes")
+    # indentation opens before its line, brackets after theirs
+    depth = F.sum(change).over(order) - F.when(_indented("path"), F.lit(0)).otherwise(change)
+    deep = rows.withColumn("depth", F.when(F.col("kind").isin("x", "s"), depth))
+    same = F.col("kind").eqNullSafe(F.lag("kind").over(order)) & F.col("depth").eqNullSafe(F.lag("depth").over(order)) & F.lag("head").over(order).isNull()
+    numbered = deep.withColumn("change", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("change").over(order))
+    note = F.when(F.col("kind").isin("c", "s"), F.struct("ln", "note"))
+    return numbered.groupBy("path", "run").agg(
+        F.min("ln").alias("first"), F.max("ln").alias("last"), F.any_value("kind").alias("kind"), F.any_value("depth").alias("depth"),
+        F.max("head").alias("head"), F.max("head_at").alias("head_at"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(note)), lambda x: x["note"]), "\n").alias("doc"),
+    ).drop("run")
 
-def attached_comments(rows: DataFrame) -> DataFrame:
-    """``(path, line, doc, inner)``: the text attached to the line (from 0) a function's head begins on.
 
-    Comment islands belong to the line right below them; string islands of Python (``inner``) to the head
-    that the last code before them ends with, whose body they open.
-    """
-    before = Window.partitionBy("path").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
-    code = F.when(F.col("kind").isin("x", "s"), F.struct("kind", "head_at"))
-    runs = _islands(rows).withColumn("prior", F.last(code, ignorenulls=True).over(before))
-    inner = F.col("kind") == "s"
-    line = F.when(inner, F.when(F.col("prior.kind") == "x", F.col("prior.head_at"))).otherwise(F.col("last") + 1)
-    return runs.where("kind IN ('c', 's')").select("path", line.alias("line"), "doc", inner.alias("inner")).where("line IS NOT NULL")
+def _indented(path: str):
+    return F.lower(path).rlike(r"\.py[wi]?$")
 
 
 def located_spans(rows: DataFrame) -> DataFrame:
     """``(file_path, name, first, last, doc)`` of the functions in lexed ``rows``; lines from 0, ``doc`` may be null.
 
-    Python functions carry the string that opens their body, others the comment directly above.
+    The next significant line as deep as a head ends its function (lead over path and depth). Python functions carry the
+    string that the next significant run is (lead), others the comment run directly above their first line (lag).
     """
-    order = Window.partitionBy("path").orderBy("ln")
-    change = F.col("opens") - F.col("closes")
-    indented = F.lower("path").rlike(r"\.py[wi]?$")
-    # indentation opens before its line, brackets after theirs
-    depth = F.sum(change).over(order) - F.when(indented, F.lit(0)).otherwise(change)
-    deep = rows.withColumn("depth", depth).where("kind IN ('x', 's')")
-    level = Window.partitionBy("path", "depth").orderBy("ln")
-    total = Window.partitionBy("path")
-    spans = (
-        deep.withColumn("prior", F.lag("ln").over(order))
-        .withColumn("until", F.lead("prior").over(level))  # the last line before the next one as deep
-        .withColumn("end", F.max("ln").over(total))
-        .where("head IS NOT NULL")
-        .select(
-            "path", "head", F.col("head_at").alias("first"),
-            F.when(F.col("until").isNull(), F.col("end")).otherwise(F.greatest("until", "ln")).alias("last"),
-        )
+    runs = line_runs(rows).withColumn("code", F.col("kind").isin("x", "s"))
+    every = Window.partitionBy("path").orderBy("first")
+    significant = Window.partitionBy("path", "code").orderBy("first")
+    level = Window.partitionBy("path", "code", "depth").orderBy("first")
+    noted = F.when((F.lag("kind").over(every) == "c") & (F.col("first") == F.col("head_at")), F.lag("doc").over(every))
+    inner = F.when(F.lead("kind").over(significant) == "s", F.lead("doc").over(significant))
+    marked = runs.withColumns({"above": noted, "within": inner, "prior": F.lag("last").over(significant), "end": F.max("last").over(significant.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    ended = marked.withColumn("until", F.lead("prior").over(level)).where("head IS NOT NULL")
+    return ended.select(
+        F.col("path").alias("file_path"), F.col("head").alias("name"), F.col("head_at").alias("first"),
+        F.when(F.col("until").isNull(), F.col("end")).otherwise(F.greatest("until", "last")).alias("last"),
+        F.when(_indented("path"), F.col("within")).otherwise(F.col("above")).alias("doc"),
     )
-    notes = attached_comments(rows).where(F.col("inner") == F.lower("path").rlike(r"\.py[wi]?$"))
-    notes = notes.select("path", F.col("line").alias("first"), "doc")
-    return spans.join(notes, ["path", "first"], "left").select(
-        F.col("path").alias("file_path"), F.col("head").alias("name"), "first", "last", "doc"
-    )
 
 
 def function_spans(files: DataFrame) -> DataFrame:

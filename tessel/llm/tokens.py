@@ -127,3 +127,18 @@ def encode_corpus(
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[id_col, "ids"])
 
     return narrow.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+
+
+def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", tokenizers: str = DEFAULT_TOKENIZERS, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """``(id_col, text)`` of rows ``(id_col, ids)``: the bytes of the tokens joined; null lists give empty texts."""
+    path = os.path.join(tokenizers, vocabulary)
+    narrow = encoded.select(id_col, "ids")
+    kind = narrow.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = encoder(path).encoding.decode_bytes
+        for batch in batches:
+            texts = [decode(x or []).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
+
+    return narrow.mapInArrow(run, f"`{id_col}` {kind}, text string")

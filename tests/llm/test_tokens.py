@@ -59,3 +59,10 @@ def test_very_long_text(spark):
     text = "The quick brown fox\njumps over it. " * 60_000
     docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     assert len(tokens.encode_corpus(docs).first().ids) > 400_000
+
+
+def test_round_trip(spark):
+    texts = ["def f(x):\n    return x\n" * 400, "naïve 数据 <|endoftext|> \r\n\t", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in tokens.decode_corpus(tokens.encode_corpus(docs)).collect()}
+    assert got == {i: t or "" for i, t in enumerate(texts)}
