@@ -74,7 +74,14 @@ def chunks(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """
     base = files.select("file_path", "language", "package", "text").withColumn("lines", T.lines(F.col("text")))
     held = summaries(base, symbols)
-    per_symbol = base.join(symbols.where("kind IN ('function', 'type')"), "file_path")
+    if "body" not in symbols.columns:
+        symbols = symbols.withColumn("body", F.lit(None).cast("string"))
+    named = symbols.where("kind IN ('function', 'type')")
+    # bodies cut while parsing need the file's text no more; only symbols of the line readers still do
+    cut = files.select("file_path", "language", "package").join(named.where("body IS NOT NULL"), "file_path")
+    text = named.where("body IS NULL").drop("body").join(base, "file_path")
+    text = text.withColumn("body", F.when(F.col("kind") == "type", body(F.col("lines"), F.col("line"), F.col("language"), True)).otherwise(body(F.col("lines"), F.col("line"), F.col("language"))))
+    per_symbol = cut.unionByName(text.select(cut.columns))
     shared = ["file_path", "language", "package"]
 
     written = import_lines(F.col("lines"), F.col("language"))
@@ -84,12 +91,12 @@ def chunks(files: DataFrame, symbols: DataFrame) -> DataFrame:
         F.size(listed).alias("import_count"), listed.alias("imports"),
     )
     functions = per_symbol.where("kind = 'function'").select(
-        *shared, F.lit("function").alias("chunk_type"), body(F.col("lines"), F.col("line"), F.col("language")).alias("content"),
+        *shared, F.lit("function").alias("chunk_type"), F.col("body").alias("content"),
         F.lit("function").alias("symbol_type"), F.col("name").alias("symbol_name"), F.col("name").alias("function_name"),
         F.col("line").alias("line_number"), "signature", "docstring", "params", "return_type",
     )
     types = per_symbol.where("kind = 'type'").select(
-        *shared, F.lit("class").alias("chunk_type"), body(F.col("lines"), F.col("line"), F.col("language"), True).alias("content"),
+        *shared, F.lit("class").alias("chunk_type"), F.col("body").alias("content"),
         F.coalesce(F.nullif("type_kind", F.lit("")), F.lit("class")).alias("symbol_type"), F.col("name").alias("symbol_name"),
         F.col("name").alias("class_name"), F.col("line").alias("line_number"), "docstring",
     )

@@ -13,7 +13,8 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 _TOKEN = re.compile("[a-z0-9]+")
 
@@ -46,6 +47,11 @@ def choose_embedder(n_chunks: int, local: str, remote: str, limit: int = LOCAL_L
     return remote if n_chunks > limit else local
 
 
+def embedder_choice(n_chunks: Column, local: str = "local", remote: str = "remote", limit: int = LOCAL_LIMIT) -> Column:
+    """``choose_embedder`` on a column of counts."""
+    return F.when(n_chunks > limit, remote).otherwise(local)
+
+
 def reordered(results: list[dict], key: str = "index", value: str = "embedding") -> list:
     """Answers of a batched service in the order of the request."""
     return [r[value] for r in sorted(results, key=lambda r: r[key])]

@@ -20,7 +20,7 @@ from tessel.operators import graphs as G
 from tessel.operators import lines as L
 from tessel.operators import metadata, registry, routing, scanning, symbols
 from tessel.operators import vector_index as I
-from tessel.operators.embedding import LOCAL_LIMIT, HashingEmbedder, embed
+from tessel.operators.embedding import LOCAL_LIMIT, HashingEmbedder, embed, embedder_choice as choice
 from tessel.plans.engine import packages
 from tessel.session import ensure_checkpoint_dir, table
 
@@ -52,8 +52,13 @@ def knn_tenant(spark: SparkSession, sf: str) -> DataFrame:
 def knn_clamped(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of all vectors, negative ones as 0."""
     rows = table(spark, sf, "embeddings")
-    score = F.round(F.greatest(F.lit(0.0), V.cosine(F.col("embedding"), V.literal(_query_vector(rows)))), 6)
-    return rows.select("vec_id", score.alias("similarity_score"))
+    return I.search(rows, _query_vector(rows), 1_000_000, "vec_id", digits=6, clamp=True).select("vec_id", "similarity_score")
+
+
+def knn_default(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as ``knn_topk``, without a number of hits: five."""
+    rows = table(spark, sf, "embeddings")
+    return I.search(rows, _query_vector(rows), None, "vec_id", digits=6).select("vec_id", "similarity_score", "rank")
 
 
 def knn_code(spark: SparkSession, sf: str) -> DataFrame:
@@ -186,7 +191,94 @@ def key_value_entries(spark: SparkSession, sf: str) -> DataFrame:
 def shell_functions(spark: SparkSession, sf: str) -> DataFrame:
     """Functions and aliases in rows of shell files."""
     rows = table(spark, sf, "vector_store").where("chunk_type IN ('file', 'function') AND file_path RLIKE '[.](sh|bash)$'")
-    return L.shell_symbols(rows, "content", "id").select("id", "name", "line", "signature")
+    return L.shell_symbols(rows, "content", "id")
+
+
+def shell_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """What rows of shell files source."""
+    rows = table(spark, sf, "vector_store").where("file_path RLIKE '[.](sh|bash)$'")
+    return L.shell_imports(rows, "content", "id")
+
+
+def config_includes(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of all rows that the reader of configuration texts would take for an include."""
+    return L.config_imports(table(spark, sf, "vector_store"), "content", "id")
+
+
+def import_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of every row that import something, by the language of its file."""
+    rows = table(spark, sf, "vector_store").where("content IS NOT NULL")
+    lines = C.import_lines(T.lines(F.col("content")), routing.language(F.col("file_path")))
+    return rows.select("id", F.size(lines).alias("n"), F.md5(F.array_join(lines, "\n")).alias("lines"))
+
+
+def default_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """The body window of rows in languages without a rule for a body's end."""
+    rows = table(spark, sf, "vector_store").where("content IS NOT NULL AND file_path RLIKE '[.](rs|rb|lua|java|c|h)$'")
+    text = C.body(T.lines(F.col("content")), F.lit(1), routing.language(F.col("file_path")))
+    return rows.select("id", F.md5(text).alias("body"))
+
+
+def shebang_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """Languages of rows by their first line, as if their files' names had no extension."""
+    rows = table(spark, sf, "vector_store").where("file_path IS NOT NULL AND content LIKE '#!%'")
+    bare = F.concat(P.dir_name(F.col("file_path")), F.lit("/run"))
+    return rows.select("id", routing.language(bare, F.regexp_extract("content", r"^([^\r\n]*)", 1)).alias("language"))
+
+
+def routed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Files per language and reader; files of no known language vanish."""
+    known = _routed(spark, sf)
+    dialect = F.when(F.col("language") == "config", F.col("dialect"))
+    return known.groupBy("language", dialect.alias("dialect")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def package_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Package of every file, if every second folder of a repository were a Python package."""
+    paths = table(spark, sf, "file_analysis").select(F.col("file_path").alias("path")).distinct()
+    marked = paths.select(F.concat(P.dir_name(F.col("path")), F.lit("/__init__.py")).alias("path")).where("length(path) % 2 = 0")
+    return packages(paths.union(marked).distinct())
+
+
+def collapsed_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with runs of white space as one space."""
+    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.md5(T.collapse(F.col("text"))).alias("text"))
+
+
+def flat_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """Metadata of functions for a store of scalars: lists as JSON."""
+    return metadata.flat(table(spark, sf, "function_info").select("file_path", "ord", "return_type", "params").distinct())
+
+
+def restored_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """The lists of ``flat_metadata``, read back."""
+    rows = metadata.restored(flat_metadata(spark, sf))
+    return rows.select("file_path", "ord", F.array_join("params", "|").alias("params"), F.size("params").alias("n"))
+
+
+def function_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Functions that parsing finds in all languages, in the files of the given table of functions."""
+    known = table(spark, sf, "function_info").select("file_path").distinct()
+    rows = source_symbols(spark, sf).where("kind = 'function'").join(known, "file_path", "left_semi")
+    return rows.select("file_path", "ord", "name", "line", "signature", F.array_join(F.coalesce("params", F.array().cast("array<string>")), "|").alias("params"))
+
+
+def summary_chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of the summary chunks of all source files."""
+    return source_chunks(spark, sf).where("chunk_type = 'file_summary'").select("file_path", "chunk_id")
+
+
+def function_chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of the function chunks, in the files of the given table of functions."""
+    known = table(spark, sf, "function_info").select("file_path").distinct()
+    return source_chunks(spark, sf).where("chunk_type = 'function'").join(known, "file_path", "left_semi").select("file_path", "chunk_id")
+
+
+def json_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries and types that the JSON reader finds in rows that hold whole files."""
+    rows = table(spark, sf, "vector_store").where("chunk_type = 'file' AND lower(file_path) LIKE '%.json' AND content IS NOT NULL")
+    files = rows.select(F.col("id").cast("string").alias("path"), F.lit("config").alias("language"), F.lit("json").alias("dialect"), F.encode("content", "UTF-8").alias("content"))
+    return symbols.extract_symbols(files).where("kind <> 'unread'").select(F.col("file_path").cast("bigint").alias("id"), "kind", "name", "type_kind")
 
 
 def file_summaries(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,16 +296,19 @@ def python_functions(spark: SparkSession, sf: str) -> DataFrame:
     return _symbols(spark, sf).where("kind = 'function' AND lower(file_path) LIKE '%.py'").select("file_path", "ord", "name", "line", "signature")
 
 
+def _routed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every source file of a known language, one content per path, on all cores."""
+    files = table(spark, sf, "source_files").groupBy("path").agg(F.max("content").alias("content"))
+    return routing.routed(files).withColumn("dialect", routing.config_dialect(F.col("path")))
+
+
 def _symbols(spark: SparkSession, sf: str) -> DataFrame:
-    files = table(spark, sf, "source_files").select("path", "content")
-    routed = routing.routed(files).withColumn("dialect", routing.config_dialect(F.col("path")))
-    return symbols.extract_symbols(routed).distinct()
+    return symbols.extract_symbols(_routed(spark, sf))
 
 
 def _source_texts(spark: SparkSession, sf: str) -> DataFrame:
     """``(path, language, text)`` of every source file of a known language, once per path."""
-    routed = routing.routed(table(spark, sf, "source_files").select("path", "content"))
-    return symbols.decoded(routed, "path", "language").groupBy("path").agg(F.max("language").alias("language"), F.max("text").alias("text"))
+    return symbols.decoded(_routed(spark, sf), "path", "language")
 
 
 def _all_symbols(spark: SparkSession, sf: str, texts: DataFrame) -> DataFrame:
@@ -224,7 +319,7 @@ def source_symbols(spark: SparkSession, sf: str) -> DataFrame:
     """All symbols of all source files, those of the line readers included."""
     ensure_checkpoint_dir(spark)
     small = _source_texts(spark, sf).where("language IN ('shell', 'config')")
-    return _all_symbols(spark, sf, small.checkpoint())
+    return _all_symbols(spark, sf, small.checkpoint()).drop("body")
 
 
 def source_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -255,8 +350,26 @@ def brace_bodies(spark: SparkSession, sf: str) -> DataFrame:
 # ---- graphs -------------------------------------------------------------------------------------------
 
 
-def _imports(spark: SparkSession, sf: str) -> DataFrame:
+def _linked(spark: SparkSession, sf: str) -> DataFrame:
+    """The analyses; besides its own imports each file imports the next of its language in the repository.
+
+    The imports of the table name nothing in it, so without such links no import would resolve.
+    """
     analyses = table(spark, sf, "file_analysis").withColumn("language", routing.language(F.col("file_path")))
+    files = analyses.select(*G.REPO, "file_path", "language").distinct()
+    after = F.lead("file_path").over(Window.partitionBy(*G.REPO, "language").orderBy("file_path"))
+    own, other = (F.regexp_replace(c, "^/repos/[^/]+/[^/]+/", "") for c in (F.col("file_path"), F.col("after")))
+    module = F.replace(F.regexp_replace(other, r"[.][^./]*$", ""), F.lit("/"), F.lit("."))
+    relative = F.concat(F.lit("./"), F.repeat(F.lit("../"), T.count_of(own, "/")), other)
+    link = F.when(F.col("language") == "python", module).when(F.col("language") == "javascript", relative).when(
+        F.col("language") == "go", F.concat(F.lit("mod.example/"), P.base_name(P.dir_name(other)))
+    )
+    links = files.withColumn("after", after).select(*G.REPO, "file_path", "language", F.array(link).alias("imports")).where("imports[0] IS NOT NULL")
+    return analyses.select(*G.REPO, "file_path", "language", "imports").unionByName(links)
+
+
+def _imports(spark: SparkSession, sf: str) -> DataFrame:
+    analyses = _linked(spark, sf)
     return G.resolve_imports(G.import_rows(analyses).distinct(), analyses)
 
 
@@ -309,8 +422,23 @@ def external_calls(spark: SparkSession, sf: str) -> DataFrame:
 
 def called_by(spark: SparkSession, sf: str) -> DataFrame:
     """How many functions call each function."""
-    edges = G.call_edges(_calls(spark, sf))
-    return edges.groupBy(F.col("dst").alias("callee")).agg(F.count(F.lit(1)).alias("callers"))
+    nodes = G.adjacency(G.call_edges(_calls(spark, sf)))
+    return nodes.where("size(`in`) > 0").select(F.col("node").alias("callee"), F.size("in").cast("bigint").alias("callers"))
+
+
+def call_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names on both sides of every call, without their files."""
+    name = lambda c: G.readable(F.array(c))[0].alias(c)
+    return G.call_edges(_calls(spark, sf)).select(name("src"), name("dst")).distinct()
+
+
+def enriched_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of functions with how many functions they call, are called by, and call outside the repository."""
+    resolved = _calls(spark, sf)
+    rows = table(spark, sf, "vector_store").where("chunk_type = 'function' AND file_path IS NOT NULL AND symbol_name IS NOT NULL")
+    parts = rows.select("id", "file_path", "chunk_type", F.col("symbol_name").alias("function_name"))
+    rich = C.with_call_graph(parts, G.adjacency(G.call_edges(resolved)), G.external_calls(resolved))
+    return rich.select("id", *(F.size(c).alias(c) for c in ("calls", "called_by", "external_calls")))
 
 
 def symbol_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -328,6 +456,75 @@ def job_latest(spark: SparkSession, sf: str) -> DataFrame:
     return registry.job_states(table(spark, sf, "jobs"), I.TENANT, *order).select(*I.TENANT, "job_id", "status")
 
 
+def _first_job(spark: SparkSession, sf: str) -> str:
+    return table(spark, sf, "jobs").agg(F.min("job_id")).first()[0]
+
+
+def job_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The state of one job."""
+    return registry.job(table(spark, sf, "jobs"), _first_job(spark, sf)).select("job_id", "namespace", "project_id", "status", "total_vectors")
+
+
+def job_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """All jobs after one of them failed."""
+    jobs = table(spark, sf, "jobs")
+    event = registry.job_update(registry.job(jobs, _first_job(spark, sf)), {"status": "failed", "total_vectors": "7"}, F.lit("2031-01-01 00:00:00+00:00").cast("timestamp"))
+    return registry.job_states(jobs.unionByName(event)).select("job_id", "status", "total_vectors")
+
+
+def _projects(spark: SparkSession, sf: str) -> DataFrame:
+    """Projects, as the index metadata knows them."""
+    meta = table(spark, sf, "index_meta").groupBy(*I.TENANT).agg(F.min("created_at").alias("at"))
+    none, at = F.lit(None).cast("string"), iso_utc(F.col("at"))
+    return meta.select(
+        F.concat_ws("/", *I.TENANT).alias("id"), F.col("project_id").alias("name"), "namespace", *(none.alias(c) for c in ("description", "github_owner", "github_repo", "github_ref")),
+        at.alias("created_at"), at.alias("updated_at"),
+    )
+
+
+def project_list(spark: SparkSession, sf: str) -> DataFrame:
+    """The projects of one namespace, newest first."""
+    rows = registry.list_projects(_projects(spark, sf), "kestrel-works")
+    return rows.select("id", "name", "created_at")
+
+
+def project_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Projects after one is renamed and moved, and another is deleted."""
+    rows = _projects(spark, sf)
+    first, last = rows.agg(F.min("id"), F.max("id")).first()
+    moved = registry.update_project(rows, first, {"name": "renamed", "namespace": "elsewhere", "id": "never"}, F.lit("2031"))
+    return registry.delete_project(moved, last).select("id", "name", "namespace", "updated_at")
+
+
+def tenant_replace(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors per tenant after a replacement that brings one namespace nothing and the others their later rows."""
+    rows = table(spark, sf, "vector_store").select(*I.KEY, "id", "created_at")
+    cut = F.lit(f"{CUT} 00:00:00+00:00").cast("timestamp")
+    later = rows.where((F.col("created_at") >= cut) & (F.col("namespace") != "kestrel-works"))
+    named = rows.where("namespace = 'kestrel-works'").select(*I.TENANT)
+    return I.tenant_counts(I.replace_all(rows, later, named))
+
+
+def file_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors per tenant after the rows of one file are deleted."""
+    rows = table(spark, sf, "vector_store")
+    one = rows.where("file_path IS NOT NULL").orderBy("file_path", "id").select(*I.TENANT, "file_path").first()
+    return I.tenant_counts(I.delete_file(rows, *one))
+
+
+def collection_size(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, files and chunk types of the whole vector table."""
+    rows = table(spark, sf, "vector_store")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file_path").alias("files"), F.count_distinct("chunk_type").alias("types"))
+
+
+def file_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many functions and imports each file has."""
+    files = table(spark, sf, "file_analysis").select("file_path").distinct()
+    names = table(spark, sf, "function_info").select("file_path", "ord", "name").distinct().withColumn("kind", F.lit("function"))
+    return C.summaries(files, names).select("file_path", F.size("functions").alias("functions"), F.size("types").alias("types"))
+
+
 def job_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Jobs per state."""
     return table(spark, sf, "jobs").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
@@ -364,14 +561,16 @@ def recent_tenants(spark: SparkSession, sf: str) -> DataFrame:
 def embedder_choice(spark: SparkSession, sf: str) -> DataFrame:
     """Which embedder each namespace's number of chunks asks for."""
     counts = table(spark, sf, "vector_store").groupBy("namespace").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("namespace", F.when(F.col("n") > LOCAL_LIMIT, "remote").otherwise("local").alias("embedder"))
+    return counts.select("namespace", choice(F.col("n")).alias("embedder"))
 
 
 _ALL = (
     knn_topk, knn_tenant, knn_clamped, knn_code, vector_norms, vector_dimensions, text_search, tenant_counts, tenant_delete, upsert_rows,
     stale_rows, live_rows, chunk_ids, metadata_fields, first_occurrence, scan_filters, language_route, path_parts, line_frames,
     key_value_entries, shell_functions, file_summaries, python_functions, source_symbols, source_chunks, indent_bodies, brace_bodies, import_edges, unresolved_imports, import_nodes, enriched_rows, call_edges,
-    external_calls, called_by, symbol_lookup, job_latest, job_counts, job_times, tenant_info, meta_upsert, recent_tenants, embedder_choice,
+    external_calls, called_by, call_names, enriched_functions, knn_default, shell_sources, config_includes, import_lines, default_bodies, shebang_languages, routed_counts,
+    package_names, collapsed_texts, flat_metadata, restored_metadata, function_table, summary_chunk_ids, function_chunk_ids, json_entries, job_lookup, job_updates,
+    project_list, project_changes, tenant_replace, file_delete, collection_size, file_counts, symbol_lookup, job_latest, job_counts, job_times, tenant_info, meta_upsert, recent_tenants, embedder_choice,
 )
 
 
@@ -417,14 +616,29 @@ inc AS (SELECT * FROM rows WHERE created_at >= TIMESTAMPTZ '{CUT} 00:00:00+00'
         QUALIFY row_number() OVER (PARTITION BY namespace, project_id, chunk_id ORDER BY created_at DESC, id DESC) = 1)
 """
 
+
+
+def _folded(path: str, depth: int = 6) -> str:
+    """SQL that folds up to ``depth`` steps upwards in a path."""
+    for _ in range(depth):
+        path = f"regexp_replace({path}, '/[^/]+/\\.\\./', '/')"
+    return path
+
+
 _RESOLVED = f"""
-WITH f AS (SELECT DISTINCT namespace, project_id, file_path, {_sql_language('file_path')} AS lang, imports FROM file_analysis),
+WITH f0 AS (SELECT DISTINCT namespace, project_id, file_path, {_sql_language('file_path')} AS lang, imports FROM file_analysis),
+nx AS (SELECT *, regexp_replace(file_path, '^/repos/[^/]+/[^/]+/', '') AS own, regexp_replace(lead(file_path) OVER (PARTITION BY namespace, project_id, lang ORDER BY file_path),
+       '^/repos/[^/]+/[^/]+/', '') AS other FROM (SELECT DISTINCT namespace, project_id, file_path, lang FROM f0)),
+links AS (SELECT namespace, project_id, file_path, lang, [CASE lang WHEN 'python' THEN replace(regexp_replace(other, '[.][^./]*$', ''), '/', '.')
+          WHEN 'javascript' THEN './' || repeat('../', len(string_split(own, '/')) - 1) || other
+          WHEN 'go' THEN 'mod.example/' || CASE WHEN other LIKE '%/%' THEN regexp_extract(other, '([^/]*)/[^/]*$', 1) ELSE '' END END] AS imports FROM nx),
+f AS (SELECT * FROM f0 UNION ALL SELECT * FROM links WHERE imports[1] IS NOT NULL),
 i0 AS (SELECT namespace, project_id, file_path, lang, unnest(imports) AS imp, unnest(generate_series(0, len(imports) - 1)) AS ord FROM f),
 i AS (SELECT DISTINCT * FROM i0 WHERE imp IS NOT NULL),
 files AS (SELECT DISTINCT namespace, project_id, file_path AS file FROM file_analysis),
 js0 AS (SELECT *, regexp_replace(file_path, '/[^/]*$', '') || '/' || imp AS raw FROM i
         WHERE lang = 'javascript' AND (imp LIKE './%' OR imp LIKE '../%')),
-js1 AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(raw, '/(\\./)+', '/', 'g'), '/[^/]+/\\.\\./', '/'), '/[^/]+/\\.\\./', '/') AS base FROM js0),
+js1 AS (SELECT *, {_folded("regexp_replace(raw, '/(\\./)+', '/', 'g')")} AS base FROM js0),
 js AS (SELECT j.*, t.file, e.rank FROM js1 j, (VALUES (0, ''), (1, '.js'), (2, '.ts'), (3, '/index.js'), (4, '/index.ts')) e(rank, ending), files t
        WHERE t.namespace = j.namespace AND t.project_id = j.project_id AND t.file = j.base || e.ending),
 py AS (SELECT i.*, t.file FROM i JOIN files t ON t.namespace = i.namespace AND t.project_id = i.project_id
@@ -480,6 +694,7 @@ def oracle_sql() -> dict[str, str]:
             q AS (SELECT e AS v FROM u ORDER BY id LIMIT 1),
             s AS (SELECT id, round(list_cosine_similarity(e, v), 6) AS similarity_score FROM u, q)
             """ + _TOP.format("id", 10),
+        "knn_default": _KNN.format(where="true") + _TOP.format("vec_id", 5),
         "vector_norms": """
             SELECT vec_id, round(n, 6) AS norm, round(CAST(embedding[1] AS DOUBLE) / n, 6) AS first
             FROM (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS n FROM embeddings)""",
@@ -554,12 +769,73 @@ def oracle_sql() -> dict[str, str]:
             m AS (SELECT *, regexp_extract(x, '^function\\s+([A-Za-z0-9_][A-Za-z0-9_.-]*)\\s*(?:\\(\\s*\\))?\\s*\\{{', 1) AS a,
                   regexp_extract(x, '^([A-Za-z0-9_][A-Za-z0-9_.-]*)\\s*\\(\\s*\\)\\s*\\{{', 1) AS b,
                   regexp_extract(x, '^alias\\s+([A-Za-z0-9_][A-Za-z0-9_.-]*)\\s*=\\s*(?:''([^'']*)''|"([^"]*)"|(\\S+))', ['n', 'p', 'q', 'r']) AS al FROM r),
+            notes AS (SELECT id, ln, x, {strip('x')} AS bare FROM r),
+            runs AS (SELECT *, coalesce(max(CASE WHEN bare <> '' AND bare NOT LIKE '#%' THEN ln END) OVER (PARTITION BY id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS since FROM notes),
+            doc AS (SELECT id, ln, coalesce(string_agg(CASE WHEN bare LIKE '#%' THEN {strip("substr(bare, 2)")} END, ' ') OVER (PARTITION BY id, since ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS docstring FROM runs),
             k AS (SELECT id, ln, CASE WHEN a <> '' THEN 1 WHEN b <> '' AND b NOT IN ({_sql_list(L.SHELL_KEYWORDS)}) THEN 2 WHEN al.n <> '' THEN 3 END AS rank, x, a, b, al FROM m),
             s AS (SELECT id, ln, rank, CASE rank WHEN 1 THEN a WHEN 2 THEN b ELSE 'alias:' || al.n END AS name,
                   CASE rank WHEN 3 THEN 'alias ' || al.n || '=''' || coalesce(nullif(al.p, ''), nullif(al.q, ''), nullif(al.r, ''), '') || ''''
                   ELSE {strip("regexp_replace(CASE rank WHEN 1 THEN regexp_extract(x, '^function\\s+[^{]*\\{') ELSE regexp_extract(x, '^[^{]*\\{') END, '\\{+$', '')")} END AS signature FROM k WHERE rank IS NOT NULL)
-            SELECT id, name, CAST(ln AS INTEGER) AS line, signature FROM s
+            SELECT id, name, CAST(ln AS INTEGER) AS line, signature, docstring FROM s JOIN doc USING (id, ln)
             QUALIFY rank = 3 OR row_number() OVER (PARTITION BY id, name, rank = 3 ORDER BY rank, ln) = 1""",
+        "shell_sources": f"""
+            WITH r AS (SELECT id, unnest(generate_series(0, len(l) - 1)) AS ln, unnest(l) AS x FROM (SELECT id, {lines('content')} AS l FROM vector_store WHERE regexp_matches(file_path, '[.](sh|bash)$'))),
+            m AS (SELECT id, ln, regexp_extract(x, '^(?:source|\\.)\\s+(.*?)\\s*$', 1) AS y FROM r)
+            SELECT id, CAST(ln AS INTEGER) AS line, {strip("CASE WHEN length(y) > 1 AND y[1] IN (chr(39), '\"') AND y[-1] = y[1] THEN substr(y, 2, length(y) - 2) ELSE y END")} AS "import" FROM m WHERE {strip('y')} NOT IN ('', chr(39) || chr(39), '\"\"')""",
+        "config_includes": f"""
+            WITH r AS (SELECT id, unnest(generate_series(0, len(l) - 1)) AS ln, unnest(l) AS x FROM (SELECT id, {lines('content')} AS l FROM vector_store WHERE content IS NOT NULL)),
+            m AS (SELECT id, ln, regexp_replace(regexp_extract(x, '^(?:include(?:path|optional)?\\s+|source\\s+|\\.\\s+)(\\S+)', 1, 'i'), '^[\\x27\"]+|[\\x27\"]+$', '', 'g') AS y FROM r)
+            SELECT id, CAST(ln AS INTEGER) AS line, y AS "import" FROM m WHERE y <> ''""",
+        "import_lines": f"""
+            WITH t AS (SELECT id, {_sql_language('file_path')} AS lang, list_transform({lines('content')}, lambda x: {strip('x')}) AS l FROM vector_store WHERE content IS NOT NULL),
+            f AS (SELECT id, CASE lang WHEN 'python' THEN list_filter(l, lambda x: x LIKE 'import %' OR x LIKE 'from %')
+                  WHEN 'go' THEN list_filter(l, lambda x: x LIKE 'import %' OR (x LIKE '(%' AND x LIKE '%import%'))
+                  WHEN 'javascript' THEN list_filter(l, lambda x: x LIKE 'import %' OR x LIKE 'require(%' OR (x LIKE '%from %' AND (x LIKE '%import%' OR x LIKE '%require%')))
+                  ELSE [] END AS i FROM t)
+            SELECT id, CAST(len(i) AS INTEGER) AS n, md5(array_to_string(i, chr(10))) AS lines FROM f""",
+        "default_bodies": f"""
+            SELECT id, md5(regexp_replace(array_to_string(l[1:30], chr(10)), '\\s+\\z', '') || chr(10)) AS body
+            FROM (SELECT id, {lines('content')} AS l FROM vector_store WHERE regexp_matches(file_path, '[.](rs|rb|lua|java|c|h)$') AND content IS NOT NULL)""",
+        "shebang_languages": f"""
+            WITH t AS (SELECT id, lower(regexp_extract(regexp_extract({strip("substr(regexp_extract(content, '^([^\\r\\n]*)', 1), 3)")}, '(\\S*)$', 1), '([^/]*)$', 1)) AS tool
+                       FROM vector_store WHERE file_path IS NOT NULL AND content LIKE '#!%')
+            SELECT id, CASE {" ".join(f"WHEN tool IN ({_sql_list(v)}) THEN '{k}'" for k, v in routing.BY_INTERPRETER.items())} WHEN tool LIKE 'lua5%' THEN 'lua' END AS language FROM t""",
+        "routed_counts": f"""
+            WITH r AS (SELECT path, {_sql_language('path')} AS language, lower({_EXT}) AS ext FROM (SELECT DISTINCT path FROM source_files))
+            SELECT language, CASE WHEN language = 'config' THEN CASE WHEN ext IN ('.yaml', '.yml') THEN 'yaml' WHEN ext = '.toml' THEN 'toml'
+                   WHEN ext = '.json' THEN 'json' WHEN ext IN ('.ini', '.cfg') OR {_NAME} IN ({_sql_list(routing.INI_NAMES)}) THEN 'ini'
+                   WHEN length(ext) > 1 THEN substr(ext, 2) ELSE 'config' END END AS dialect, count(*) AS n FROM r WHERE language IS NOT NULL GROUP BY 1, 2""",
+        "package_names": f"""
+            WITH d AS (SELECT DISTINCT file_path AS path FROM file_analysis),
+            marked AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM d WHERE length(regexp_replace(path, '/[^/]*$', '') || '/__init__.py') % 2 = 0),
+            paths AS (SELECT path FROM d UNION SELECT dir || '/__init__.py' FROM marked),
+            inits AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir FROM paths WHERE path LIKE '%/__init__.py'),
+            p AS (SELECT path, string_split(regexp_replace(path, '/[^/]*$', ''), '/') AS parts, substr({_NAME}, 1, length({_NAME}) - length({_EXT})) AS stem FROM paths),
+            u AS (SELECT path, parts, stem, unnest(range(0, len(parts))) AS up FROM p),
+            g AS (SELECT u.path, parts, stem, coalesce(min(CASE WHEN dir IS NULL THEN up END), len(parts)) AS depth FROM u
+                  LEFT JOIN inits ON dir = array_to_string(parts[1:len(parts) - up], '/') GROUP BY 1, 2, 3)
+            SELECT path AS file_path, CASE WHEN lower(path) LIKE '%.py' AND depth > 0 THEN array_to_string(list_append(parts[len(parts) - depth + 1:], stem), '.') ELSE stem END AS package FROM g""",
+        "collapsed_texts": f"SELECT doc_id, md5({strip("regexp_replace(text, '\\s+', ' ', 'g')")}) AS text FROM documents WHERE text IS NOT NULL",
+        "flat_metadata": """
+            SELECT DISTINCT file_path, CAST(ord AS VARCHAR) AS ord, coalesce(return_type, '') AS return_type, coalesce(CAST(to_json(params) AS VARCHAR), '[]') AS params FROM function_info""",
+        "restored_metadata": """
+            SELECT file_path, CAST(ord AS VARCHAR) AS ord, coalesce(array_to_string(params, '|'), '') AS params, CAST(coalesce(len(params), 0) AS INTEGER) AS n
+            FROM (SELECT DISTINCT file_path, ord, coalesce(return_type, '') AS r, params FROM function_info)""",
+        "function_table": """
+            SELECT DISTINCT file_path, ord, CASE WHEN file_path LIKE '%.rs' THEN replace(name, '::', '.') ELSE name END AS name, line, signature,
+                   coalesce(array_to_string(params, '|'), '') AS params FROM function_info""",
+        "summary_chunk_ids": f"""
+            SELECT file_path, md5(file_path || '::file_summary::' || {_NAME.replace('path', 'file_path')} || '::') AS chunk_id
+            FROM (SELECT DISTINCT path AS file_path, {_sql_language('path')} AS language FROM source_files) WHERE language IS NOT NULL""",
+        "function_chunk_ids": """
+            SELECT DISTINCT file_path, md5(file_path || '::function::' || CASE WHEN file_path LIKE '%.rs' THEN replace(name, '::', '.') ELSE name END || '::' || line) AS chunk_id FROM function_info""",
+        "json_entries": """
+            WITH t AS (SELECT id, CAST(content AS JSON) AS j FROM vector_store WHERE chunk_type = 'file' AND lower(file_path) LIKE '%.json' AND json_valid(content)),
+            k AS (SELECT id, j, unnest(json_keys(j)) AS key FROM t WHERE json_type(j) = 'OBJECT'),
+            v AS (SELECT id, key, json_extract(j, '$."' || key || '"') AS v FROM k)
+            SELECT id, CASE WHEN json_type(v) IN ('OBJECT', 'ARRAY') THEN 'type' ELSE 'function' END AS kind, key AS name,
+                   CASE json_type(v) WHEN 'OBJECT' THEN 'json_object' WHEN 'ARRAY' THEN 'json_array' END AS type_kind FROM v
+            UNION ALL SELECT id, 'function', key || '.' || sub, NULL FROM (SELECT id, key, unnest(json_keys(v)) AS sub FROM v WHERE json_type(v) = 'OBJECT')""",
         "file_summaries": """
             WITH f AS (SELECT DISTINCT file_path, package, imports FROM file_analysis),
             n AS (SELECT file_path, list(name ORDER BY ord, name) AS names FROM (SELECT DISTINCT file_path, ord, name FROM function_info) GROUP BY 1)
@@ -593,10 +869,44 @@ def oracle_sql() -> dict[str, str]:
         "call_edges": _CALLS + "SELECT * FROM edges",
         "external_calls": _CALLS + "SELECT DISTINCT namespace, project_id, file_path, name, call FROM r WHERE callee IS NULL",
         "called_by": _CALLS + "SELECT dst AS callee, count(*) AS callers FROM edges GROUP BY 1",
+        "call_names": _CALLS + "SELECT DISTINCT substr(src, strpos(src, '::') + 2) AS src, substr(dst, strpos(dst, '::') + 2) AS dst FROM edges",
+        "enriched_functions": _CALLS + """,
+            outs AS (SELECT src AS k, count(DISTINCT dst) AS n FROM edges GROUP BY 1), ins AS (SELECT dst AS k, count(DISTINCT src) AS n FROM edges GROUP BY 1),
+            ext AS (SELECT file_path || '::' || name AS k, count(DISTINCT call) AS n FROM r WHERE callee IS NULL GROUP BY 1)
+            SELECT id, CAST(coalesce(outs.n, 0) AS INTEGER) AS calls, CAST(coalesce(ins.n, 0) AS INTEGER) AS called_by, CAST(coalesce(ext.n, 0) AS INTEGER) AS external_calls
+            FROM vector_store v LEFT JOIN outs ON outs.k = v.file_path || '::' || v.symbol_name LEFT JOIN ins ON ins.k = v.file_path || '::' || v.symbol_name
+                 LEFT JOIN ext ON ext.k = v.file_path || '::' || v.symbol_name WHERE chunk_type = 'function' AND file_path IS NOT NULL AND symbol_name IS NOT NULL""",
         "symbol_lookup": _CALLS + "SELECT namespace, project_id, symbol, count(*) AS n FROM sym GROUP BY 1, 2, 3",
         "job_latest": """
             SELECT namespace, project_id, job_id, status FROM jobs
             QUALIFY row_number() OVER (PARTITION BY namespace, project_id ORDER BY updated_at DESC NULLS LAST, job_id DESC) = 1""",
+        "job_lookup": "SELECT job_id, namespace, project_id, status, total_vectors FROM jobs WHERE job_id = (SELECT min(job_id) FROM jobs) QUALIFY row_number() OVER (ORDER BY updated_at DESC NULLS LAST) = 1",
+        "job_updates": """
+            SELECT job_id, CASE WHEN job_id = (SELECT min(job_id) FROM jobs) THEN 'failed' ELSE status END AS status,
+                   CASE WHEN job_id = (SELECT min(job_id) FROM jobs) THEN 7 ELSE total_vectors END AS total_vectors
+            FROM jobs QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY updated_at DESC NULLS LAST) = 1""",
+        "project_list": f"""
+            SELECT namespace || '/' || project_id AS id, project_id AS name, {_ISO.format('min(created_at)')} AS created_at FROM index_meta
+            WHERE namespace = 'kestrel-works' GROUP BY namespace, project_id""",
+        "project_changes": f"""
+            WITH p AS (SELECT namespace || '/' || project_id AS id, project_id AS name, namespace, {_ISO.format('min(created_at)')} AS updated_at FROM index_meta GROUP BY namespace, project_id),
+            e AS (SELECT min(id) AS a, max(id) AS z FROM p)
+            SELECT id, CASE WHEN id = a THEN 'renamed' ELSE name END AS name, CASE WHEN id = a THEN 'elsewhere' ELSE namespace END AS namespace,
+                   CASE WHEN id = a THEN '2031' ELSE updated_at END AS updated_at FROM p, e WHERE id <> z""",
+        "tenant_replace": f"""
+            WITH later AS (SELECT * FROM vector_store WHERE created_at >= TIMESTAMPTZ '{CUT} 00:00:00+00' AND namespace <> 'kestrel-works'),
+            one AS (SELECT DISTINCT namespace, project_id, chunk_id FROM later),
+            gone AS (SELECT namespace, project_id FROM later UNION SELECT namespace, project_id FROM vector_store WHERE namespace = 'kestrel-works'),
+            rest AS (SELECT namespace, project_id FROM vector_store v WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.namespace IS NOT DISTINCT FROM v.namespace AND g.project_id IS NOT DISTINCT FROM v.project_id))
+            SELECT namespace, project_id, count(*) AS total_vectors FROM (SELECT namespace, project_id FROM one UNION ALL SELECT * FROM rest) GROUP BY 1, 2""",
+        "file_delete": """
+            WITH one AS (SELECT namespace, project_id, file_path FROM vector_store WHERE file_path IS NOT NULL ORDER BY file_path, id LIMIT 1)
+            SELECT v.namespace, v.project_id, count(*) AS total_vectors FROM vector_store v, one
+            WHERE NOT coalesce(v.namespace = one.namespace AND v.project_id = one.project_id AND v.file_path = one.file_path, false) GROUP BY 1, 2""",
+        "collection_size": "SELECT count(*) AS n, count(DISTINCT file_path) AS files, count(DISTINCT chunk_type) AS types FROM vector_store",
+        "file_counts": """
+            SELECT f.file_path, CAST(coalesce(n, 0) AS INTEGER) AS functions, CAST(0 AS INTEGER) AS types FROM (SELECT DISTINCT file_path FROM file_analysis) f
+            LEFT JOIN (SELECT file_path, count(*) AS n FROM (SELECT DISTINCT file_path, ord, name FROM function_info) GROUP BY 1) USING (file_path)""",
         "job_counts": "SELECT status, count(*) AS n FROM jobs GROUP BY 1",
         "job_times": f"SELECT job_id, {_ISO.format('created_at')} AS created_at, {_ISO.format('updated_at')} AS updated_at FROM jobs",
         "tenant_info": """
