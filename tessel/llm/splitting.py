@@ -52,11 +52,16 @@ def _soft_cut(text: str, low: int, high: int, target: int) -> int:
     if key is not None and low < best <= high:
         return best
     cut = min(max(target, low + 1), high)
-    while cut > low + 1 and (unicodedata.combining(text[cut]) or text[cut - 1 : cut + 1] == "\r\n" or text[cut] == "‍" or text[cut - 1] == "‍"):
+    while cut > low + 1 and _joined(text, cut):
         cut -= 1
     return cut
 
 
+def _joined(text: str, cut: int) -> bool:
+    """Do the characters on both sides of ``cut`` belong together: a CRLF, a base with its marks, a joined emoji?"""
+    return cut < len(text) and bool(unicodedata.combining(text[cut]) or text[cut - 1 : cut + 1] == "\r\n" or text[cut] == "\u200d" or text[cut - 1] == "\u200d")
+
+
 def _place(n: int, count: int, limit: int, overlap: int, text: str, starts: np.ndarray, power: np.ndarray) -> list[tuple[int, int]] | None:
     """``count`` pieces with snapped ends, or None if some piece would break the limit."""
     pieces, start, reach = [], 0, 0
@@ -89,7 +94,13 @@ def _place(n: int, count: int, limit: int, overlap: int, text: str, starts: np.n
 
 
 def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """Half-open ranges of the pieces of ``text``: each within ``limit``, together covering it."""
+    """Half-open ranges of the pieces of ``text``: each within ``limit``, together covering it.
+
+    More pieces than ``text`` needs at least come out where the least number could only be kept by cutting inside lines or
+    by giving up the overlap: equal targets plus overlaps then exceed the limit. Neighbours have no overlap where the last
+    line before the cut is longer than the overlap allows. Where no placing fits, pieces are equal but for the characters
+    that belong together, which are cut only if they alone exceed a piece.
+    """
     n = len(text)
     if n <= limit:
         return [(0, n)]
@@ -103,8 +114,15 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
         got = _place(n, count, limit, 0, text, starts, power)
         if got is not None:
             return got
-    size = -(-n // least)  # no boundary helps: equal pieces
-    return [(i, min(n, i + size)) for i in range(0, n, size)]
+    size, pieces, at = -(-n // least), [], 0  # no boundary helps: equal pieces
+    while n - at > limit:
+        cut = at + size
+        while cut > at + 1 and _joined(text, cut):
+            cut -= 1
+        cut = cut if cut > at + 1 else at + size
+        pieces.append((at, cut))
+        at = cut
+    return [*pieces, (at, n)]
 
 
 def split_items(

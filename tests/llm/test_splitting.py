@@ -6,6 +6,12 @@ from hypothesis import strategies as st
 from tessel.llm.splitting import LIMIT, OVERLAP, split, split_items
 
 
+def test_characters_that_belong_together_stay_together():
+    text = "e\u0301" * 4000
+    pieces = split(text)
+    assert all(s % 2 == 0 for s, _ in pieces) and pieces[-1][1] == len(text) and all(e - s <= LIMIT for s, e in pieces)
+
+
 def check(text, limit=LIMIT, overlap=OVERLAP):
     pieces = split(text, limit, overlap)
     assert pieces[0][0] == 0 and pieces[-1][1] == len(text)
