@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -82,6 +83,49 @@ class HashingEmbedder:
         return normalized(out)
 
 
+class ServiceEmbedder:
+    """Vectors from a batched service: ``post(texts, kind)`` sends one request and returns its answer.
+
+    An answer is a list of ``{"index", "embedding"}`` in any order. Requests that raise are tried again, waiting longer
+    each time; the last failure is raised. Texts to be stored and texts to search by are told apart by ``kind``.
+    """
+
+    def __init__(self, post: Callable[[list[str], str], list[dict]], dim: int, batch: int = REMOTE_BATCH, tries: int = 3, wait: float = 1.0):
+        self.post, self.dim, self.batch, self.tries, self.wait = post, dim, batch, tries, wait
+
+    def _ask(self, texts: list[str], kind: str) -> list:
+        for n in range(self.tries):
+            try:
+                return reordered(self.post(texts, kind))
+            except Exception:  # noqa: BLE001 - a service may fail in any way
+                if n + 1 == self.tries:
+                    raise
+                time.sleep(self.wait * 2**n)
+        raise ValueError("no tries")
+
+    def encode(self, texts: list[str], kind: str = "document") -> np.ndarray:
+        out = [v for i in range(0, len(texts), self.batch) for v in self._ask(texts[i : i + self.batch], kind)]
+        return np.asarray(out, dtype=np.float32).reshape(len(texts), self.dim)
+
+    def encode_query(self, text: str) -> np.ndarray:
+        return self.encode([text], "query")[0]
+
+
+class PooledEmbedder:
+    """Sentence vectors from token states: ``run(texts)`` gives states (batch, tokens, dim) and their mask.
+
+    ``run`` wraps any encoder, such as a session of a local runtime; states are averaged over unmasked tokens and scaled
+    to unit length.
+    """
+
+    def __init__(self, run: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dim: int, batch: int = LOCAL_BATCH):
+        self.run, self.dim, self.batch = run, dim, batch
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        parts = [normalized(masked_mean(*self.run(texts[i : i + self.batch]))) for i in range(0, len(texts), self.batch)]
+        return np.concatenate(parts) if parts else np.zeros((0, self.dim))
+
+
 def embed(rows: DataFrame, embedder, text_col: str = "content", out_col: str = "embedding", batch: int = LOCAL_BATCH) -> DataFrame:
     """``rows`` with a vector column, made in Arrow batches; a null text counts as an empty one.
 

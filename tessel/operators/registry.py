@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessel.functions.keys import iso_utc, random_id
-from tessel.operators.vector_index import TENANT, latest
+from tessel.operators.vector_index import TENANT, latest, steady
 from tessel.schemas import JOBS
+from tessel.session import exists
 
 JOB_STATES = ("queued", "downloading", "running", "completed", "failed")
 PROJECT_FIELDS = ("name", "namespace", "description", "github_owner", "github_repo", "github_ref")
@@ -65,6 +67,27 @@ def create_project(projects: DataFrame, namespace: str, name: str, now: Column,
     return projects.unionByName(one)
 
 
+class EventTable:
+    """Small state in a folder: every change is a row, the latest row of a key is its state."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str = "job_id", time: str = "updated_at"):
+        self.spark, self.path, self.schema, self.key, self.time = spark, path, schema, key, time
+
+    def add(self, rows: DataFrame) -> None:
+        """Append changes; nothing stored is touched, so writers never meet."""
+        rows.select(*self.schema.fieldNames()).write.mode("append").parquet(self.path)
+
+    def state(self) -> DataFrame:
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(self.schema).parquet(self.path)
+        return latest(rows, [self.key], F.col(self.time).desc_nulls_last(), steady(rows))
+
+    def get(self, value: str) -> dict | None:
+        found = self.state().where(F.col(self.key) == value).collect()
+        return found[0].asDict() if found else None
+
+
 def list_projects(projects: DataFrame, namespace: str | None = None) -> DataFrame:
     """Projects, newest first, of one namespace or all."""
     rows = projects if namespace is None else projects.where(F.col("namespace") == namespace)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +14,11 @@ from tessel.operators import graphs as G
 from tessel.operators import registry, routing, symbols
 from tessel.operators import vector_index as I
 from tessel.operators.embedding import HashingEmbedder, embed
-from tessel.schemas import INDEX_META, VECTORS
+from tessel.schemas import INDEX_META, JOBS, VECTORS
 from tessel.session import ensure_checkpoint_dir, exists, ship
 from tessel.sources.archives import RemoteArchive, read_archives
 from tessel.sources.tree import read_tree
+from tessel.sources.webhook import notify
 
 
 def packages(files: DataFrame) -> DataFrame:
@@ -52,6 +53,7 @@ class Engine:
         self.embedder = embedder or HashingEmbedder()
         self.vectors = I.VectorIndex(spark, f"{home}/vectors", VECTORS)
         self.meta_path = f"{home}/index_meta"
+        self.jobs = registry.EventTable(spark, f"{home}/jobs", JOBS)
 
     def analyse(self, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Chunks of ``files(path, content)`` with both graphs, and the edges of the import and call graph.
@@ -124,6 +126,24 @@ class Engine:
         meta.write.mode("append").parquet(self.meta_path)
         return total
 
+    def run_job(self, files: DataFrame, namespace: str, project_id: str, post: Callable | None = None, **given: str) -> str:
+        """``index_files`` as a recorded job: its id. The job holds the number of vectors, or the error if it failed.
+
+        Its end is told to the job's ``webhook_url`` by ``post``; a failure to index is recorded and not raised.
+        """
+        started = registry.new_job(self.spark, namespace, project_id, **given)
+        one = self.spark.createDataFrame(started.collect(), JOBS)
+        self.jobs.add(one)
+        try:
+            changes = {"status": "completed", "total_vectors": str(self.index_files(files, namespace, project_id))}
+        except Exception as e:  # noqa: BLE001 - whatever went wrong belongs to the job
+            changes = {"status": "failed", "error": str(e)[:2000]}
+        self.jobs.add(registry.job_update(one, changes))
+        job_id = one.first()["job_id"]
+        if post is not None:
+            notify(self.jobs.get(job_id), post)
+        return job_id
+
     def search_vector(self, namespace: str, project_id: str, vector: Sequence[float], k: int | None = None) -> DataFrame:
         """Hits with score, rank, metadata and payload."""
         I.check_query(vector, k, self.embedder.dim)
