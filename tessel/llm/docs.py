@@ -51,13 +51,18 @@ _HEADS["cpp"] = _HEADS["c"]
 _LEADER = re.compile(r"^[ \t]*(?:///?!?|/\*+!?|\*+/|\*(?!\w)|#+!?|---?|--\[=*\[|\]=*\]|=begin\b|=end\b|;+)?[ \t]?|[ \t]*(?:\*+/|\]=*\])?[ \t\r]*$")
 _PY_QUOTES = re.compile(r"^[ \t]*[rRuUbBfF]{0,2}(?:\"\"\"|'''|\"|')|(?:\"\"\"|'''|\"|')[ \t\r]*$")
 
-ROW = "path string, version bigint, ln int, kind string, opens int, closes int, head string, head_at int, note string"
+#: ``file`` and ``twin`` are a 128-bit hash of the path, which only rows with a head carry.
+ROW = "file bigint, twin bigint, path string, indented boolean, version bigint, ln int, kind string, opens int, closes int, head string, head_at int, note string"
+FILE = ["file", "twin"]
 #: Files a task remembers to have lexed, so copies of a hot file leave it once.
 _SEEN_FILES = 100_000
 
 
-def lex_lines(text: str, lang: str) -> list[tuple]:
-    """One tuple per line: (ln, kind, opens, closes, head, head_at, note); lines count from 0.
+def lex_lines(text: str, lang: str) -> list[list]:
+    """Columns ln, kind, opens, closes, head, head_at, note with a row per line; lines count from 0.
+
+    Of a stretch of lines of one kind that open, close, begin and note nothing only the first and the last are
+    given: no run of lines starts or ends between them.
 
     ``kind``: ``b`` blank, ``c`` comment, ``s`` string (Python), ``x`` code. ``head`` is the name of a function
     whose head ends on the line and began at ``head_at``.
@@ -106,7 +111,8 @@ def lex_lines(text: str, lang: str) -> list[tuple]:
             elif symbol in "})]" if lang in ("sh", "ruby", "lua") else symbol == "}":
                 closes[at] += 1
     find = _HEADS[lang]
-    out, pending, nested = [], None, 0
+    kinds, heads, begins, notes = [], [], [], []
+    pending, nested = None, 0
     for i, line in enumerate(masked):
         bare = line.strip()
         text_line = raw[i] if i < len(raw) else ""
@@ -128,8 +134,13 @@ def lex_lines(text: str, lang: str) -> list[tuple]:
                 if done:
                     head, head_at = pending if not bare.endswith(";") else (None, None)
                     pending = None
-        out.append((i, kind, opens[i], closes[i], head, head_at, note))
-    return out
+        kinds.append(kind)
+        heads.append(head)
+        begins.append(head_at)
+        notes.append(note)
+    idle = [k if k in "xb" and not o and not c and h is None else None for k, o, c, h in zip(kinds, opens, closes, heads)]
+    keep = [i for i in range(n) if idle[i] is None or i == 0 or i == n - 1 or not idle[i - 1] == idle[i] == idle[i + 1]]
+    return [keep, *([column[i] for i in keep] for column in (kinds, opens, closes, heads, begins, notes))]
 
 
 def lexed_rows(files: DataFrame) -> DataFrame:
@@ -142,12 +153,12 @@ def lexed_rows(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in ROW.split(", ")]
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string()]
         seen: set[tuple[str, int]] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                rows: list[tuple] = []
+                cols: list[list] = [[] for _ in names]
                 for path, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     version = int.from_bytes(hashlib.blake2b(raw or b"", digest_size=8).digest(), "big", signed=True)
                     if (path, version) in seen:
@@ -157,42 +168,45 @@ def lexed_rows(files: DataFrame) -> DataFrame:
                     seen.add((path, version))
                     text = decode(raw)
                     if "\x00" not in text:
-                        rows += [(path, version, *row) for row in lex_lines(text, GRAMMARS["." + path.rsplit(".", 1)[1].lower()])]
-                cols = list(zip(*rows)) if rows else [[] for _ in names]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(cols, kinds)], names=names)
-
-    lexed = files.where(ext.isin(*known)).select("path", "content").mapInArrow(run, ROW).repartition("path")
-    latest = F.max("version").over(Window.partitionBy("path"))
-    again = F.lag("ln").over(Window.partitionBy("path").orderBy("ln"))
+                        lang = GRAMMARS["." + path.rsplit(".", 1)[1].lower()]
+                        lexed = lex_lines(text, lang)
+                        named = hashlib.blake2b(path.encode(), digest_size=16).digest()
+                        one = [int.from_bytes(named[:8], "big", signed=True), int.from_bytes(named[8:], "big", signed=True), lang == "python", version]
+                        first, second, indented, versions = ([x] * len(lexed[0]) for x in one)
+                        paths = [path if h is not None else None for h in lexed[4]]
+                        for column, values in zip(cols, (first, second, paths, indented, versions, *lexed)):
+                            column += values
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds)], names=names)
+
+    lexed = files.where(ext.isin(*known)).select("path", "content").mapInArrow(run, ROW).repartition(*FILE)
+    latest = F.max("version").over(Window.partitionBy(*FILE))
+    again = F.lag("ln").over(Window.partitionBy(*FILE).orderBy("ln"))
     one = lexed.withColumn("latest", latest).where("version = latest").withColumn("again", again)
     return one.where("again IS NULL OR again <> ln").drop("version", "latest", "again")
 
 
 def line_runs(rows: DataFrame) -> DataFrame:
-    """``(path, first, last, kind, depth, head, head_at, doc)``: runs of consecutive lines of one kind and depth.
+    """``(file, twin, path, first, last, kind, depth, head, head_at, doc)``: runs of consecutive lines of one kind and depth.
 
     A running sum of openings minus closings is the depth of each line. Gaps and islands: a running count of the changes
     numbers the runs; a head ends its run. One shuffle by path serves this and every later window.
     """
-    order = Window.partitionBy("path").orderBy("ln")
+    order = Window.partitionBy(*FILE).orderBy("ln")
     change = F.col("opens") - F.col("closes")
     # indentation opens before its line, brackets after theirs
-    depth = F.sum(change).over(order) - F.when(_indented("path"), F.lit(0)).otherwise(change)
+    depth = F.sum(change).over(order) - F.when(F.col("indented"), F.lit(0)).otherwise(change)
     deep = rows.withColumn("depth", F.when(F.col("kind").isin("x", "s"), depth))
     same = F.col("kind").eqNullSafe(F.lag("kind").over(order)) & F.col("depth").eqNullSafe(F.lag("depth").over(order)) & F.lag("head").over(order).isNull()
     numbered = deep.withColumn("change", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("change").over(order))
     note = F.when(F.col("kind").isin("c", "s"), F.struct("ln", "note"))
-    return numbered.groupBy("path", "run").agg(
+    return numbered.groupBy(*FILE, "run").agg(
+        F.max("path").alias("path"), F.any_value("indented").alias("indented"),
         F.min("ln").alias("first"), F.max("ln").alias("last"), F.any_value("kind").alias("kind"), F.any_value("depth").alias("depth"),
         F.max("head").alias("head"), F.max("head_at").alias("head_at"),
         F.array_join(F.transform(F.array_sort(F.collect_list(note)), lambda x: x["note"]), "\n").alias("doc"),
     ).drop("run")
 
 
-def _indented(path: str):
-    return F.lower(path).rlike(r"\.py[wi]?$")
-
-
 def located_spans(rows: DataFrame) -> DataFrame:
     """``(file_path, name, first, last, doc)`` of the functions in lexed ``rows``; lines from 0, ``doc`` may be null.
 
@@ -200,9 +214,9 @@ def located_spans(rows: DataFrame) -> DataFrame:
     string that the next significant run is (lead), others the comment run directly above their first line (lag).
     """
     runs = line_runs(rows).withColumn("code", F.col("kind").isin("x", "s"))
-    every = Window.partitionBy("path").orderBy("first")
-    significant = Window.partitionBy("path", "code").orderBy("first")
-    level = Window.partitionBy("path", "code", "depth").orderBy("first")
+    every = Window.partitionBy(*FILE).orderBy("first")
+    significant = Window.partitionBy(*FILE, "code").orderBy("first")
+    level = Window.partitionBy(*FILE, "code", "depth").orderBy("first")
     noted = F.when((F.lag("kind").over(every) == "c") & (F.col("first") == F.col("head_at")), F.lag("doc").over(every))
     inner = F.when(F.lead("kind").over(significant) == "s", F.lead("doc").over(significant))
     marked = runs.withColumns({"above": noted, "within": inner, "prior": F.lag("last").over(significant), "end": F.max("last").over(significant.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
@@ -210,7 +224,7 @@ def located_spans(rows: DataFrame) -> DataFrame:
     return ended.select(
         F.col("path").alias("file_path"), F.col("head").alias("name"), F.col("head_at").alias("first"),
         F.when(F.col("until").isNull(), F.col("end")).otherwise(F.greatest("until", "last")).alias("last"),
-        F.when(_indented("path"), F.col("within")).otherwise(F.col("above")).alias("doc"),
+        F.when(F.col("indented"), F.col("within")).otherwise(F.col("above")).alias("doc"),
     )
 
 
