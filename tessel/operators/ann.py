@@ -78,7 +78,8 @@ class ListIndex:
         sample = own.where("embedding IS NOT NULL").orderBy(F.xxhash64("embedding")).limit(SAMPLE).select("embedding").toArrow().column(0).to_pylist()
         dims = [len(v) for v in sample if v]
         dim = max(set(dims), key=dims.count) if dims else 0
-        centroids = fit_centroids(np.array([v for v in sample if v and len(v) == dim], dtype=float).reshape(-1, dim), lists)
+        fitting = [v for v in sample if v and len(v) == dim]
+        centroids = fit_centroids(np.array(fitting, dtype=float).reshape(len(fitting), dim), lists)
         writer = with_lists(own, centroids).repartition(F.col("list")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         for_tenant = self.spark.createDataFrame(
             [(namespace, project_id, i, [float(x) for x in c]) for i, c in enumerate(centroids)] or [(namespace, project_id, -1, None)],
