@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessel.llm.filters import bit_map, passes
 from tessel.llm.syntax import _SCAN, GRAMMARS, _symbols, decode
 
 _LEXED = frozenset(("python", "go", "java", "rust", "ruby", "lua", "js", "ts", "jsx", "c", "cpp", "sh"))
@@ -143,11 +144,15 @@ def lex_lines(text: str, lang: str) -> list[list]:
     return [keep, *([column[i] for i in keep] for column in (kinds, opens, closes, heads, begins, notes))]
 
 
-def lexed_rows(files: DataFrame) -> DataFrame:
+def lexed_rows(files: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """The lexed lines of ``files(path, content)``; of different contents of a path one counts, the largest by hash.
 
-    Files are lexed where they lie and only their lines are shuffled, by path, for all later windows at once.
+    Files are lexed where they lie and only their lines are shuffled, by path, for all later windows at once. Files
+    whose path is not in the only column of ``wanted`` may be left out; a filter of fixed size decides.
     """
+    bits = None
+    if wanted is not None:
+        bits = files.sparkSession.sparkContext.broadcast(bit_map(wanted.select(F.xxhash64(wanted.columns[0]))))
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     known = [k for k, v in GRAMMARS.items() if v in _LEXED]
 
@@ -158,6 +163,8 @@ def lexed_rows(files: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
+                if bits is not None:
+                    part = part.filter(pa.array(passes(part.column(2).to_numpy(), bits.value)))
                 cols: list[list] = [[] for _ in names]
                 for path, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     version = int.from_bytes(hashlib.blake2b(raw or b"", digest_size=8).digest(), "big", signed=True)
@@ -178,7 +185,7 @@ def lexed_rows(files: DataFrame) -> DataFrame:
                             column += values
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds)], names=names)
 
-    lexed = files.where(ext.isin(*known)).select("path", "content").mapInArrow(run, ROW).repartition(*FILE)
+    lexed = files.where(ext.isin(*known)).select("path", "content", F.xxhash64("path")).mapInArrow(run, ROW).repartition(*FILE)
     latest = F.max("version").over(Window.partitionBy(*FILE))
     again = F.lag("ln").over(Window.partitionBy(*FILE).orderBy("ln"))
     one = lexed.withColumn("latest", latest).where("version = latest").withColumn("again", again)
@@ -302,8 +309,8 @@ def documented_functions(functions: DataFrame, files: DataFrame) -> DataFrame:
     """``(file_path, ord, name, signature, doc)`` of functions whose documentation is not trivial.
 
     One row per ``(file_path, ord)``; of different repeated rows the one with the longest, then the largest docstring
-    counts. A function that lacks one gets the comment of the function that lexing delimits at its line. Files missing
-    from ``files`` leave only the docstring. Null names, params and signatures count as without parts.
+    counts. A function that lacks one gets the comment of the function that lexing delimits at its line; only files with
+    such functions are lexed. Files missing from ``files`` leave only the docstring. Null names, params and signatures count as without parts.
     """
     blank = F.coalesce(F.regexp_replace("docstring", r"(?U)[\s\p{C}]+", ""), F.lit("")) == ""
     best = functions.select("file_path", "ord", "name", "line", "signature", "docstring", "params")
@@ -313,7 +320,7 @@ def documented_functions(functions: DataFrame, files: DataFrame) -> DataFrame:
     ).select("file_path", "ord", "f.*").drop("size")
     given = best.where(~blank).withColumn("doc", F.col("docstring"))
     lacking = best.where(blank)
-    spans = located_spans(lexed_rows(files)).where("doc IS NOT NULL").select("file_path", F.col("first").alias("at"), "doc")
+    spans = located_spans(lexed_rows(files, functions.where(blank).select("file_path"))).where("doc IS NOT NULL").select("file_path", F.col("first").alias("at"), "doc")
     python = F.lower("file_path").rlike(r"\.py[wi]?$")
     keyed = lacking.withColumn("at", F.when(python, F.col("line") - 1).otherwise(F.col("line")))
     found = keyed.join(spans.groupBy("file_path", "at").agg(F.max("doc").alias("doc")), ["file_path", "at"]).drop("at")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessel.llm.filters import bit_map, passes
 from tessel.llm.words import batch_words, doc_grams
 from tessel.session import ensure_checkpoint_dir
 
@@ -30,24 +31,9 @@ SEED = 6
 WINDOW = 13
 #: Share of the corpus up to which a seed is rare.
 RARE_SHARE = 0.001
-#: Bits of the seed filter; more seeds than that make it pass more, never less.
-FILTER_BITS = 1 << 23
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
-def _filter(seeds: DataFrame) -> np.ndarray:
-    """Bit map (as booleans) of the low bits of ``seeds.seed``; at most ``FILTER_BITS`` bits come to the driver."""
-    place = F.col("seed").bitwiseAND(FILTER_BITS - 1)
-    rows = (
-        seeds.select(F.floor(place / 32768).alias("part"), (place % 32768).alias("bit"))
-        .groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map")).collect()
-    )
-    out = np.zeros(FILTER_BITS, dtype=bool)
-    for part, bits in rows:
-        out[part * 32768 : (part + 1) * 32768] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little")
-    return out
-
-
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Best local alignment of two word arrays: its score and its number of equal words.
 
@@ -118,7 +104,7 @@ def _hits(batch: pa.RecordBatch, bits: np.ndarray, n: int):
     """Words of a batch of texts, and the seeds that pass the filter with their text's row."""
     words = batch_words(batch.column(batch.num_columns - 1), nfkc=True)
     grams, at = doc_grams(words, n)
-    hit = bits[(grams & np.uint64(FILTER_BITS - 1)).astype(np.int64)]
+    hit = passes(grams, bits)
     return words, grams[hit], words.doc[at[hit]]
 
 
@@ -139,7 +125,7 @@ def leaked_items(
     kind = narrow.schema["doc_id"].dataType.simpleString()
     known = _item_rows(items, seed).checkpoint()
     places = known.groupBy("item_key").agg(F.any_value("seeds").alias("seeds")).select("item_key", F.posexplode("seeds").alias("at", "seed"))
-    bits = spark.sparkContext.broadcast(_filter(places))
+    bits = spark.sparkContext.broadcast(bit_map(places.select("seed")))
 
     def count_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,7 +144,7 @@ def leaked_items(
     )
     kept = windows.where("best IS NOT NULL").where(F.col("whole") | (F.col("best.n") <= rare))
     kept = kept.select("item_key", "best.seed").distinct().checkpoint()
-    chosen = spark.sparkContext.broadcast(_filter(kept))
+    chosen = spark.sparkContext.broadcast(bit_map(kept.select("seed")))
 
     def take_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
