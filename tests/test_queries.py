@@ -34,6 +34,11 @@ def test_equals_sql(spark, duck, name):
     assert ours == theirs
 
 
+@pytest.mark.parametrize("name", ["import_edges", "import_nodes", "call_edges", "function_table", "json_entries", "enriched_functions"])
+def test_graphs_have_rows(spark, name):
+    assert entry.queries()[name](spark, SF).count() > 0
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
 
