@@ -82,7 +82,7 @@ def test_copies_edited_every_few_words_are_found(spark):
 def test_the_filter_holds_every_seed(spark):
     seeds = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 500)
     bits = filters.bit_map(spark.createDataFrame([(int(x),) for x in seeds], "seed bigint"))
-    assert filters.passes(seeds, bits).all() and bits.sum() <= 500
+    assert filters.passes(seeds, bits).all() and np.unpackbits(bits).sum() <= 500
     assert filters.passes(np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 1000), bits).sum() < 10
 
 
