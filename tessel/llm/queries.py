@@ -97,12 +97,13 @@ def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Languages other than English that a row's comments and strings hold a sentence of."""
-    return hidden_text.hidden_texts(table(spark, sf, "vector_store")).select("id", "nl_lang").distinct()
+    rows = spread(table(spark, sf, "vector_store").select("id", "content"))
+    return hidden_text.hidden_texts(rows).select("id", "nl_lang").distinct()
 
 
 def p6_texts(spark: SparkSession, sf: str) -> DataFrame:
     """The sentences themselves, English ones included."""
-    return hidden_text.hidden_texts(table(spark, sf, "vector_store"), english=True)
+    return hidden_text.hidden_texts(spread(table(spark, sf, "vector_store").select("id", "content")), english=True)
 
 
 def p6_docstrings(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,8 +123,8 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_places(spark: SparkSession, sf: str) -> DataFrame:
-    """Every credential with its kind and place."""
-    return credentials.find_credentials(table(spark, sf, "vector_store"))
+    """Every credential with its kind, place and proof."""
+    return credentials.find_credentials(spread(table(spark, sf, "vector_store").select("id", "content")))
 
 
 def p7_redacted(spark: SparkSession, sf: str) -> DataFrame:
