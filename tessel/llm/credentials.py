@@ -88,9 +88,11 @@ _UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
 _SPLICE = re.compile(r"([\"'])[ \t]*(?:\+|\.\.|\.|\\|<<)?[ \t]*\r?\n[ \t]*(?:\+|\.\.|\.)?[ \t]*\1")
 _PREFIX = re.compile(r"(?:AKIA|ASIA|ABIA|ACCA|gh[pousr]_|github_pat_|glpat-|[sr]k_(?:live|prod)_|xox[a-z]-|pa-|AIza|SG\.|npm_|hf_|sk-)")
 _MASKED = re.compile(r"[^A-Za-z0-9]*(?:(?:[xX0]+[^A-Za-z0-9]*)+|(?:[aA0]+[^A-Za-z0-9]*)+)")
-#: What follows the frame of a key whose end is missing, and what precedes an end without its beginning.
+#: What follows the frame of a key whose end is missing, and the lines that precede an end without its beginning.
 _KEY_BODY = re.compile(r"(?:(?:[\s\"'`+,]|\\[rnt\\])*(?:[A-Za-z0-9+/=]{24,}|[A-Za-z0-9+/=]+\Z|(?:Proc-Type|DEK-Info):[^\n\\\"']*))*")
-_KEY_REST = re.compile(r"(?:(?:[A-Za-z0-9+/=]{24,}|\A[A-Za-z0-9+/=]+|(?<=[\n\"'])[A-Za-z0-9+/]+={0,2})(?:[ \t\"'`+,]|\r?\n|\\[rnt])*)+(?=-----END (?:[A-Z0-9]+ )*PRIVATE KEY)")
+_KEY_LINE_END = re.compile(r"\r?\n|\\r\\n|\\n")
+_KEY_TAIL = re.compile(r"[\"'`]([A-Za-z0-9+/=]{24,})[ \t\"'`+,]*$")
+_KEY_LINE = re.compile(r"[ \t\"'`+,]*([A-Za-z0-9+/=]+)[ \t\"'`+,]*")
 _ESCAPE = re.compile(r"\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|.)|[^\\]+|\\", re.DOTALL)
 _BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 
@@ -282,10 +284,25 @@ def placeholder(value: str, kind: str) -> str:
 
 def key_rests(text: str, places: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Bodies of private keys whose beginning lies in another text; nothing starts there, but they are secret."""
-    if "-----END" not in text:
-        return []
-    found = ((m.start(), m.end(), "private_key") for m in _KEY_REST.finditer(text))
-    return [f for f in found if not masked(text[f[0] : f[1]]) and all(f[1] <= s or f[0] >= e for s, e, _ in places)]
+    out: list[tuple[int, int, str]] = []
+    for close in _BLOCK_END.finditer(text) if "-----END" in text else ():
+        if any(s <= close.start() < e for s, e, _ in places):
+            continue
+        ends = [(0, 0), *(m.span() for m in _KEY_LINE_END.finditer(text, 0, close.start()))]
+        lines = [(e, s) for (_, e), (s, _) in zip(ends, [*ends[1:], (close.start(), 0)])]
+        begin = None
+        for nth, (s, e) in enumerate(reversed(lines)):  # whole lines of the body, the last and the first of any length
+            held = _KEY_LINE.fullmatch(text, s, e)
+            if held and (len(held.group(1)) >= 24 or begin is None or s == 0):
+                begin = held.start(1)
+            elif s < e or nth:
+                opened = _KEY_TAIL.search(text[s:e])  # the body begins behind a quote
+                if opened:
+                    begin = s + opened.start(1)
+                break
+        if begin is not None and not masked(text[begin : close.start()]):
+            out.append((begin, close.start(), "private_key"))
+    return out
 
 
 def redact(text: str, places: list[tuple[int, int, str]]) -> str:

@@ -80,6 +80,11 @@ def test_keys_cut_in_two_leak_nothing():
         out = redacted(text)
         assert len(out) == len(text) and BODY[:12] not in out
     assert redacted(tail).endswith('print("after")\n')
+    oneline = f'k = "{BODY}\\n{BODY[:31]}\\n-----END PRIVATE KEY-----"\n'
+    out = redacted(oneline)
+    assert BODY[:12] not in out and out.startswith('k = "') and out.endswith('-----END PRIVATE KEY-----"\n') and len(out) == len(oneline)
+    certificate = "A" * 300_000 + "\n" + "Bc1+" * 50_000 + "\n-----END CERTIFICATE-----\n"
+    assert redacted(certificate) == certificate
     mention = "# a file starts with -----BEGIN PRIVATE KEY----- then the body\nrun()\n"
     assert redacted(mention) == mention
 
