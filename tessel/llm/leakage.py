@@ -7,7 +7,8 @@ Method: *rare n-gram seeds, then Smith-Waterman alignment*.
 2. Of each window of ``window`` words of an item the rarest seed that the corpus holds is kept. If all seeds of the
    window occur, a text may hold the window itself, and the seed is kept however frequent: rarity removes work and
    never a case. If some seed is missing, only an edited copy is possible; there the seed is kept if it is rare, that
-   is if at most ``rare_share`` of the texts hold it, so stock phrases alone join nothing.
+   is if at most ``rare_share`` of the texts (in small collections ``RARE_TEXTS``) hold it, so stock phrases alone join
+   nothing.
 3. A second scan takes the texts that hold a kept seed. Seeds join texts and items as rows; the words of each joined
    pair are aligned by Smith-Waterman over their whole length, equal texts once. Score, equal words, share of the item
    in common runs and longest exact run come out.
@@ -31,6 +32,7 @@ SEED = 6
 WINDOW = 13
 #: Share of the corpus up to which a seed is rare.
 RARE_SHARE = 0.001
+RARE_TEXTS = 50
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -135,7 +137,7 @@ def leaked_items(
             yield pa.RecordBatch.from_arrays([pa.array(seeds, pa.int64()), pa.array(n, pa.int64())], names=["seed", "n"])
 
     counts = narrow.select("text").mapInArrow(count_map, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
-    rare = F.lit(max(50.0, rare_share * narrow.count()))
+    rare = F.lit(max(float(RARE_TEXTS), rare_share * narrow.count()))
     following = Window.partitionBy("item_key").orderBy("at").rowsBetween(0, window - seed)
     seen = places.join(counts, "seed", "left").withColumn("held", F.when(F.col("n").isNotNull(), F.struct("n", "seed")))
     windows = seen.select(
