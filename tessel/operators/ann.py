@@ -75,11 +75,13 @@ class ListIndex:
         own = rows.withColumns({"namespace": F.lit(namespace), "project_id": F.lit(project_id)})
         total = own.count()
         lists = min(MAX_LISTS, lists or max(1, round(total**0.5)))
-        sample = own.where("embedding IS NOT NULL").orderBy(F.xxhash64("embedding")).limit(SAMPLE).select("embedding").toArrow().column(0).to_pylist()
-        dims = [len(v) for v in sample if v]
-        dim = max(set(dims), key=dims.count) if dims else 0
-        fitting = [v for v in sample if v and len(v) == dim]
-        centroids = fit_centroids(np.array(fitting, dtype=float).reshape(len(fitting), dim), lists)
+        sample = own.where("embedding IS NOT NULL").orderBy(F.xxhash64("embedding")).limit(SAMPLE).select("embedding").toArrow().column(0)
+        vectors = sample.combine_chunks() if sample.num_chunks != 1 else sample.chunk(0)
+        sizes = vectors.value_lengths().to_numpy(zero_copy_only=False) if len(vectors) else np.zeros(0, dtype=int)
+        dim = int(np.bincount(sizes).argmax()) if len(sizes) else 0
+        fitting = vectors.take(pa.array(np.flatnonzero(sizes == dim))) if dim else vectors.slice(0, 0)
+        flat = fitting.flatten().to_numpy(zero_copy_only=False) if dim else np.zeros(0)
+        centroids = fit_centroids(flat.astype(float).reshape(len(fitting), dim), lists)
         writer = with_lists(own, centroids).repartition(F.col("list")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         for_tenant = self.spark.createDataFrame(
             [(namespace, project_id, i, [float(x) for x in c]) for i, c in enumerate(centroids)] or [(namespace, project_id, -1, None)],

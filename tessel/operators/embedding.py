@@ -7,10 +7,12 @@ batches, one instance per Python worker. ``HashingEmbedder`` needs no model and
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
+from urllib.request import Request, urlopen
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +113,21 @@ class ServiceEmbedder:
         return self.encode([text], "query")[0]
 
 
+def web_service(url: str, model: str, token: str | None = None, send: Callable[[str, bytes, dict[str, str]], bytes] | None = None) -> Callable[[list[str], str], list[dict]]:
+    """``post`` of a ``ServiceEmbedder`` for a service that takes ``{"input", "model", "input_type"}`` as JSON and answers ``{"data": [...]}``."""
+    headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {token}"} if token else {})
+
+    def by_web(address: str, body: bytes, head: dict[str, str]) -> bytes:
+        with urlopen(Request(address, data=body, headers=head), timeout=120) as answer:
+            return answer.read()
+
+    def post(texts: list[str], kind: str) -> list[dict]:
+        body = json.dumps({"input": texts, "model": model, "input_type": kind}).encode()
+        return json.loads((send or by_web)(url, body, headers))["data"]
+
+    return post
+
+
 class PooledEmbedder:
     """Sentence vectors from token states: ``run(texts)`` gives states (batch, tokens, dim) and their mask.
 

@@ -68,7 +68,10 @@ def create_project(projects: DataFrame, namespace: str, name: str, now: Column,
 
 
 class EventTable:
-    """Small state in a folder: every change is a row, the latest row of a key is its state."""
+    """Small state in a folder: every change is a row, the latest row of a key is its state.
+
+    A row with nothing but key and time says that the key is gone.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str = "job_id", time: str = "updated_at"):
         self.spark, self.path, self.schema, self.key, self.time = spark, path, schema, key, time
@@ -81,7 +84,13 @@ class EventTable:
         if not exists(self.spark, self.path):
             return self.spark.createDataFrame([], self.schema)
         rows = self.spark.read.schema(self.schema).parquet(self.path)
-        return latest(rows, [self.key], F.col(self.time).desc_nulls_last(), steady(rows))
+        held = F.coalesce(*(F.col(c).cast("string") for c in self.schema.fieldNames() if c not in (self.key, self.time)))
+        return latest(rows, [self.key], F.col(self.time).desc_nulls_last(), steady(rows)).where(held.isNotNull())
+
+    def drop(self, value: str, now: Column | None = None) -> None:
+        """Forget a key."""
+        made = {self.key: F.lit(value), self.time: now if now is not None else F.current_timestamp()}
+        self.add(self.spark.range(1).select(*(made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema.fields)))
 
     def get(self, value: str) -> dict | None:
         found = self.state().where(F.col(self.key) == value).collect()

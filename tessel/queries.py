@@ -6,8 +6,10 @@ directories) as the operators, but states the logic on its own.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from tessel.operators import graphs as G
 from tessel.operators import lines as L
 from tessel.operators import metadata, registry, routing, scanning, symbols
 from tessel.operators import vector_index as I
-from tessel.operators.embedding import LOCAL_LIMIT, HashingEmbedder, embed, embedder_choice as choice
+from tessel.operators.embedding import LOCAL_LIMIT, HashingEmbedder, PooledEmbedder, ServiceEmbedder, embed, embedder_choice as choice
 from tessel.plans.engine import packages
 from tessel.session import ensure_checkpoint_dir, table
 
@@ -90,6 +92,29 @@ def text_search(spark: SparkSession, sf: str) -> DataFrame:
     return I.search(rows, query, 5, "doc_id", digits=4).select("doc_id", "similarity_score", "rank")
 
 
+def _answer(texts: list[str], kind: str) -> list[dict]:
+    """A service whose vector of a text is its length and kind, answering in another order than asked."""
+    return [{"index": i, "embedding": [len(t), float(kind == "document")]} for i, t in reversed(list(enumerate(texts)))]
+
+
+def service_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents embedded by a batched service, its answers put in order."""
+    rows = embed(table(spark, sf, "documents").select("doc_id", "text"), ServiceEmbedder(_answer, 2, batch=7), "text")
+    return rows.select("doc_id", F.col("embedding")[0].cast("bigint").alias("size"), F.col("embedding")[1].cast("bigint").alias("stored"))
+
+
+def _states(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Four token states of 16 components out of the text of 64 numbers, the last of them masked."""
+    x = np.array([json.loads(t) for t in texts]).reshape(len(texts), 4, 16)
+    return x, np.tile([1, 1, 1, 0], (len(texts), 1))
+
+
+def pooled_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors read as four token states, the unmasked ones averaged and scaled to unit length."""
+    rows = table(spark, sf, "embeddings").select("vec_id", F.to_json("embedding").alias("text"))
+    return embed(rows, PooledEmbedder(_states, 16), "text").select("vec_id", (F.round(F.col("embedding")[0].cast("double"), 2) + F.lit(0.0)).alias("first"))
+
+
 # ---- the vector table ---------------------------------------------------------------------------------
 
 
@@ -281,6 +306,31 @@ def json_entries(spark: SparkSession, sf: str) -> DataFrame:
     return symbols.extract_symbols(files).where("kind <> 'unread'").select(F.col("file_path").cast("bigint").alias("id"), "kind", "name", "type_kind")
 
 
+# What a line of a plainly written configuration text looks like, by dialect; Java and RE2 agree on these.
+_PLAIN_LINE = {
+    "toml": r'^(\s*|#.*|\[[A-Za-z0-9_]+\]|[A-Za-z0-9_]+ = ("[^"\\]*"|[0-9]+|true|false))$',
+    "ini": r"^(\s*|[#;].*|\[[A-Za-z0-9_]+\]|[A-Za-z0-9_]+ = \S.*)$",
+    "yaml": r'^(\s*|#.*|[A-Za-z0-9_]+:|  [A-Za-z0-9_]+: ("[^"\\]*"|[A-Za-z0-9_./-]+))$',
+}
+
+
+def config_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries and types that the TOML, INI and YAML readers find in plainly written whole files."""
+    rows = table(spark, sf, "vector_store").where("chunk_type = 'file' AND file_path IS NOT NULL AND content IS NOT NULL")
+    dialect = routing.config_dialect(F.col("file_path"))
+    rows = rows.withColumn("dialect", dialect).withColumn("lines", T.lines(F.col("content")))
+    fits = lambda pattern: F.forall("lines", lambda x: x.rlike(pattern))
+    plain = F.lit(False)
+    for name, pattern in _PLAIN_LINE.items():
+        plain = plain | ((F.col("dialect") == name) & fits(pattern))
+    files = rows.where(plain).select(
+        F.concat_ws("|", F.col("id").cast("string"), "dialect").alias("path"), F.lit("config").alias("language"), "dialect", F.encode("content", "UTF-8").alias("content")
+    )
+    found = symbols.extract_symbols(files).where("kind <> 'unread'")
+    part = F.split("file_path", "[|]")
+    return found.select(part[0].cast("bigint").alias("id"), part[1].alias("dialect"), "kind", "name").distinct()
+
+
 def file_summaries(spark: SparkSession, sf: str) -> DataFrame:
     """The summary text of every file."""
     files = table(spark, sf, "file_analysis").select("file_path", "package", "imports").distinct()
@@ -569,7 +619,7 @@ _ALL = (
     stale_rows, live_rows, chunk_ids, metadata_fields, first_occurrence, scan_filters, language_route, path_parts, line_frames,
     key_value_entries, shell_functions, file_summaries, python_functions, source_symbols, source_chunks, indent_bodies, brace_bodies, import_edges, unresolved_imports, import_nodes, enriched_rows, call_edges,
     external_calls, called_by, call_names, enriched_functions, knn_default, shell_sources, config_includes, import_lines, default_bodies, shebang_languages, routed_counts,
-    package_names, collapsed_texts, flat_metadata, restored_metadata, function_table, summary_chunk_ids, function_chunk_ids, json_entries, job_lookup, job_updates,
+    package_names, collapsed_texts, flat_metadata, restored_metadata, function_table, summary_chunk_ids, function_chunk_ids, json_entries, config_entries, service_vectors, pooled_vectors, job_lookup, job_updates,
     project_list, project_changes, tenant_replace, file_delete, collection_size, file_counts, symbol_lookup, job_latest, job_counts, job_times, tenant_info, meta_upsert, recent_tenants, embedder_choice,
 )
 
@@ -708,6 +758,10 @@ def oracle_sql() -> dict[str, str]:
             dots AS (SELECT doc_id, sum(n * m) AS dot FROM c JOIN q USING (b) GROUP BY 1),
             s AS (SELECT doc_id, round(coalesce(dot, 0) / size / (SELECT sqrt(sum(m * m)) FROM q), 4) AS similarity_score FROM norms LEFT JOIN dots USING (doc_id))
             """ + _TOP.format("doc_id", 5),
+        "service_vectors": "SELECT doc_id, coalesce(length(text), 0) AS size, CAST(1 AS BIGINT) AS stored FROM documents",
+        "pooled_vectors": """
+            WITH p AS (SELECT vec_id, list_transform(range(1, 17), lambda i: (CAST(embedding[i] AS DOUBLE) + embedding[16 + i] + embedding[32 + i]) / 3) AS m FROM embeddings)
+            SELECT vec_id, round(m[1] / sqrt(list_sum(list_transform(m, lambda x: x * x))), 2) + CAST(0 AS DOUBLE) AS first FROM p""",
         "tenant_counts": "SELECT namespace, project_id, count(*) AS total_vectors FROM vector_store GROUP BY 1, 2",
         "tenant_delete": """
             SELECT namespace, project_id, count(*) AS total_vectors FROM vector_store
@@ -836,6 +890,18 @@ def oracle_sql() -> dict[str, str]:
             SELECT id, CASE WHEN json_type(v) IN ('OBJECT', 'ARRAY') THEN 'type' ELSE 'function' END AS kind, key AS name,
                    CASE json_type(v) WHEN 'OBJECT' THEN 'json_object' WHEN 'ARRAY' THEN 'json_array' END AS type_kind FROM v
             UNION ALL SELECT id, 'function', key || '.' || sub, NULL FROM (SELECT id, key, unnest(json_keys(v)) AS sub FROM v WHERE json_type(v) = 'OBJECT')""",
+        "config_entries": f"""
+            WITH t AS (SELECT id, CASE WHEN lower({_EXT.replace('path', 'file_path')}) IN ('.yaml', '.yml') THEN 'yaml' WHEN lower({_EXT.replace('path', 'file_path')}) = '.toml' THEN 'toml'
+                       WHEN lower({_EXT.replace('path', 'file_path')}) IN ('.ini', '.cfg') OR {_NAME.replace('path', 'file_path')} IN ({_sql_list(routing.INI_NAMES)}) THEN 'ini' END AS dialect, {lines('content')} AS l
+                       FROM vector_store WHERE chunk_type = 'file' AND file_path IS NOT NULL AND content IS NOT NULL),
+            f AS (SELECT * FROM t WHERE {" OR ".join(f"dialect = '{d}' AND len(list_filter(l, lambda x: NOT regexp_matches(x, '{pattern}'))) = 0" for d, pattern in _PLAIN_LINE.items())}),
+            r AS (SELECT id, dialect, unnest(generate_series(0, len(l) - 1)) AS ln, unnest(l) AS x FROM f),
+            m AS (SELECT *, CASE WHEN dialect = 'yaml' THEN regexp_extract(x, '^([A-Za-z0-9_]+):$', 1) ELSE regexp_extract(x, '^\\[([A-Za-z0-9_]+)\\]$', 1) END AS head,
+                  CASE WHEN dialect = 'yaml' THEN regexp_extract(x, '^  ([A-Za-z0-9_]+):', 1) WHEN x NOT LIKE '[%' AND x NOT LIKE '#%' AND x NOT LIKE ';%' THEN regexp_extract(x, '^([A-Za-z0-9_]+) =', 1) ELSE '' END AS key FROM r),
+            w AS (SELECT *, last_value(nullif(head, '') IGNORE NULLS) OVER (PARTITION BY id ORDER BY ln ROWS UNBOUNDED PRECEDING) AS section,
+                  lead(key) OVER (PARTITION BY id ORDER BY ln) AS following FROM m WHERE head <> '' OR key <> '')
+            SELECT DISTINCT id, dialect, CASE WHEN head <> '' AND (dialect <> 'yaml' OR coalesce(following, '') <> '') THEN 'type' ELSE 'function' END AS kind,
+                   CASE WHEN head <> '' THEN head WHEN section IS NULL THEN key WHEN dialect = 'ini' THEN section || '.' || lower(key) ELSE section || '.' || key END AS name FROM w""",
         "file_summaries": """
             WITH f AS (SELECT DISTINCT file_path, package, imports FROM file_analysis),
             n AS (SELECT file_path, list(name ORDER BY ord, name) AS names FROM (SELECT DISTINCT file_path, ord, name FROM function_info) GROUP BY 1)

@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from io import BytesIO
 from typing import Protocol
+from urllib.error import HTTPError
+from urllib.request import Request, urlopen
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,7 @@ from tessel.operators.scanning import enters, reads
 
 
 class RemoteArchive(Protocol):
-    """Where an archive of a repository can be fetched; implementations need a network and live outside."""
+    """Where an archive of a repository can be fetched."""
 
     def check(self, owner: str, repo: str) -> None:
         """Raise if the repository cannot be read with the given credentials."""
@@ -25,6 +27,42 @@ class RemoteArchive(Protocol):
         """Write the archive of ``ref``, or of the default branch, to ``target``."""
 
 
+def _get(url: str, headers: dict[str, str]) -> tuple[int, bytes]:
+    """Status and body of a web address."""
+    try:
+        with urlopen(Request(url, headers=headers), timeout=120) as answer:
+            return answer.status, answer.read()
+    except HTTPError as e:
+        return e.code, e.read()
+
+
+class HostedArchive:
+    """Archives of repositories on a code host, by ``get(url, headers) -> (status, body)``.
+
+    ``target`` of ``fetch`` is written by the driver and must lie where all executors see it.
+    """
+
+    def __init__(self, base: str, token: str | None = None, get: Callable[[str, dict[str, str]], tuple[int, bytes]] = _get):
+        self.base, self.get = base.rstrip("/"), get
+        self.headers = {"Authorization": f"Bearer {token}"} if token else {}
+
+    def _asked(self, url: str) -> bytes:
+        status, body = self.get(url, self.headers)
+        if status in (401, 403, 404):
+            raise PermissionError(f"no access ({status}): {url}")
+        if not 200 <= status < 300:
+            raise OSError(f"the host answered {status}: {url}")
+        return body
+
+    def check(self, owner: str, repo: str) -> None:
+        self._asked(f"{self.base}/repos/{owner}/{repo}")
+
+    def fetch(self, owner: str, repo: str, ref: str | None, target: str) -> None:
+        body = self._asked(archive_url(self.base, owner, repo, ref))
+        with open(target, "wb") as f:
+            f.write(body)
+
+
 def archive_url(base: str, owner: str, repo: str, ref: str | None = None) -> str:
     """Address of a repository's zip archive; without a ref, of the default branch."""
     return f"{base.rstrip('/')}/repos/{owner}/{repo}/zipball" + (f"/{ref}" if ref else "")

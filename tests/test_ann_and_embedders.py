@@ -1,11 +1,13 @@
 """Inverted lists, embedders with a service or a model behind them, addresses of databases."""
 
+import json
+
 import numpy as np
 import pytest
 
 from tessel.operators import ann
 from tessel.operators import vector_index as I
-from tessel.operators.embedding import PooledEmbedder, ServiceEmbedder, embed
+from tessel.operators.embedding import PooledEmbedder, ServiceEmbedder, embed, web_service
 from tessel.plans.engine import Engine
 from tessel.sources.database import jdbc_options
 
@@ -58,6 +60,19 @@ def test_service(spark):
     assert pooled.encode([]).shape == (0, 4)
 
 
+def test_web_service():
+    sent = []
+
+    def send(url, body, headers):
+        asked = json.loads(body)
+        sent.append((url, asked["input_type"], asked["model"], headers["Authorization"]))
+        return json.dumps({"data": [{"index": i, "embedding": [len(t)]} for i, t in enumerate(asked["input"])]}).encode()
+
+    service = ServiceEmbedder(web_service("http://s", "m", "key", send), 1)
+    assert service.encode(["ab", "c"]).tolist() == [[2], [1]] and service.encode_query("abc").tolist() == [3]
+    assert sent == [("http://s", "document", "m", "Bearer key"), ("http://s", "query", "m", "Bearer key")]
+
+
 class Failing:
     dim = 2
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessel.operators import routing, scanning
-from tessel.sources.archives import read_archives, archive_url, collapse_root, extract
+from tessel.sources.archives import HostedArchive, archive_url, read_archives, collapse_root, extract
 from tessel.sources.tree import TreeReader, read_tree
 
 KEPT = ["pkg/__init__.py", "_under.py", "Makefile", "empty.py", "exact.py"]
@@ -81,6 +81,26 @@ def test_archives_are_read_in_place(spark, tmp_path):
         engine.index_remote(shelf, "else", "r", str(tmp_path / "x.zip"), "n", "p")
 
 
+def test_hosted_archives(tmp_path):
+    import pytest
+
+    asked = []
+
+    def get(url, headers):
+        asked.append((url, headers.get("Authorization")))
+        return (404, b"") if "/secret" in url else (500, b"") if "/broken" in url else (200, b"PK")
+
+    host = HostedArchive("https://h/", "t", get)
+    host.check("o", "r")
+    host.fetch("o", "r", "v1", str(tmp_path / "a.zip"))
+    assert (tmp_path / "a.zip").read_bytes() == b"PK" and asked == [("https://h/repos/o/r", "Bearer t"), ("https://h/repos/o/r/zipball/v1", "Bearer t")]
+    with pytest.raises(PermissionError):
+        host.check("o", "secret")
+    with pytest.raises(OSError):
+        host.fetch("o", "broken", None, str(tmp_path / "b.zip"))
+    assert HostedArchive("https://h", None, get).headers == {}
+
+
 def test_archives(tmp_path):
     import zipfile
 

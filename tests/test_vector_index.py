@@ -111,6 +111,21 @@ def test_new_jobs_and_projects(spark):
     assert [(r.name, r.namespace, r.github_ref, r.created_at, len(r.id)) for r in got] == [("first", "n", "main", "t", 32)]
 
 
+def test_projects_are_kept(spark, tmp_path):
+    store = registry.EventTable(spark, str(tmp_path / "projects"), PROJECTS, key="id")
+    none = spark.createDataFrame([], PROJECTS)
+    for i, name in enumerate(("one", "two")):
+        store.add(spark.createDataFrame(registry.create_project(none, "n", name, F.lit(f"2025-01-0{i + 1}")).collect(), PROJECTS))
+    newest = [r.name for r in registry.list_projects(store.state(), "n").collect()]
+    assert newest == ["two", "one"]
+    first = store.state().where("name = 'one'").first().id
+    changed = registry.update_project(store.state(), first, {"name": "uno", "namespace": "m"}, F.lit("2025-02-01")).where(F.col("id") == first)
+    store.add(spark.createDataFrame(changed.collect(), PROJECTS))
+    assert store.get(first)["name"] == "uno" and [r.name for r in registry.list_projects(store.state(), "n").collect()] == ["two"]
+    store.drop(first, F.lit("2025-03-01"))
+    assert store.get(first) is None and store.state().count() == 1
+
+
 def test_stream_into_the_index(spark, tmp_path):
     source, index = tmp_path / "in", I.VectorIndex(spark, str(tmp_path / "v"), VECTORS)
     spark.createDataFrame([row("k1", "a", T0), row("k1", "b", T1)], VECTORS).coalesce(1).write.parquet(str(source))
