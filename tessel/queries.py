@@ -884,7 +884,7 @@ def oracle_sql() -> dict[str, str]:
         "function_chunk_ids": """
             SELECT DISTINCT file_path, md5(file_path || '::function::' || CASE WHEN file_path LIKE '%.rs' THEN replace(name, '::', '.') ELSE name END || '::' || line) AS chunk_id FROM function_info""",
         "json_entries": """
-            WITH t AS (SELECT id, CAST(content AS JSON) AS j FROM vector_store WHERE chunk_type = 'file' AND lower(file_path) LIKE '%.json' AND json_valid(content)),
+            WITH t AS (SELECT id, CAST(content AS JSON) AS j FROM vector_store WHERE chunk_type = 'file' AND lower(file_path) LIKE '%.json' AND json_valid(content) AND NOT regexp_matches(content, ',\\s*[]}]')),
             k AS (SELECT id, j, unnest(json_keys(j)) AS key FROM t WHERE json_type(j) = 'OBJECT'),
             v AS (SELECT id, key, json_extract(j, '$."' || key || '"') AS v FROM k)
             SELECT id, CASE WHEN json_type(v) IN ('OBJECT', 'ARRAY') THEN 'type' ELSE 'function' END AS kind, key AS name,
