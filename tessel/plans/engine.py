@@ -15,7 +15,7 @@ from tessel.operators import registry, routing, symbols
 from tessel.operators import vector_index as I
 from tessel.operators.embedding import HashingEmbedder, embed
 from tessel.schemas import INDEX_META, JOBS, VECTORS
-from tessel.session import ensure_checkpoint_dir, exists, ship
+from tessel.session import exists, ship, stored
 from tessel.sources.archives import RemoteArchive, read_archives
 from tessel.sources.tree import read_tree
 from tessel.sources.webhook import notify
@@ -58,23 +58,22 @@ class Engine:
     def analyse(self, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Chunks of ``files(path, content)`` with both graphs, and the edges of the import and call graph.
 
-        What is read more than once is checkpointed, so files are parsed once whatever the plan branches into.
+        What is read more than once is stored, so files are parsed once whatever the plan branches into.
         """
-        ensure_checkpoint_dir(self.spark)
         routed = routing.routed(files).withColumn("dialect", routing.config_dialect(F.col("path")))
-        parsed = symbols.extract_symbols(routed).checkpoint()
-        texts = symbols.decoded(routed, "path", "language").checkpoint()
-        all_symbols = symbols.with_line_readers(parsed, texts).checkpoint()
+        parsed = stored(symbols.extract_symbols(routed))
+        texts = stored(symbols.decoded(routed, "path", "language"))
+        all_symbols = stored(symbols.with_line_readers(parsed, texts))
         repo = [F.lit("").alias("namespace"), F.lit("").alias("project_id")]
         base = texts.select(F.col("path").alias("file_path"), "language", "text").join(packages(routed), "file_path", "left")
 
         names = base.select(*repo, "file_path", "language")
         listed = all_symbols.where("kind = 'import'").join(base.select("file_path", "language"), "file_path")
         imports = listed.select(*repo, "file_path", "language", "ord", F.col("name").alias("import"))
-        import_edges = G.import_edges(G.resolve_imports(imports, names)).checkpoint()
+        import_edges = stored(G.import_edges(G.resolve_imports(imports, names)))
         functions = all_symbols.where("kind = 'function'").select(*repo, "file_path", "ord", "name", "calls")
         raw = functions.select(*repo, "file_path", "name", F.explode("calls").alias("call"))
-        resolved = G.resolve_calls(raw, functions).checkpoint()
+        resolved = stored(G.resolve_calls(raw, functions))
         call_edges = G.call_edges(resolved)
         parts = C.with_import_graph(C.chunks(base, all_symbols), G.adjacency(import_edges))
         return C.with_call_graph(parts, G.adjacency(call_edges), G.external_calls(resolved)), import_edges, call_edges

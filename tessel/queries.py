@@ -24,7 +24,7 @@ from tessel.operators import metadata, registry, routing, scanning, symbols
 from tessel.operators import vector_index as I
 from tessel.operators.embedding import LOCAL_LIMIT, HashingEmbedder, PooledEmbedder, ServiceEmbedder, embed, embedder_choice as choice
 from tessel.plans.engine import packages
-from tessel.session import ensure_checkpoint_dir, table
+from tessel.session import stored, table
 
 CUT = "2025-07-01"  # earlier rows of the vector table are taken as stored, later ones as coming in
 SEARCH_TEXT = "the worker skips the stale snapshot while the queue reloads the cursor"
@@ -346,41 +346,40 @@ def python_functions(spark: SparkSession, sf: str) -> DataFrame:
     return _symbols(spark, sf).where("kind = 'function' AND lower(file_path) LIKE '%.py'").select("file_path", "ord", "name", "line", "signature")
 
 
-def _routed(spark: SparkSession, sf: str) -> DataFrame:
-    """Every source file of a known language, one content per path, on all cores."""
-    files = table(spark, sf, "source_files").groupBy("path").agg(F.max("content").alias("content"))
-    return routing.routed(files).withColumn("dialect", routing.config_dialect(F.col("path")))
+def _routed(spark: SparkSession, sf: str, *languages: str) -> DataFrame:
+    """Every source file of a known language, or of ``languages``, one content per path, on all cores."""
+    files = routing.routed(table(spark, sf, "source_files").select("path", "content"))
+    if languages:
+        files = files.where(F.col("language").isin(*languages))
+    one = files.groupBy("path").agg(F.max(F.struct("content", "language")).alias("f")).select("path", "f.*")
+    return one.withColumn("dialect", routing.config_dialect(F.col("path")))
 
 
 def _symbols(spark: SparkSession, sf: str) -> DataFrame:
     return symbols.extract_symbols(_routed(spark, sf))
 
 
-def _source_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """``(path, language, text)`` of every source file of a known language, once per path."""
-    return symbols.decoded(_routed(spark, sf), "path", "language")
-
-
-def _all_symbols(spark: SparkSession, sf: str, texts: DataFrame) -> DataFrame:
-    return symbols.with_line_readers(_symbols(spark, sf).checkpoint(), texts)
+def _source_texts(spark: SparkSession, sf: str, *languages: str) -> DataFrame:
+    """``(path, language, text)`` of the files of ``_routed``."""
+    return symbols.decoded(_routed(spark, sf, *languages), "path", "language")
 
 
 def source_symbols(spark: SparkSession, sf: str) -> DataFrame:
     """All symbols of all source files, those of the line readers included."""
-    ensure_checkpoint_dir(spark)
-    small = _source_texts(spark, sf).where("language IN ('shell', 'config')")
-    return _all_symbols(spark, sf, small.checkpoint()).drop("body")
+    small = stored(_source_texts(spark, sf, "shell", "config"))
+    return symbols.with_line_readers(stored(_symbols(spark, sf).drop("body")), small)
 
 
 def source_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of all source files, with their ids and the md5 of their text."""
-    # five kinds of chunks and the line readers read both, so both are made once
-    ensure_checkpoint_dir(spark)
-    texts = _source_texts(spark, sf)
-    names = packages(texts.select("path"))
-    base = texts.withColumnRenamed("path", "file_path").join(names, "file_path", "left").checkpoint()
-    held = base.select(F.col("file_path").alias("path"), "language", "text").where("language IN ('shell', 'config')")
-    parts = C.chunks(base, _all_symbols(spark, sf, held).checkpoint())
+    # five kinds of chunks and the line readers read texts and symbols, so both are made once
+    names = packages(table(spark, sf, "source_files").select("path").distinct())
+    texts = _source_texts(spark, sf).withColumnRenamed("path", "file_path")
+    base = stored(texts.join(names, "file_path", "left"))
+    files = base.select(F.col("file_path").alias("path"), "language", "text")
+    read = files.withColumns({"dialect": routing.config_dialect(F.col("path")), "content": F.encode("text", "UTF-8")})
+    held = files.where("language IN ('shell', 'config')")
+    parts = C.chunks(base, stored(symbols.with_line_readers(stored(symbols.extract_symbols(read)), held)))
     return parts.select("file_path", "chunk_type", "symbol_name", "line_number", "chunk_id", F.md5("content").alias("content"))
 
 
