@@ -18,10 +18,11 @@ markup inside code (jsx, tsx) the text between tags is taken out, and lexer, bra
 from __future__ import annotations
 
 import ast
+import itertools
 import json
 import re
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,8 +90,12 @@ def _strip(text: str, lang: str) -> tuple[str, int]:
 # ---- chart --------------------------------------------------------------------------------------------
 
 _PARTNER = {")": "(", "]": "[", "}": "{"}
-#: Symbols up to which the chart is filled; the number of cells grows with the square, the work with the cube.
-CHART_SYMBOLS = 200
+#: Later symbols looked through at a time for the next pair that a row of the chart gains by.
+_LOOK = 256
+#: Sparse rows of repairs of up to d edits take about as much memory as the chart's rows of this many times d symbols.
+_SPARSE = 640
+#: Cost of pairing a symbol with a later one, by their kinds.
+_PAIR = [[2 if one % 2 and not two % 2 else 0 if two == one + 1 and two % 2 else 1 for two in range(6)] for one in range(6)]
 
 
 def cancel(symbols: list[tuple[str, int]]) -> list[tuple[str, int]]:
@@ -107,54 +112,136 @@ def cancel(symbols: list[tuple[str, int]]) -> list[tuple[str, int]]:
 def chart(symbols: list[str]) -> tuple[int, list[int]]:
     """Least edits that make ``symbols`` well nested, and which symbols they touch.
 
-    ``cost[i][j]`` is the repair cost of the part from i to before j: one symbol alone costs one edit
+    The repair cost of the part from i to before j is the least of these: one symbol alone costs one edit
     (delete it, or insert its partner); a partnered pair costs nothing, any other pair one replacement, or
-    two if it closes first and opens second; parts are concatenated. All parts of one length are filled at once; where
-    every closing symbol stands before every opening one the least cost is known without a chart. Other rests
-    longer than the chart go through it in pieces: each piece is repaired on its own, which is a repair of the whole, so
-    the cost is then an upper bound; it is above zero in either case.
+    two if it closes first and opens second; parts are concatenated. Rows hold the costs of all parts with one start and
+    are filled from the last. Where every closing symbol stands before every opening one the least cost is known without a
+    chart; runs are shortened, and a long rest is first tried with sparse rows of cheap parts alone, which finds the same
+    repair as full rows. There is no bound on the number of symbols: memory grows with the square of those left, time with
+    up to its cube, unless few edits do.
     """
     n = len(symbols)
     ends = sum(s in ")]}" for s in symbols)
     if all(s in ")]}" for s in symbols[:ends]):  # no part opens before it closes: two of a kind share one edit
         return -(-ends // 2) - (-(n - ends) // 2), list(range(0, ends, 2)) + list(range(ends, n, 2))
-    if n > CHART_SYMBOLS:
-        cost, touched = 0, []
-        for at in range(0, n, CHART_SYMBOLS):
-            part, places = chart(symbols[at : at + CHART_SYMBOLS])
-            cost += part
-            touched += [at + i for i in places]
-        return cost, touched
-    kind = np.array(["()[]{}".index(s) for s in symbols], dtype=np.int64)
-    closes = kind % 2
-    own = np.where((1 - closes)[:, None] & closes[None, :] & (kind[:, None] // 2 == kind[None, :] // 2), 0, np.maximum(1, closes[:, None] + 1 - closes[None, :]))
-    cost = np.zeros((n + 2, n + 2), dtype=np.int32)
-    back = np.full((n + 1, n + 1), -1, dtype=np.int32)
-    for size in range(1, n + 1):
-        i = np.arange(n - size + 1)
-        j = i + size
-        best, how = cost[i + 1, j] + 1, np.full(len(i), -1)
-        for step in range(1, size):
-            k = i + step
-            c = cost[i + 1, k] + cost[k + 1, j] + own[i, k]
-            better = c < best
-            best, how = np.where(better, c, best), np.where(better, k, how)
-        cost[i, j] = best
-        back[i, j] = how
-    touched, todo = [], [(0, n)]
+    kinds = ["()[]{}".index(s) for s in symbols]
+    kept, gone = _shorten(kinds)
+    cost, touched = _chart([kinds[i] for i in kept])
+    return cost + len(gone), sorted([*(kept[i] for i in touched), *gone])
+
+
+def _shorten(kinds: list[int]) -> tuple[list[int], list[int]]:
+    """Symbols that the chart needs, and one of each pair of neighbours that a least repair may replace by partners.
+
+    In a run of one opening symbol with q possible partners at most q cost nothing. Of more than 3q + 4 symbols of the run
+    two are paired with each other; or two are alone, and may be paired; or two are paired with earlier symbols or three
+    next to each other with later ones, at one edit each, and then two of them may be paired with each other and their
+    partners likewise. So two neighbours of the run can go at one edit. Closing symbols are the mirror image. A run of
+    different symbols of one direction that all have no partner is the same with q = 0.
+    """
+    n = len(kinds)
+    partners = [0] * n
+    for order, asks in ((range(n), 1), (range(n - 1, -1, -1), 0)):
+        seen = [0, 0, 0]
+        for i in order:
+            if kinds[i] % 2 == asks:
+                partners[i] = seen[kinds[i] // 2]
+            else:
+                seen[kinds[i] // 2] += 1
+    kept: list[int] = []
+    gone: list[int] = []
+    for _, run in itertools.groupby(range(n), lambda i: kinds[i] if partners[i] else kinds[i] % 2 - 2):
+        run = list(run)
+        left = len(run) - 2 * max(0, -(-(len(run) - 3 * partners[run[0]] - 4) // 2))
+        kept += run[:left]
+        gone += run[left + 1 :: 2]
+    return kept, gone
+
+
+def _chart(kinds: list[int]) -> tuple[int, list[int]]:
+    """``chart`` of shortened symbols, of which one opens before another closes."""
+    n = len(kinds)
+    # neighbours that open and close are no partners here, so one of the two is edited, and an edit changes two at most
+    limit = -(-sum(one % 2 < two % 2 for one, two in zip(kinds, kinds[1:])) // 2)
+    while limit * _SPARSE <= n:
+        rows = _sparse_rows(kinds, limit)
+        if n in rows[0]:
+            return rows[0][n], _places(kinds, lambda i, j: rows[i].get(j, n), lambda i, j, most: sorted(k for k in rows[i + 1] if k < j))
+        limit *= 2
+    cell = np.int16 if n < 65_000 else np.int32  # no cost is above n / 2 + 1
+    kind = np.array(kinds, dtype=np.int8)
+    pair = np.array(_PAIR, dtype=cell)[:, kind]
+    rows = _full_rows(kinds, pair)
+    near = lambda i, j, most: (np.flatnonzero(pair[kinds[i], i + 1 : j] + rows[i + 1][: j - i - 1] <= most) + i + 1).tolist()
+    return int(rows[0][n]), _places(kinds, lambda i, j: int(rows[i][j - i]), near)
+
+
+def _full_rows(kinds: list[int], pair: np.ndarray) -> list[np.ndarray]:
+    """The costs of all parts: of the one from i to before j at ``[i][j - i]``.
+
+    A pair (i, k) is followed by further parts only where it is cheaper than every other repair of the part it ends, since
+    the cost of concatenated parts never exceeds the sum of theirs.
+    """
+    n = len(kinds)
+    rows = [np.zeros(1, dtype=pair.dtype)] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        row = np.zeros(n - i + 1, dtype=pair.dtype)
+        row[1:] = rows[i + 1] + pair.dtype.type(1)
+        closed = pair[kinds[i], i + 1 :] + rows[i + 1][:-1]
+        at = 0
+        while at < len(closed):
+            better = closed[at : at + _LOOK] < row[at + 2 : at + 2 + _LOOK]
+            first = int(better.argmax())
+            if not better[first]:
+                at += _LOOK
+                continue
+            at += first
+            np.minimum(row[at + 2 :], rows[i + at + 2] + closed[at], out=row[at + 2 :])
+            at += 1
+        rows[i] = row
+    return rows
+
+
+def _sparse_rows(kinds: list[int], limit: int) -> list[dict[int, int]]:
+    """The costs of the parts that take up to ``limit`` edits: of the one from i to before j at ``[i][j]``.
+
+    They are exact, since no part of a repair costs more than the whole.
+    """
+    n = len(kinds)
+    rows: list[dict[int, int]] = [{n: 0}] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        after = rows[i + 1]
+        row = {i: 0}
+        row.update((j, c + 1) for j, c in after.items() if c < limit)
+        for k in sorted(after):
+            if k == n:
+                break
+            closed = after[k] + _PAIR[kinds[i]][kinds[k]]
+            if closed < row.get(k + 1, limit + 1):
+                for j, c in rows[k + 1].items():
+                    if closed + c < row.get(j, limit + 1):
+                        row[j] = closed + c
+        rows[i] = row
+    return rows
+
+
+def _places(kinds: list[int], cost: Callable[[int, int], int], near: Callable[[int, int, int], list[int]]) -> list[int]:
+    """Which symbols a least repair touches; ``near(i, j, most)`` are the symbols before j that may pair with i, in order."""
+    touched, todo = [], [(0, len(kinds))]
     while todo:
         i, j = todo.pop()
         if i >= j:
             continue
-        k = int(back[i, j])
-        if k < 0:
+        least = cost(i, j)
+        if least == cost(i + 1, j) + 1:
             touched.append(i)
             todo.append((i + 1, j))
-        else:
-            if own[i, k]:
-                touched.append(k)
-            todo += [(i + 1, k), (k + 1, j)]
-    return int(cost[0, n]), sorted(touched)
+            continue
+        k = next(k for k in near(i, j, least) if cost(i + 1, k) + _PAIR[kinds[i]][kinds[k]] + cost(k + 1, j) == least)
+        if _PAIR[kinds[i]][kinds[k]]:
+            touched.append(k)
+        todo += [(i + 1, k), (k + 1, j)]
+    return sorted(touched)
 
 
 # ---- statement rules ----------------------------------------------------------------------------------

@@ -143,6 +143,42 @@ def test_chart_finds_the_least_repair():
         assert S.chart([c for c, _ in left])[0] == brute_repair(s), s
 
 
+def plain_repair(symbols):
+    """Least edits by the recurrence itself, for every part."""
+    n = len(symbols)
+    cost = [[0] * (n + 2) for _ in range(n + 2)]
+    pairs = {(a, b): 0 if a + b in ("()", "[]", "{}") else 2 if a in ")]}" and b in "([{" else 1 for a in "()[]{}" for b in "()[]{}"}
+    for i in range(n - 1, -1, -1):
+        for j in range(i + 1, n + 1):
+            cost[i][j] = min([cost[i + 1][j] + 1, *(pairs[symbols[i], symbols[k]] + cost[i + 1][k] + cost[k + 1][j] for k in range(i + 1, j))])
+    return cost[0][n]
+
+
+def test_long_runs_have_the_least_cost():
+    rng = random.Random(6)
+    for _ in range(40):
+        runs = [rng.choice("()[]{}") * rng.randint(1, 12) for _ in range(4)] + ["".join(rng.choices(rng.choice(["([{", ")]}"]), k=6))]
+        rng.shuffle(runs)
+        left = [c for c, _ in S.cancel([(c, 0) for c in "".join(runs)])]
+        assert S.chart(left)[0] == plain_repair(left), left
+    cost, touched = S.chart(list("[{" * 50_000 + ")"))  # too long for a chart
+    assert cost == 50_001 and touched == sorted(set(touched))
+
+
+def test_long_rests_have_the_least_cost(monkeypatch):
+    rng = random.Random(4)
+    left = [c for c, _ in S.cancel([(rng.choice("()[]{}"), 0) for _ in range(500)])]
+    assert len(left) > 200
+    got = S.chart(left)
+    assert got[0] == plain_repair(left)
+    monkeypatch.setattr(S, "_SPARSE", 0)  # cheap parts first, whatever the length
+    assert S.chart(left) == got
+    monkeypatch.undo()
+    for deep in (300, 20_000):  # one stray symbol inside
+        assert S.chart(list("[" * deep + ")" + "]" * deep)) == (1, [deep])
+    assert S.diagnose("[" * 300 + ")" + "]" * 300, "json")[0] == 1
+
+
 def test_table(spark):
     rows = [("/r/n/p/a.go", GOOD["go"].encode()), ("/r/n/p/b.go", b"func"), ("/r/n/p/b.go", b"func"), ("/r/n/p/c.PY", b"\xff\xfe\xef\xbb\xbfx = 1\n"), ("/r/n/p/d.py", None), ("/r/n/p/e.py", b""),
             ("/r/n/p/f.ini", b"{{{"), (None, b"x"), ("/r/n/p/g.py", b"\xef\xbb\xbfx = 1\r\ny = 2\r\n"), ("/r/n/p/noext", b"{")]
